@@ -1,3 +1,3 @@
 """Imports every catalog module so their ``register`` calls populate ``REGISTRY``."""
-from . import q_graph  # noqa: F401
+from . import q_graph, q_profile, q_splits  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
