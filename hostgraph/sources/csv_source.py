@@ -25,11 +25,21 @@ RAW_HEADER = {            # how the capture writes its header (stray blanks incl
 }
 
 
+def normalise_header(name: str) -> str:
+    """Strip stray blanks, then snake_case (``' Source IP'`` -> ``source_ip``)."""
+    return re.sub(r"[^0-9a-zA-Z]+", "_", name.strip()).strip("_").lower()
+
+
+# normalised header -> canonical flow column
+CANONICAL = {normalise_header(v): k for k, v in RAW_HEADER.items()}
+
+
 def write_capture(raw: DataFrame, path: str, file_col: str = "source_file") -> None:
     """Write a raw flow table as one CSV folder per capture file (latin1, messy header)."""
     out = raw.select(*[F.col(c).alias(RAW_HEADER.get(c, c)) for c in raw.columns])
     (out.write.mode("overwrite").partitionBy(file_col)
         .option("header", True).option("encoding", "ISO-8859-1")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path))
 
