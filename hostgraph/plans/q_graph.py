@@ -138,3 +138,17 @@ def q_top_fan_out_z(spark, sf):
 def q_top_volume_z(spark, sf):
     hf = FT.add_baselines(FT.host_bucket_stats(flows_edges(spark, sf)))
     return rounded(FT.top_k(hf, "flow_volume_zscore", 10, ("flow_volume",)))
+
+
+@register("pagerank", "C11", S.with_(S.FLOWS, S.edges(FEATURE_WIDTH), S.pagerank_ctes())
+          + "SELECT bucket, host, round(pagerank, 6) AS pagerank FROM pr")
+def q_pagerank(spark, sf):
+    from ..operators.pagerank import pagerank
+    return rounded(pagerank(flows_edges(spark, sf)))
+
+
+@register("clustering", "C12", S.with_(S.FLOWS, S.edges(FEATURE_WIDTH), S.CLUSTERING)
+          + "SELECT bucket, host, round(clustering_coefficient, 6) AS clustering_coefficient FROM cc")
+def q_clustering(spark, sf):
+    from ..operators.clustering import clustering_coefficient
+    return rounded(clustering_coefficient(flows_edges(spark, sf)))

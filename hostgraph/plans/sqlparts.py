@@ -103,3 +103,47 @@ def with_(*parts: str) -> str:
 
 def r6(expr: str, alias: str | None = None) -> str:
     return f"round({expr}, 6) AS {alias or expr}"
+
+
+def pagerank_ctes(steps: int = 100, alpha: float = 0.85, tol: float = 1e-6) -> str:
+    """PageRank with per-bucket convergence, unrolled to ``steps`` iterations (a frozen
+    bucket keeps its vector), over the ``edges`` CTE.  Ends with CTE ``pr``."""
+    parts = ["""outw AS MATERIALIZED (SELECT bucket, src, sum(flow_count) AS w FROM edges GROUP BY 1, 2)""",
+             """en AS MATERIALIZED (SELECT e.bucket, e.src, e.dst, e.flow_count / o.w AS p
+  FROM edges e JOIN outw o USING (bucket, src))""",
+             """nd AS MATERIALIZED (
+  SELECT x.bucket, x.host, o.src IS NULL AS dangling, count(*) OVER (PARTITION BY x.bucket) AS n
+  FROM (SELECT DISTINCT bucket, host FROM (SELECT bucket, src AS host FROM edges
+                                           UNION ALL SELECT bucket, dst FROM edges) a) x
+  LEFT JOIN outw o ON o.bucket = x.bucket AND o.src = x.host)""",
+             """s0 AS MATERIALIZED (SELECT bucket, host, dangling, n, 1.0 / n AS rank, FALSE AS done FROM nd)"""]
+    for i in range(steps):
+        parts.append(f"""c{i} AS MATERIALIZED (SELECT en.bucket, en.dst AS host, sum(s.rank * en.p) AS s
+  FROM s{i} s JOIN en ON en.bucket = s.bucket AND en.src = s.host WHERE NOT s.done GROUP BY 1, 2)""")
+        parts.append(f"""b{i} AS MATERIALIZED (SELECT bucket,
+  coalesce(sum(CASE WHEN dangling THEN rank END), 0.0) AS dm FROM s{i} GROUP BY 1)""")
+        parts.append(f"""x{i} AS MATERIALIZED (SELECT s.bucket, s.host, s.dangling, s.n, s.done, s.rank AS prev,
+  CASE WHEN s.done THEN s.rank ELSE {alpha} * (coalesce(c.s, 0.0) + b.dm / s.n) + {1 - alpha} / s.n END AS rank
+  FROM s{i} s JOIN b{i} b USING (bucket) LEFT JOIN c{i} c USING (bucket, host))""")
+        parts.append(f"""s{i + 1} AS MATERIALIZED (SELECT bucket, host, dangling, n, rank,
+  done OR sum(abs(rank - prev)) OVER (PARTITION BY bucket) < n * {tol} AS done FROM x{i})""")
+    parts.append(f"pr AS (SELECT bucket, host, rank AS pagerank FROM s{steps})")
+    return ",\n".join(parts)
+
+
+CLUSTERING = """und AS (SELECT bucket, least(src, dst) AS u, greatest(src, dst) AS v, count(*) AS m
+  FROM edges WHERE src <> dst GROUP BY 1, 2, 3),
+udeg AS (SELECT bucket, x AS host, sum(m) AS d, count_if(m = 2) AS b FROM
+  (SELECT bucket, u AS x, m FROM und UNION ALL SELECT bucket, v, m FROM und) e GROUP BY 1, 2),
+tri AS (SELECT a.bucket, a.u AS x, a.v AS y, b.v AS z, a.m * b.m * c.m AS t
+  FROM und a JOIN und b ON a.bucket = b.bucket AND a.u = b.u AND a.v < b.v
+  JOIN und c ON c.bucket = a.bucket AND c.u = a.v AND c.v = b.v),
+tw AS (SELECT bucket, host, sum(t) AS tw FROM
+  (SELECT bucket, x AS host, t FROM tri UNION ALL SELECT bucket, y, t FROM tri
+   UNION ALL SELECT bucket, z, t FROM tri) q GROUP BY 1, 2),
+nodes AS (SELECT DISTINCT bucket, host FROM (SELECT bucket, src AS host FROM edges
+                                             UNION ALL SELECT bucket, dst FROM edges) a),
+cc AS (SELECT n.bucket, n.host,
+  CASE WHEN tw.tw IS NULL OR d * (d - 1) - 2 * b <= 0 THEN 0.0
+       ELSE tw.tw / (d * (d - 1) - 2 * b) END AS clustering_coefficient
+  FROM nodes n LEFT JOIN udeg USING (bucket, host) LEFT JOIN tw USING (bucket, host))"""
