@@ -1,3 +1,3 @@
 """Imports every catalog module so their ``register`` calls populate ``REGISTRY``."""
-from . import q_chain, q_graph, q_profile, q_splits  # noqa: F401
+from . import q_chain, q_enrich, q_graph, q_profile, q_splits  # noqa: F401
 from .registry import REGISTRY  # noqa: F401
