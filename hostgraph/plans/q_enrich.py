@@ -10,6 +10,7 @@ from ..operators.edges import with_bucket
 from ..operators.features import FEATURE_COLUMNS
 from ..sources.flows import events_flows
 from . import sqlparts as S
+from . import stages as ST
 from .q_graph import FEATURE_WIDTH, flows_features
 from .q_splits import scored
 from .registry import register, rounded
@@ -30,7 +31,9 @@ _FULL = (S.with_(S.FLOWS, S.edges(FEATURE_WIDTH), S.HOST_BUCKET, S.BASELINES, S.
 @register("host_features", "C16", _FULL + "SELECT bucket, host, "
           + ", ".join(_r(c) for c in FEATURE_COLUMNS) + " FROM feat")
 def q_host_features(spark, sf):
-    return rounded(flows_features(spark, sf))
+    """The host-feature stage (computed once per session and written, like the stage
+    file of the analysed pipeline)."""
+    return rounded(ST.host_features(spark, sf))
 
 
 @register("host_timeline", "P12", _FULL + """
@@ -65,7 +68,9 @@ def _round_enriched_sql(sql: str) -> str:
 
 def enriched(spark, sf, with_graph_measures=True):
     fl = with_bucket(events_flows(spark, sf), FEATURE_WIDTH)
-    return EN.enrich_flows(fl, flows_features(spark, sf, with_graph_measures=with_graph_measures))
+    feats = (ST.host_features(spark, sf) if with_graph_measures
+             else flows_features(spark, sf, with_graph_measures=False))
+    return EN.enrich_flows(fl, feats)
 
 
 @register("enrich_flows", "J1", _round_enriched_sql(_ENRICH_SQL))
@@ -110,7 +115,7 @@ _DESCRIBED = [c for c in FEATURE_COLUMNS]
        round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
        round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM feat""" for c in _DESCRIBED))
 def q_describe_features(spark, sf):
-    return rounded(EN.describe(flows_features(spark, sf), _DESCRIBED))
+    return rounded(EN.describe(ST.host_features(spark, sf), _DESCRIBED))
 
 
 @register("regime_comparison", "J6", S.with_(S.FLOWS) + """

@@ -152,3 +152,34 @@ def q_pagerank(spark, sf):
 def q_clustering(spark, sf):
     from ..operators.clustering import clustering_coefficient
     return rounded(clustering_coefficient(flows_edges(spark, sf)))
+
+
+@register("lineitem_host_features", "C1,C5-C10,C13-C15 (lineitem view)",
+          S.with_("""flows AS (
+  SELECT l_orderkey * 8 + l_linenumber AS row_id, 's' || CAST(l_suppkey AS VARCHAR) AS src,
+         'p' || CAST(l_partkey AS VARCHAR) AS dst, l_shipdate AS ts, l_extendedprice AS bytes FROM lineitem)""",
+                  S.edges("month"), S.HOST_BUCKET, S.BASELINES)
+          + "SELECT bucket, host, fan_out, fan_in, flow_volume, round(byte_volume, 6) AS byte_volume, "
+          + "round(novelty_score, 6) AS novelty_score, round(degree_ratio_change, 6) AS degree_ratio_change, "
+          + ", ".join(S.r6(c) for c in _ZCOLS) + " FROM hf")
+def q_lineitem_host_features(spark, sf):
+    """Supplier -> part shipments, monthly buckets: the larger, many-ties flow view."""
+    from ..sources.flows import lineitem_flows
+    hf = FT.add_baselines(FT.host_bucket_stats(E.build_edges(lineitem_flows(spark, sf), "month")))
+    return rounded(hf.select("bucket", "host", "fan_out", "fan_in", "flow_volume", "byte_volume",
+                             "novelty_score", "degree_ratio_change", *_ZCOLS))
+
+
+@register("edge_snapshot", "A8", S.with_(S.FLOWS, S.edges("1 hour")) + """
+SELECT bucket, src, dst, flow_count, round(total_bytes, 6) AS total_bytes FROM edges
+WHERE dayname(bucket) = 'Friday'""")
+def q_edge_snapshot(spark, sf):
+    """Hourly edge table written partitioned by weekday and read back for one day: the
+    ``day`` predicate prunes partitions (only that folder is listed and scanned)."""
+    from ..session import scratch_path
+    from ..sources import sinks
+    ed = flows_edges(spark, sf, "1 hour").withColumn("day", F.date_format("bucket", "EEEE"))
+    path = scratch_path(spark, "edge-snapshot")
+    sinks.write_parquet(ed, path, ("day",))
+    back = sinks.read_parquet(spark, path).where(F.col("day") == "Friday")
+    return rounded(back.select("bucket", "src", "dst", "flow_count", "total_bytes"))
