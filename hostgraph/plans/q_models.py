@@ -139,3 +139,46 @@ def q_pivot_check(spark, sf):
     s = ML.score(ST.day_split_model(spark, sf), ML.as_float(rows, cols))
     return rounded(s.select("row_id", "dst", "ts", F.col("pred").cast("boolean").alias("flagged"),
                             F.col("attack_probability").alias("probability")))
+
+
+def _explained_sample(spark, sf):
+    """Stratified test-day sample (<= 500 rows per label), scored and explained."""
+    from ..operators import attribution as AT
+    data = ST.labelled(spark, sf)
+    cols = ML.feature_columns(data, True)
+    model = ST.day_split_model(spark, sf)
+    sample = SP.stratified_sample(data.where(F.col("side") == "test"), "label", 500, "row_id", 42)
+    scored = ML.score(model, ML.as_float(sample, cols)).select("row_id", "pred")
+    ex = AT.explain(spark, model, ST.model_path(spark, sf), ML.as_float(sample, cols), cols)
+    return ex.join(scored, "row_id"), cols
+
+
+@register("attribution_rank", "M15")
+def q_attribution_rank(spark, sf):
+    """Mean |phi| per feature over the sample, top 20, with the graph-feature flag."""
+    from ..operators import attribution as AT
+    ex, cols = _explained_sample(spark, sf)
+    r = AT.rank_features(AT.long_form(ex, cols), 20)
+    graph = F.array(*[F.lit(c) for c in cols if ML.is_graph_feature(c)])
+    return rounded(r.withColumn("is_graph_feature", F.array_contains(graph, F.col("feature"))))
+
+
+@register("attribution_share", "M16")
+def q_attribution_share(spark, sf):
+    from ..operators import attribution as AT
+    ex, cols = _explained_sample(spark, sf)
+    return rounded(AT.share_by_label(ex, cols, [ML.is_graph_feature(c) for c in cols]))
+
+
+@register("attribution_check", "M15")
+def q_attribution_check(spark, sf):
+    """Local accuracy of the attributions: |base + sum(phi) - model log-odds| per sample
+    row, summarised (must be ~1e-12 or below)."""
+    from pyspark.ml.functions import vector_to_array
+    ex, cols = _explained_sample(spark, sf)
+    data = ST.labelled(spark, sf)
+    raw = (ST.day_split_model(spark, sf).transform(ML.as_float(data.join(ex.select("row_id"), "row_id", "left_semi"), cols))
+           .select("row_id", (2 * vector_to_array("rawPrediction")[1]).alias("model_logit")))
+    j = ex.join(raw, "row_id")
+    return j.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.max(F.abs(F.col("logit") - F.col("model_logit"))).alias("max_abs_error"))

@@ -59,6 +59,11 @@ def feature_cols(spark: SparkSession, sf: str, with_graph: bool = True) -> list[
     return ML.feature_columns(labelled(spark, sf), with_graph)
 
 
+def model_path(spark: SparkSession, sf: str, max_iter: int = 20) -> str:
+    day_split_model(spark, sf, max_iter)
+    return _PATHS[_key(spark, sf, f"gbt-{max_iter}")]
+
+
 def day_split_model(spark: SparkSession, sf: str, max_iter: int = 20) -> PipelineModel:
     """Boosted-tree model trained on the training days with flow + graph features."""
     k = _key(spark, sf, f"gbt-{max_iter}")
