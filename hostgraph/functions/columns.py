@@ -38,18 +38,32 @@ def width_seconds(width: str) -> int | None:
     return n * _UNIT_SECONDS[unit]
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
 def bucket_floor(ts, width: str = "1 hour") -> Column:
     """Floor a ``timestamp_ntz`` to an epoch-aligned bucket of any fixed width
-    (or to a calendar month / quarter / year).  Integer arithmetic on epoch
-    microseconds: exact, also before 1970, and the type stays ``timestamp_ntz``."""
-    ts = _col(ts)
+    (or to a calendar month / quarter / year).  Integer arithmetic on the wall-clock
+    microseconds since the epoch: exact, also before 1970, independent of the session
+    time zone, and the type stays ``timestamp_ntz``."""
+    ts = _col(ts).cast("timestamp_ntz")
     secs = width_seconds(width)
     if secs is None:
         unit = width.strip().lower().split()[-1]
-        return F.date_trunc(unit, ts.cast("timestamp")).cast("timestamp_ntz")
+        return F.trunc(F.to_date(ts), unit).cast("timestamp_ntz")
+    epoch = F.expr(_EPOCH_NTZ)
     us = F.lit(secs * 1_000_000)
-    micros = F.unix_micros(ts.cast("timestamp"))
-    return F.timestamp_micros(micros - F.pmod(micros, us)).cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, ts)
+    return F.timestamp_add("MICROSECOND", micros - F.pmod(micros, us), epoch)
+
+
+def lit_as(value, dtype) -> Column:
+    """A literal of a column's type.  ``timestamp_ntz`` values go through their ISO text
+    (no time-zone conversion); others use the driver-side literal."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(dtype, TimestampNTZType) and value is not None:
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value).cast(dtype)
 
 
 def parse_ambiguous_timestamp(s) -> Column:

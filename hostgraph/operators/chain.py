@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_internal_ip
+from ..functions.columns import is_internal_ip, lit_as
 from .scan import running_count
 
 
@@ -60,7 +60,7 @@ def post_compromise_timeline(flows: DataFrame, patient_zero: str, t0, src: str =
     ``cumulative_distinct_destinations`` and ``n_prior_destinations``.  Host and time are
     literals, so the host filter is evaluated right after the scan."""
     host = flows.where((F.col(src) == F.lit(patient_zero)) & F.col(ts).isNotNull())
-    t0c = F.lit(t0).cast(flows.schema[ts].dataType)
+    t0c = lit_as(t0, flows.schema[ts].dataType)
     firsts = (host.groupBy(src, dst)
               .agg(F.min(F.struct(F.col(ts).alias("ts"), F.col(id_col).alias("id"))).alias("_first")))
     # one row per host: joined back on the host key
@@ -106,7 +106,7 @@ def chain_headline(timeline: DataFrame, t0, dst: str = "dst", ts: str = "ts",
     """One row of chain counts: a single global aggregate (partial per task)."""
     novel = F.col("is_novel_destination")
     pivot = novel & is_internal_ip(dst)
-    t0c = F.lit(t0).cast(timeline.schema[ts].dataType)
+    t0c = lit_as(t0, timeline.schema[ts].dataType)
     first_novel = F.min(F.when(novel, F.col(ts)))
     return timeline.agg(
         F.count(F.lit(1)).alias("n_flows"),
