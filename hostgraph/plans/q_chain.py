@@ -181,10 +181,9 @@ def q_mttd(spark, sf):
 
 
 @register("novelty_true_rate", "B12", S.with_(S.FLOWS) + """
-SELECT label, count(*) AS n,
-       round(avg(CAST(row_number() OVER (PARTITION BY src, dst ORDER BY ts, row_id) = 1 AS INTEGER)), 6) AS novel_rate
-FROM flows GROUP BY 1""".replace("round(avg(CAST(row_number() OVER (PARTITION BY src, dst ORDER BY ts, row_id) = 1 AS INTEGER)), 6) AS novel_rate\nFROM flows GROUP BY 1",
-"round(avg(CAST(nv AS INTEGER)), 6) AS novel_rate\nFROM (SELECT label, row_number() OVER (PARTITION BY src, dst ORDER BY ts, row_id) = 1 AS nv FROM flows) x GROUP BY 1"))
+SELECT label, count(*) AS n, round(avg(CAST(nv AS INTEGER)), 6) AS novel_rate
+FROM (SELECT label, row_number() OVER (PARTITION BY src, dst ORDER BY ts, row_id) = 1 AS nv FROM flows) x
+GROUP BY 1""")
 def q_novelty_true_rate(spark, sf):
     """Share of flows that are a first contact, per label (mean of a boolean)."""
     from .registry import rounded

@@ -47,25 +47,18 @@ def q_host_timeline(spark, sf):
                            "flow_volume", "flow_volume_zscore"))
 
 
-_ENRICH_SQL = _FULL + """
+def _side_cols(alias: str, prefix: str) -> str:
+    return ", ".join(f"{alias}.{c} AS {prefix}{c}" if c in _INT_FEATURES
+                     else f"round({alias}.{c}, 6) AS {prefix}{c}" for c in FEATURE_COLUMNS)
+
+
+_ENRICH_SQL = _FULL + f"""
 , fl AS (SELECT row_id, src, dst, date_trunc('day', ts) AS bucket FROM flows)
-SELECT fl.row_id, """ + ", ".join([_r(c, "s.") .replace("s." + c + ",", c) for c in []] or [
-    ", ".join(f"s.{c} AS src_{c}" for c in FEATURE_COLUMNS),
-    ", ".join(f"d.{c} AS dst_{c}" for c in FEATURE_COLUMNS)]) + """
+SELECT fl.row_id, {_side_cols("s", "src_")}, {_side_cols("d", "dst_")}
 FROM fl LEFT JOIN feat s ON s.bucket = fl.bucket AND s.host = fl.src
         LEFT JOIN feat d ON d.bucket = fl.bucket AND d.host = fl.dst"""
 
 
-def _round_enriched_sql(sql: str) -> str:
-    out = sql
-    for p in ("src_", "dst_"):
-        for c in FEATURE_COLUMNS:
-            if c not in _INT_FEATURES:
-                al = p[0]
-                out = out.replace(f"{al}.{c} AS {p}{c}", f"round({al}.{c}, 6) AS {p}{c}")
-    return out
-
-
 def enriched(spark, sf, with_graph_measures=True):
     fl = with_bucket(events_flows(spark, sf), FEATURE_WIDTH)
     feats = (ST.host_features(spark, sf) if with_graph_measures
@@ -73,7 +66,7 @@ def enriched(spark, sf, with_graph_measures=True):
     return EN.enrich_flows(fl, feats)
 
 
-@register("enrich_flows", "J1", _round_enriched_sql(_ENRICH_SQL))
+@register("enrich_flows", "J1", _ENRICH_SQL)
 def q_enrich_flows(spark, sf):
     e = enriched(spark, sf)
     return rounded(e.select("row_id", *[f"{p}{c}" for p in ("src_", "dst_") for c in FEATURE_COLUMNS]))

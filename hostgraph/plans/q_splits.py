@@ -85,11 +85,11 @@ def q_stratified_sample(spark, sf):
            THEN row_number() OVER (PARTITION BY label ORDER BY {_MD5}, row_id)
                 > round_even(count(*) OVER (PARTITION BY label) * 0.1, 0) ELSE FALSE END AS is_benign_train
          FROM flows),
-  per AS (SELECT label, count(*) AS n, count_if(is_benign_train) AS n_btrain FROM hb GROUP BY 1)
-SELECT label AS held_out_class,
-       (SELECT sum(n_btrain) FROM per WHERE label = 'BENIGN') + (SELECT sum(n) FROM per WHERE label <> 'BENIGN') - n AS n_train,
-       n AS n_test
-FROM per WHERE label <> 'BENIGN'""".replace("held_out_class,\n       (", "held_out_class,\n       CAST((").replace(" - n AS n_train", " - n AS BIGINT) AS n_train"))
+  per AS (SELECT label, count(*) AS n, count_if(is_benign_train) AS n_btrain FROM hb GROUP BY 1),
+  tot AS (SELECT sum(CASE WHEN label = 'BENIGN' THEN n_btrain END) AS bt,
+                 sum(CASE WHEN label <> 'BENIGN' THEN n END) AS att FROM per)
+SELECT label AS held_out_class, CAST(bt + att - n AS BIGINT) AS n_train, n AS n_test
+FROM per, tot WHERE label <> 'BENIGN'""")
 def q_loco_folds(spark, sf):
     f = events_flows(spark, sf)
     h = SP.holdout_class(f, "label", "BENIGN", "row_id", 0.1, 42)
