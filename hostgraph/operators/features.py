@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Regularisers of the z-scores, on each feature's natural scale (fixed values).
 ZSCORE_EPS = {
     "fan_out": 1.0,
@@ -92,7 +94,11 @@ def baseline_zscore(value: str, eps: float, frame) -> F.Column:
 
 
 def add_baselines(hb: DataFrame) -> DataFrame:
-    """degree_ratio_change and the five z-scores, one window spec (one sort) per host."""
+    """degree_ratio_change and the five z-scores, one window spec (one sort) per host.
+
+    The host-bucket table is written once first: the bucket index and the windows both
+    read it, instead of two branches each recomputing scan -> edges -> host aggregate."""
+    hb = materialize(hb)
     hb = hb.join(bucket_index(hb), "bucket")
     w = Window.partitionBy("host").orderBy("bucket")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,8 @@ Distributed form:
 * a step  = state ⋈ en on (bucket, src) [co-partitioned: no exchange] -> partial+final
   sum by (bucket, dst) [the one shuffle] -> state ⋈ sums [co-partitioned];
 * per-bucket numbers (dangling mass, L1 change, done) are one aggregate of the state —
-  one row per bucket, broadcast by size (bounded by the bucket count);
+  one row per bucket, broadcast only when the counted number of buckets is below
+  ``BROADCAST_MAX_BUCKETS`` (otherwise a shuffle join);
 * each step's state is written as a parquet table into the cluster's checkpoint folder
   and read back: the plan stays one step deep, a lost executor recomputes at most one
   step, and size statistics restart from the files (``Dataset.checkpoint`` keeps the
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+BROADCAST_MAX_BUCKETS = 1_000_000   # status rows (one per bucket) broadcast below this
 ALPHA = 0.85
 TOL = 1.0e-6
 MAX_ITER = 100
@@ -64,13 +66,14 @@ def _bucket_status(state: DataFrame, tol: float, first: bool) -> DataFrame:
         (F.bool_or("done") | converged).alias("bdone"))
 
 
-def _step(state: DataFrame, en: DataFrame, status: DataFrame, alpha: float) -> DataFrame:
+def _step(state: DataFrame, en: DataFrame, status: DataFrame, alpha: float,
+          broadcast_status: bool = True) -> DataFrame:
     live = state.where(~F.col("done")).select("bucket", F.col("host").alias("src"), "rank")
     sums = (en.join(live, ["bucket", "src"])
             .groupBy("bucket", F.col("dst").alias("host"))
             .agg(F.sum(F.col("rank") * F.col("p")).alias("s")))
     j = (state.join(sums, ["bucket", "host"], "left")
-         .join(F.broadcast(status), "bucket"))
+         .join(F.broadcast(status) if broadcast_status else status, "bucket"))
     new_rank = (F.lit(alpha) * (F.coalesce(F.col("s"), F.lit(0.0)) + F.col("dm") / F.col("n"))
                 + F.lit(1.0 - alpha) / F.col("n"))
     return j.select(
@@ -96,6 +99,8 @@ def pagerank(edges: DataFrame, alpha: float = ALPHA, tol: float = TOL,
     # iteration shuffles the edge table again (its size estimate is of a one-level plan)
     en = normalised_edges(edges, weight).repartition(n, "bucket", "src").checkpoint(eager=True)
     state = materialise(initial_state(edges), "state-0")
+    # the per-bucket status table is broadcast only under a counted bound
+    small = state.select("bucket").distinct().count() <= BROADCAST_MAX_BUCKETS
     it = 0
     while it < max_iter:
         # the freeze decision is made inside every step's plan (exact per bucket); the
@@ -104,6 +109,6 @@ def pagerank(edges: DataFrame, alpha: float = ALPHA, tol: float = TOL,
         status = _bucket_status(state, tol, it == 0)
         if it % check_every == 0 and it > 0 and status.where(~F.col("bdone")).limit(1).count() == 0:
             break
-        state = materialise(_step(state, en, status, alpha), f"state-{it + 1}")
+        state = materialise(_step(state, en, status, alpha, small), f"state-{it + 1}")
         it += 1
     return state.select("bucket", "host", F.col("rank").alias("pagerank"))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import edges as E
 from ..operators import features as FT
+from ..session import materialize
 
 
 def host_feature_table(flows: DataFrame, width: str = "1 hour",
@@ -14,7 +15,7 @@ def host_feature_table(flows: DataFrame, width: str = "1 hour",
         return FT.host_features(edges)
     from ..operators.clustering import clustering_coefficient
     from ..operators.pagerank import pagerank
-    edges = edges.persist()
+    edges = materialize(edges)          # read by PageRank, clustering and the features
     pr = pagerank(edges, **(pagerank_kwargs or {}))
     cc = clustering_coefficient(edges)
     return FT.host_features(edges, pr, cc)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import edges as E
 from ..operators import features as FT
+from ..session import materialize
 from ..sources.flows import events_flows
 from . import sqlparts as S
 from .registry import register, rounded
@@ -46,10 +47,8 @@ FROM (SELECT bucket, count(*) AS n_edges, sum(flow_count) AS total_flows FROM ed
 JOIN (SELECT bucket, count(*) AS n_nodes FROM nodes GROUP BY 1) n USING (bucket)
 LEFT JOIN days d USING (bucket)""")
 def q_graph_summary(spark, sf):
-    fl = events_flows(spark, sf)
-    ed = E.build_edges(fl, "1 hour")
-    return E.graph_summary(ed, fl, "day", "1 hour").select(
-        "bucket", "n_edges", "total_flows", "n_nodes", "day")
+    ed = materialize(E.build_edges(events_flows(spark, sf), "1 hour", carry={"day": F.min("day")}))
+    return E.graph_summary(ed, "day").select("bucket", "n_edges", "total_flows", "n_nodes", "day")
 
 
 _HB = S.with_(S.FLOWS, S.edges(FEATURE_WIDTH), S.HOST_BUCKET)
@@ -144,14 +143,14 @@ def q_top_volume_z(spark, sf):
           + "SELECT bucket, host, round(pagerank, 6) AS pagerank FROM pr")
 def q_pagerank(spark, sf):
     from ..operators.pagerank import pagerank
-    return rounded(pagerank(flows_edges(spark, sf)))
+    return rounded(pagerank(materialize(flows_edges(spark, sf))))
 
 
 @register("clustering", "C12", S.with_(S.FLOWS, S.edges(FEATURE_WIDTH), S.CLUSTERING)
           + "SELECT bucket, host, round(clustering_coefficient, 6) AS clustering_coefficient FROM cc")
 def q_clustering(spark, sf):
     from ..operators.clustering import clustering_coefficient
-    return rounded(clustering_coefficient(flows_edges(spark, sf)))
+    return rounded(clustering_coefficient(materialize(flows_edges(spark, sf))))
 
 
 @register("lineitem_host_features", "C1,C5-C10,C13-C15 (lineitem view)",

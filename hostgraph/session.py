@@ -68,4 +68,12 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "local_path"]
+__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize"]
+
+
+def materialize(df):
+    """Write ``df`` once as a reliable checkpoint (the cluster's checkpoint folder) and
+    return the re-read frame: later branches of a plan read the written rows instead of
+    recomputing the lineage, and a lost executor never recomputes past this point."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
