@@ -126,3 +126,16 @@ def q_regime_comparison(spark, sf):
                    .select("label", F.col("recall").alias(f"recall_rule_{t}")))
     out = runs[50].join(runs[100], "label", "full_outer").join(runs[200], "label", "full_outer")
     return rounded(out)
+
+
+_FULL_5MIN = (S.with_(S.FLOWS, S.edges("5 minutes"), S.HOST_BUCKET, S.BASELINES, S.pagerank_ctes(),
+                      S.CLUSTERING) + """
+, feat AS (SELECT hf.*, pr.pagerank, cc.clustering_coefficient
+           FROM hf LEFT JOIN pr USING (bucket, host) LEFT JOIN cc USING (bucket, host))""")
+
+
+@register("host_features_5min", "C2,C16", _FULL_5MIN + "SELECT bucket, host, "
+          + ", ".join(_r(c) for c in FEATURE_COLUMNS) + " FROM feat")
+def q_host_features_5min(spark, sf):
+    """All 13 features at 5-minute resolution (the fine-grained variant)."""
+    return rounded(ST.host_features(spark, sf, "5 minutes"))

@@ -35,22 +35,22 @@ def _cached(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_PATHS[k])
 
 
-def host_features(spark: SparkSession, sf: str) -> DataFrame:
+def host_features(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) -> DataFrame:
     from .host_pipeline import host_feature_table
-    return _cached(spark, sf, "host-features",
-                   lambda: host_feature_table(events_flows(spark, sf), FEATURE_WIDTH, True))
+    return _cached(spark, sf, f"host-features-{width.replace(' ', '')}",
+                   lambda: host_feature_table(events_flows(spark, sf), width, True))
 
 
-def enriched_flows(spark: SparkSession, sf: str) -> DataFrame:
+def enriched_flows(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) -> DataFrame:
     def build():
-        fl = with_bucket(events_flows(spark, sf), FEATURE_WIDTH)
-        return EN.enrich_flows(fl, host_features(spark, sf))
-    return _cached(spark, sf, "enriched-flows", build)
+        fl = with_bucket(events_flows(spark, sf), width)
+        return EN.enrich_flows(fl, host_features(spark, sf, width))
+    return _cached(spark, sf, f"enriched-flows-{width.replace(' ', '')}", build)
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
+def labelled(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) -> DataFrame:
     """Enriched flows with the binary target, split by weekday."""
-    e = enriched_flows(spark, sf)
+    e = enriched_flows(spark, sf, width)
     return day_split(e).withColumn(
         "y", F.when(F.col("label").eqNullSafe(F.lit("BENIGN")), 0).otherwise(1))
 
