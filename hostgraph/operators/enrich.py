@@ -38,17 +38,20 @@ def join_null_audit(enriched: DataFrame) -> DataFrame:
                         F.count_if(F.col("dst_fan_out").isNull()).alias("n_missing_dst"))
 
 
-def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+def describe(df: DataFrame, cols: list[str], key: tuple = ("bucket", "host")) -> DataFrame:
     """count / mean / std / min / quartiles / max per column, in long form (one row per
-    column).  Quartiles are exact and interpolate linearly between order statistics."""
-    long = df.select(F.explode(F.array(*[
+    column).  Moments come from one partial aggregation; quartiles are exact (linear
+    interpolation between order statistics) from the distributed ``exact_quantiles``, so
+    no column's values are ever gathered in one task."""
+    from .scan import exact_quantiles
+    long = df.select(*key, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols
-    ])).alias("x")).select("x.*")
-    q = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (long.groupBy("feature")
-            .agg(F.count("v").alias("count"), F.avg("v").alias("mean"),
-                 F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("_q"),
-                 F.max("v").alias("max"))
-            .select("feature", "count", "mean", "std", "min",
-                    F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-                    F.col("_q")[2].alias("p75"), "max"))
+    ])).alias("x")).select(*key, "x.*")
+    moments = long.groupBy("feature").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    q = exact_quantiles(long, "feature", "v", list(key))
+    qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n)
+                                    for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    return (moments.join(qw, "feature", "left")
+            .select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))

@@ -34,3 +34,32 @@ def running_count(df: DataFrame, flag: str, order_cols: list[str], out: str,
     return (d.join(F.broadcast(offsets), "_chunk")
             .withColumn(out, (F.col("_off") + F.sum("_f").over(w)).cast("long"))
             .drop("_chunk", "_f", "_off"))
+
+
+def exact_quantiles(long: DataFrame, group: str, value: str, order_tail: list[str],
+                    qs: tuple = (0.25, 0.5, 0.75), chunks: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation between order statistics (the rule of
+    ``quantile_cont`` / pandas), per group, without gathering a group in one task.
+
+    Every non-null value gets its 1-based rank inside its group from the distributed
+    running count over ``(group, value, *order_tail)`` minus the rows of earlier groups
+    (a per-group count table); only the two order statistics around each quantile position
+    are kept and interpolated.  Output: ``group, q, quantile``."""
+    d = long.where(F.col(value).isNotNull()).withColumn("_one", F.lit(True))
+    counts = d.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.select(group, "_n", F.coalesce(F.sum("_n").over(
+        Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    ranked = (running_count(d, "_one", [group, value, *order_tail], "_c", chunks)
+              .join(F.broadcast(offs), group)          # one row per group
+              .withColumn("_r", F.col("_c") - F.col("_off") - 1))   # 0-based rank
+    want = offs.select(group, "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    want = want.select(group, "q", (F.col("q") * (F.col("_n") - 1)).alias("_pos"))
+    want = want.select(group, "q", "_pos", F.floor("_pos").cast("long").alias("_lo"),
+                       F.ceil("_pos").cast("long").alias("_hi"))
+    picked = ranked.select(group, "_r", F.col(value).alias("_v")).join(
+        F.broadcast(want), [group]).where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
+    g = picked.groupBy(group, "q", "_pos", "_lo").agg(
+        F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v"))).alias("_vhi"))
+    return g.select(group, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo"))
+                                 * (F.col("_pos") - F.col("_lo"))).alias("quantile"))

@@ -1,8 +1,8 @@
 """Streaming per-flow novelty: emit a flow iff its (src, dst) pair was never seen before.
 
 State per pair = the first (ts, row_id) seen, kept with ``applyInPandasWithState``.  Inside
-one micro-batch a pair's rows are ordered by (ts, row_id), so the emitted flow is the
-earliest of the batch; across batches the answer follows arrival order — a late row that
+one micro-batch the earliest row of a pair by (ts, row_id) is emitted (a running minimum
+over the group's Arrow batches); across batches the answer follows arrival order — a late row that
 is earlier in event time than an already emitted first contact cannot retract it (the
 batch operator, which sees all rows, is the reference for ordered input).
 """
@@ -19,12 +19,19 @@ STATE_SCHEMA = "first_ts timestamp, first_id long"
 
 
 def _first_contact(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
+    """Keeps one running-minimum row while the group's Arrow batches stream by, so a hot
+    pair costs constant memory however many of its rows arrive in one micro-batch."""
+    best = None
+    for pdf in batches:
+        if state.exists or pdf.empty:
+            continue
+        cand = pdf.sort_values(["ts", "row_id"], kind="stable").iloc[:1]
+        if best is None or (cand["ts"].iloc[0], cand["row_id"].iloc[0]) < (best["ts"].iloc[0], best["row_id"].iloc[0]):
+            best = cand
+    if state.exists or best is None:
         return
-    pdf = pd.concat(list(batches), ignore_index=True)
-    first = pdf.sort_values(["ts", "row_id"], kind="stable").iloc[:1]
-    state.update((first["ts"].iloc[0].to_pydatetime(), int(first["row_id"].iloc[0])))
-    yield first[["row_id", "src", "dst", "ts"]]
+    state.update((best["ts"].iloc[0].to_pydatetime(), int(best["row_id"].iloc[0])))
+    yield best[["row_id", "src", "dst", "ts"]]
 
 
 def novel_flows(flows: DataFrame) -> DataFrame:

@@ -52,3 +52,17 @@ def test_running_count_matches_window(spark):
     ref = df.withColumn("r", F.sum(F.col("f").cast("int")).over(w))
     assert got.join(ref, "id").where(F.col("c") != F.col("r")).count() == 0
     assert got.count() == 500
+
+
+def test_exact_quantiles_match_linear_interpolation(spark):
+    import numpy as np
+    from hostgraph.operators.scan import exact_quantiles
+    rng = random.Random(1)
+    rows = [(g, float(rng.randint(0, 30)), i) for i in range(700) for g in (["a", "b", "c"][i % 3],)]
+    rows += [("d", 5.0, 10_000)]
+    df = spark.createDataFrame(rows, "g string, v double, k long")
+    got = {(r.g, r.q): r.quantile for r in exact_quantiles(df, "g", "v", ["k"], chunks=5).collect()}
+    for g in "abcd":
+        vals = np.array([v for gg, v, _ in rows if gg == g])
+        for q in (0.25, 0.5, 0.75):
+            assert abs(got[(g, q)] - np.quantile(vals, q)) < 1e-12
