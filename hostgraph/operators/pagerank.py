@@ -9,8 +9,8 @@ is the one that met the tolerance.
 Distributed form:
 * ``en``  = normalised edges, hash-partitioned on (bucket, src) and checkpointed once;
 * state   = (bucket, host, rank, prev, n, dangling, done), partitioned on (bucket, host);
-* a step  = state ⋈ en on (bucket, src) [co-partitioned: no exchange] -> partial+final
-  sum by (bucket, dst) [the one shuffle] -> state ⋈ sums [co-partitioned];
+* a step  = state ⋈ en on (bucket, src) [the edge side keeps its partitioning] ->
+  partial+final sum by (bucket, dst) [the one shuffle of edge-sized data] -> state ⋈ sums;
 * per-bucket numbers (dangling mass, L1 change, done) are one aggregate of the state —
   one row per bucket, broadcast only when the counted number of buckets is below
   ``BROADCAST_MAX_BUCKETS`` (otherwise a shuffle join);
@@ -66,29 +66,38 @@ def _bucket_status(state: DataFrame, tol: float, first: bool) -> DataFrame:
         (F.bool_or("done") | converged).alias("bdone"))
 
 
-def _step(state: DataFrame, en: DataFrame, status: DataFrame, alpha: float,
-          broadcast_status: bool = True) -> DataFrame:
-    live = state.where(~F.col("done")).select("bucket", F.col("host").alias("src"), "rank")
-    sums = (en.join(live, ["bucket", "src"])
-            .groupBy("bucket", F.col("dst").alias("host"))
-            .agg(F.sum(F.col("rank") * F.col("p")).alias("s")))
-    j = (state.join(sums, ["bucket", "host"], "left")
-         .join(F.broadcast(status) if broadcast_status else status, "bucket"))
-    new_rank = (F.lit(alpha) * (F.coalesce(F.col("s"), F.lit(0.0)) + F.col("dm") / F.col("n"))
-                + F.lit(1.0 - alpha) / F.col("n"))
-    return j.select(
-        "bucket", "host", "dangling", "n",
-        F.when(F.col("bdone"), F.col("rank")).otherwise(new_rank).alias("rank"),
-        F.when(F.col("bdone"), F.col("prev")).otherwise(F.col("rank")).alias("prev"),
-        F.col("bdone").alias("done"))
+_STEP_SQL = """
+WITH status AS (
+  SELECT bucket, coalesce(sum(CASE WHEN dangling THEN rank END), 0D) AS dm,
+         bool_or(done) {converged} AS bdone
+  FROM {state} GROUP BY bucket),
+sums AS (
+  SELECT e.bucket, e.dst AS host, sum(s.rank * e.p) AS s
+  FROM {edges} e JOIN {state} s ON e.bucket = s.bucket AND e.src = s.host
+  WHERE NOT s.done
+  GROUP BY e.bucket, e.dst)
+SELECT /*+ {hint} */ st.bucket, st.host, st.dangling, st.n,
+       CASE WHEN b.bdone THEN st.rank
+            ELSE {alpha}D * (coalesce(x.s, 0D) + b.dm / st.n) + {teleport}D / st.n END AS rank,
+       CASE WHEN b.bdone THEN st.prev ELSE st.rank END AS prev,
+       b.bdone AS done
+FROM {state} st JOIN status b ON st.bucket = b.bucket
+LEFT JOIN sums x ON x.bucket = st.bucket AND x.host = st.host
+"""
 
 
 def pagerank(edges: DataFrame, alpha: float = ALPHA, tol: float = TOL,
              max_iter: int = MAX_ITER, weight: str = "flow_count", check_every: int = 4) -> DataFrame:
-    """``(bucket, host, pagerank)`` for every node of every bucket."""
+    """``(bucket, host, pagerank)`` for every node of every bucket.
+
+    Each step is one SQL statement over two temporary views (the step's state file and the
+    checkpointed edges): one analysis per step instead of a chain of DataFrame calls."""
+    import uuid
     spark = edges.sparkSession
     n = _parts(spark)
     base = scratch_path(spark, "pagerank")
+    tag = uuid.uuid4().hex[:10]
+    v_edges, v_state = f"_pr_edges_{tag}", f"_pr_state_{tag}"
 
     def materialise(df: DataFrame, name: str) -> DataFrame:
         path = f"{base}/{name}"
@@ -98,17 +107,27 @@ def pagerank(edges: DataFrame, alpha: float = ALPHA, tol: float = TOL,
     # edges: one reliable checkpoint keeps the (bucket, src) hash partitioning, so no
     # iteration shuffles the edge table again (its size estimate is of a one-level plan)
     en = normalised_edges(edges, weight).repartition(n, "bucket", "src").checkpoint(eager=True)
+    en.createOrReplaceTempView(v_edges)
     state = materialise(initial_state(edges), "state-0")
     # the per-bucket status table is broadcast only under a counted bound
     small = state.select("bucket").distinct().count() <= BROADCAST_MAX_BUCKETS
     it = 0
-    while it < max_iter:
-        # the freeze decision is made inside every step's plan (exact per bucket); the
-        # driver only asks every few steps whether any bucket is still moving — steps
-        # run after a bucket converged leave it unchanged
-        status = _bucket_status(state, tol, it == 0)
-        if it % check_every == 0 and it > 0 and status.where(~F.col("bdone")).limit(1).count() == 0:
-            break
-        state = materialise(_step(state, en, status, alpha, small), f"state-{it + 1}")
-        it += 1
+    try:
+        while it < max_iter:
+            # the freeze decision is made inside every step's plan (exact per bucket); the
+            # driver only asks every few steps whether any bucket is still moving — steps
+            # run after a bucket converged leave it unchanged
+            if it % check_every == 0 and it > 0 and \
+                    _bucket_status(state, tol, False).where(~F.col("bdone")).limit(1).count() == 0:
+                break
+            state.createOrReplaceTempView(v_state)
+            step = spark.sql(_STEP_SQL.format(
+                state=v_state, edges=v_edges, alpha=repr(alpha), teleport=repr(1.0 - alpha),
+                hint="BROADCAST(b)" if small else "SHUFFLE_HASH(b)",
+                converged="" if it == 0 else f"OR sum(abs(rank - prev)) < max(n) * {tol!r}D"))
+            state = materialise(step, f"state-{it + 1}")
+            it += 1
+    finally:
+        spark.catalog.dropTempView(v_state)
+        spark.catalog.dropTempView(v_edges)
     return state.select("bucket", "host", F.col("rank").alias("pagerank"))
