@@ -1,10 +1,12 @@
 """Attach host-bucket features to both ends of every flow.
 
-Two left equi-joins on (bucket, host).  The feature side has exactly one row per key
-(checked by ``feature_key_guard``), so every flow is kept exactly once.  The planner picks
-the strategy from measured sizes (AQE): a broadcast hash join while the feature table is
-small, otherwise a sort-merge join in which AQE splits any partition that a hot host makes
-skewed (the feature side of a key is one row, so replicating it is free).
+The two feature lookups ((bucket, src) and (bucket, dst)) are done on the distinct
+(bucket, src, dst) keys of the flows — the edge table, found with a partial aggregation —
+and the enriched keys are joined to the flows once, null-safe.  The flow table is
+therefore shuffled once instead of once per endpoint.  The feature side has exactly one
+row per key (checked by ``feature_key_guard``), so every flow is kept exactly once.  AQE
+picks broadcast or sort-merge joins from measured sizes and splits partitions that a hot
+pair makes skewed (the key side of a hot pair is one row, so replicating it is free).
 """
 from __future__ import annotations
 
@@ -19,11 +21,22 @@ def side(features: DataFrame, host_as: str, prefix: str, cols=FEATURE_COLUMNS) -
                            *[F.col(c).alias(f"{prefix}{c}") for c in cols])
 
 
+def enrich_keys(keys: DataFrame, features: DataFrame, src: str = "src", dst: str = "dst",
+                cols=FEATURE_COLUMNS) -> DataFrame:
+    """(bucket, src, dst) keys with both endpoints' features (two left lookups)."""
+    return (keys.join(side(features, src, "src_", cols), ["bucket", src], "left")
+            .join(side(features, dst, "dst_", cols), ["bucket", dst], "left"))
+
+
 def enrich_flows(flows: DataFrame, features: DataFrame, src: str = "src", dst: str = "dst",
                  cols=FEATURE_COLUMNS) -> DataFrame:
     """``flows`` must carry ``bucket`` built with the same width as ``features``."""
-    return (flows.join(side(features, src, "src_", cols), ["bucket", src], "left")
-            .join(side(features, dst, "dst_", cols), ["bucket", dst], "left"))
+    keys = flows.select("bucket", src, dst).distinct()
+    ek = enrich_keys(keys, features, src, dst, cols)
+    ek = ek.select(*[F.col(c).alias(f"_k_{c}") for c in ("bucket", src, dst)],
+                   *[c for c in ek.columns if c not in ("bucket", src, dst)])
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ("bucket", src, dst)]
+    return flows.join(ek, on, "left").drop(*[f"_k_{c}" for c in ("bucket", src, dst)])
 
 
 def feature_key_guard(features: DataFrame) -> DataFrame:
