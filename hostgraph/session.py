@@ -77,3 +77,26 @@ def materialize(df):
     recomputing the lineage, and a lost executor never recomputes past this point."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2,
+               executors_cores: int | None = None) -> dict:
+    """Settings for a run over ``input_bytes`` of flows: scan splits and the initial shuffle
+    width sized so a partition stays near ``target_partition_bytes`` (spill-free in a few
+    GB of executor memory); AQE then coalesces small partitions and splits skewed ones.
+
+    Example: 100 TB -> ~400,000 initial shuffle partitions, 256 MB scan splits."""
+    parts = max(1, input_bytes // target_partition_bytes)
+    if executors_cores:
+        parts = max(parts, 3 * executors_cores)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        # broadcasts are chosen from measured sizes; keep the threshold modest on big inputs
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 ** 2),
+    }
