@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def undirected_pairs(edges: DataFrame) -> DataFrame:
     """(bucket, u, v, m) with u < v, self-loops dropped."""
@@ -27,26 +29,31 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
 
 
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
-    """``(bucket, host, clustering_coefficient)`` for every node (self-loop-only nodes: 0)."""
+    """``(bucket, host, clustering_coefficient)`` for every node (self-loop-only nodes: 0).
+
+    The degree table and the oriented pair table are each written once (reliable
+    checkpoints): wedges, closing pairs and denominators all read them instead of
+    re-deriving the undirected pairs per reference."""
     und = undirected_pairs(edges)
     ends = und.select("bucket", F.explode(F.array(
         F.struct(F.col("u").alias("x"), F.col("m")), F.struct(F.col("v").alias("x"), F.col("m")))).alias("e"))
-    deg = ends.groupBy("bucket", F.col("e.x").alias("host")).agg(
+    deg = materialize(ends.groupBy("bucket", F.col("e.x").alias("host")).agg(
         F.count(F.lit(1)).alias("k"),                      # undirected neighbours
         F.sum("e.m").alias("d"),                            # in + out degree, no self-loop
-        F.count_if(F.col("e.m") == 2).alias("b"))           # mutual pairs
+        F.count_if(F.col("e.m") == 2).alias("b")))          # mutual pairs
 
     ku = deg.select("bucket", F.col("host").alias("u"), F.col("k").alias("ku"))
     kv = deg.select("bucket", F.col("host").alias("v"), F.col("k").alias("kv"))
     o = und.join(ku, ["bucket", "u"]).join(kv, ["bucket", "v"])
     low_u = F.struct("ku", "u") < F.struct("kv", "v")
-    oriented = o.select("bucket",
-                        F.when(low_u, F.col("u")).otherwise(F.col("v")).alias("x"),
-                        F.when(low_u, F.col("v")).otherwise(F.col("u")).alias("y"), "m")
+    oriented = materialize(o.select(
+        "bucket", "u", "v", "m",
+        F.when(low_u, F.col("u")).otherwise(F.col("v")).alias("x"),
+        F.when(low_u, F.col("v")).otherwise(F.col("u")).alias("y")))
     a = oriented.select("bucket", "x", F.col("y").alias("y1"), F.col("m").alias("m1"))
     b = oriented.select("bucket", "x", F.col("y").alias("y2"), F.col("m").alias("m2"))
     wedges = a.join(b, ["bucket", "x"]).where(F.col("y1") < F.col("y2"))
-    closing = und.select("bucket", F.col("u").alias("y1"), F.col("v").alias("y2"), F.col("m").alias("m3"))
+    closing = oriented.select("bucket", F.col("u").alias("y1"), F.col("v").alias("y2"), F.col("m").alias("m3"))
     tri = wedges.join(closing, ["bucket", "y1", "y2"])
     t = F.col("m1") * F.col("m2") * F.col("m3")
     credit = (tri.select("bucket", t.alias("t"), F.explode(F.array("x", "y1", "y2")).alias("host"))
