@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def running_count(df: DataFrame, flag: str, order_cols: list[str], out: str,
                   chunks: int | None = None) -> DataFrame:
@@ -19,9 +21,11 @@ def running_count(df: DataFrame, flag: str, order_cols: list[str], out: str,
     ``order_cols`` order (the order must be total, e.g. end with a unique id)."""
     spark = df.sparkSession
     n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = (df.repartitionByRange(n, *order_cols)
-         .withColumn("_chunk", F.spark_partition_id())
-         .withColumn("_f", F.col(flag).cast("int")))
+    # written once: the chunk totals and the in-chunk window both read the same rows, and
+    # each row's chunk id is fixed in the written table (a retry cannot re-assign it)
+    d = materialize(df.repartitionByRange(n, *order_cols)
+                    .withColumn("_chunk", F.spark_partition_id())
+                    .withColumn("_f", F.col(flag).cast("int")))
     totals = d.groupBy("_chunk").agg(F.sum("_f").alias("_c"))
     offsets = totals.select(
         "_chunk",
