@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 BROADCAST_MAX_BUCKETS = 1_000_000   # status rows (one per bucket) broadcast below this
+EDGE_ROWS_PER_PARTITION = 1_000_000  # ~50 MB of normalised edges per partition
 ALPHA = 0.85
 TOL = 1.0e-6
 MAX_ITER = 100
@@ -94,7 +95,9 @@ def pagerank(edges: DataFrame, alpha: float = ALPHA, tol: float = TOL,
     checkpointed edges): one analysis per step instead of a chain of DataFrame calls."""
     import uuid
     spark = edges.sparkSession
-    n = _parts(spark)
+    # partitions of the (static) edge table follow its size, capped by the session's
+    # shuffle width: small graphs do not pay for hundreds of empty tasks every step
+    n = max(1, min(_parts(spark), -(-edges.count() // EDGE_ROWS_PER_PARTITION)))
     base = scratch_path(spark, "pagerank")
     tag = uuid.uuid4().hex[:10]
     v_edges, v_state = f"_pr_edges_{tag}", f"_pr_state_{tag}"

@@ -19,11 +19,12 @@ def running_count(df: DataFrame, flag: str, order_cols: list[str], out: str,
                   chunks: int | None = None) -> DataFrame:
     """``out`` = number of rows with ``flag`` true at or before this row in
     ``order_cols`` order (the order must be total, e.g. end with a unique id)."""
-    spark = df.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # written once: the chunk totals and the in-chunk window both read the same rows, and
-    # each row's chunk id is fixed in the written table (a retry cannot re-assign it)
-    d = materialize(df.repartitionByRange(n, *order_cols)
+    # without an explicit count the range exchange is sized by the session and coalesced by
+    # AQE (adjacent ranges merge, so chunk ids stay in order).  Written once: the chunk
+    # totals and the in-chunk window read the same rows, and each row's chunk id is fixed
+    # in the written table (a retry cannot re-assign it)
+    ranged = df.repartitionByRange(chunks, *order_cols) if chunks else df.repartitionByRange(*order_cols)
+    d = materialize(ranged
                     .withColumn("_chunk", F.spark_partition_id())
                     .withColumn("_f", F.col(flag).cast("int")))
     totals = d.groupBy("_chunk").agg(F.sum("_f").alias("_c"))
@@ -34,7 +35,7 @@ def running_count(df: DataFrame, flag: str, order_cols: list[str], out: str,
         .alias("_off"))
     w = (Window.partitionBy("_chunk").orderBy(*order_cols)
          .rowsBetween(Window.unboundedPreceding, 0))
-    # ``offsets`` has at most ``n`` rows (one per chunk): a broadcast with a fixed bound.
+    # ``offsets`` has one row per chunk (bounded by the shuffle width): a bounded broadcast.
     return (d.join(F.broadcast(offsets), "_chunk")
             .withColumn(out, (F.col("_off") + F.sum("_f").over(w)).cast("long"))
             .drop("_chunk", "_f", "_off"))
