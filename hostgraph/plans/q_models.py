@@ -193,7 +193,8 @@ def _f1_run(train, test, cols, max_iter=20):
 def q_f1_by_feature_set(spark, sf):
     """The detection experiment: binary F1 of the attack class for flow-only features, then
     + graph features (day buckets), + 5-minute graph features, + per-flow novelty, on the
-    day split; and flow-only vs + graph on the hour-grouped split.  One row per run with
+    day split; flow-only vs + graph on a random row split (leaks bucket-scoped features) and
+    on the hour-grouped split (does not).  One row per run with
     the delta to flow-only on the same split."""
     from ..operators.edges import with_bucket
     from ..operators.novelty import flow_novelty_both
@@ -215,6 +216,11 @@ def q_f1_by_feature_set(spark, sf):
     add("day", "flow+graph_5min", fine, ML.feature_columns(fine, True), tr, te)
     add("day", "flow+graph_5min+novelty", fine_nov,
         ML.feature_columns(fine, True) + ["novel_dst_for_src", "novel_src_for_dst"], tr, te)
+    # the leaking protocol: a random row split lets rows of one host-bucket (which share
+    # every graph feature) fall on both sides
+    rows = SP.stratified_split(day, ["y"], "row_id", 0.2, 42)
+    add("row_random", "flow", rows, flow_cols, ~F.col("is_test"), F.col("is_test"))
+    add("row_random", "flow+graph", rows, ML.feature_columns(day, True), ~F.col("is_test"), F.col("is_test"))
     hourly = SP.group_split(with_bucket(day.drop("bucket"), "1 hour"), "bucket", 0.2, 42)
     add("hour_grouped", "flow", hourly, flow_cols, ~F.col("is_test"), F.col("is_test"))
     add("hour_grouped", "flow+graph", hourly, ML.feature_columns(day, True), ~F.col("is_test"), F.col("is_test"))
