@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
 
 from hostgraph.operators import clean as CL
 

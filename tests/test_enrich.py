@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from hostgraph.operators.enrich import enrich_flows, feature_key_guard
 from hostgraph.operators.features import FEATURE_COLUMNS

@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from hostgraph.operators.clustering import clustering_coefficient
 from hostgraph.operators.pagerank import pagerank

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from hostgraph.operators import metrics as M
 from hostgraph.operators import profile as PR

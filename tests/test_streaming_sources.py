@@ -2,7 +2,6 @@ import datetime as dt
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from hostgraph.sources import csv_source as CSV
 from hostgraph.streaming import edges_stream as ES
