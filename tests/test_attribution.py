@@ -57,3 +57,28 @@ def test_tree_shap_equals_brute_force_shapley(x):
         assert phi[i] == pytest.approx(want, abs=1e-12)
     assert base == pytest.approx(_cond_expectation(t, x, set()))
     assert base + phi.sum() == pytest.approx(_cond_expectation(t, x, {0, 1, 2}))
+
+
+def test_spark_gbt_attributions_sum_to_model_logit(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from hostgraph.operators import attribution as AT
+    from hostgraph.operators import models as ML
+    rng = np.random.default_rng(7)
+    rows = [(int(i), float(a), float(b), float(c), int(a + 0.5 * b > 1.0))
+            for i, (a, b, c) in enumerate(rng.uniform(0, 1.5, (300, 3)))]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double, c double, y int")
+    cols = ["a", "b", "c"]
+    model = ML.gbt_pipeline(cols, max_iter=6, max_depth=3).fit(df)
+    path = str(tmp_path / "gbt")
+    ML.save_model(model, path)
+    ex = AT.explain(spark, model, path, df, cols, keep=("row_id", "y"))
+    raw = model.transform(df).select("row_id", (2 * vector_to_array("rawPrediction")[1]).alias("lo"))
+    err = ex.join(raw, "row_id").agg(F.max(F.abs(F.col("logit") - F.col("lo")))).first()[0]
+    assert err < 1e-9
+    # the unused feature gets no attribution
+    phi_c = ex.select(F.max(F.abs(F.col("phi")[2]))).first()[0]
+    used = set(AT.load_tree_nodes(spark, path)["feature"].tolist())
+    if 2 not in used:
+        assert phi_c == 0.0
