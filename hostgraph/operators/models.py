@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,13 @@ def feature_columns(df: DataFrame, with_graph: bool = True, extra_exclude: tuple
     return out
 
 
+def require_columns(df: DataFrame, cols: list[str]) -> None:
+    """Schema-only check (no data read) that a saved feature list fits the input table."""
+    missing = sorted(set(cols) - set(df.columns))
+    if missing:
+        raise ValueError(f"input lacks the model's feature columns: {missing}")
+
+
 def as_float(df: DataFrame, cols: list[str]) -> DataFrame:
     """Narrow the features to float (halves memory; ML vectors widen to double)."""
     keep = [F.col(c).cast("float").alias(c) if c in cols else F.col(c) for c in df.columns]
@@ -91,6 +98,9 @@ def decode_predictions(model: PipelineModel, scored: DataFrame, out: str = "pred
 
 def score(model: PipelineModel, df: DataFrame, pred: str = "pred", proba: str = "attack_probability") -> DataFrame:
     """Class and attack probability per row (``vector_to_array`` stays in the JVM)."""
+    for stage in model.stages:                     # the imputer holds the feature list
+        if isinstance(stage, ImputerModel):
+            require_columns(df, stage.getInputCols())
     s = model.transform(df)
     return (s.withColumn(pred, F.col("prediction").cast("int"))
             .withColumn(proba, vector_to_array("probability")[1])

@@ -136,6 +136,9 @@ def q_pivot_check(spark, sf):
     tl = CH.post_compromise_timeline(data.drop("side"), pz, t0)
     piv = tl.where(F.col("is_novel_destination") & is_internal_ip("dst")).select("row_id")
     rows = data.join(piv, "row_id", "left_semi")
+    n_ids, n_rows = piv.count(), rows.count()
+    if n_ids != n_rows:          # every pivot id must match exactly one flow
+        raise ValueError(f"expected {n_ids} pivot rows, matched {n_rows}")
     s = ML.score(ST.day_split_model(spark, sf), ML.as_float(rows, cols))
     return rounded(s.select("row_id", "dst", "ts", F.col("pred").cast("boolean").alias("flagged"),
                             F.col("attack_probability").alias("probability")))

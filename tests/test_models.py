@@ -40,3 +40,11 @@ def test_isolation_forest_scores_outliers_higher(spark):
 def test_c_factor_known_values():
     assert IF.c_factor([2])[0] == 1.0
     assert abs(IF.c_factor([256])[0] - 10.244770920116851) < 1e-9
+
+
+def test_require_columns_schema_only(spark):
+    import pytest
+    df = spark.createDataFrame([(1.0,)], "a double")
+    ML.require_columns(df, ["a"])
+    with pytest.raises(ValueError):
+        ML.require_columns(df, ["a", "b"])
