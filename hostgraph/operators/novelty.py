@@ -4,7 +4,9 @@ The first occurrence of every pair is found with a *partially aggregated* ``min`
 struct (ts, row_id) — one combined row per pair per task, however hot the pair — and the
 flag is the equality test after a join on the pair (AQE splits a skewed pair on the flow
 side; the pair side has one row per key).  No window sorts a hot pair's flows in one task.
-Ties in time are broken by ``row_id`` (the stable original order).
+Ties in time are broken by ``row_id`` (the stable original order).  ``min`` of a struct
+runs as a sort-based partial aggregation (struct buffers are not hash-aggregated): exact and
+spill-friendly, at the price of a per-task sort instead of a hash table.
 """
 from __future__ import annotations
 
