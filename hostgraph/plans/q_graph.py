@@ -18,7 +18,7 @@ def flows_edges(spark, sf, width=FEATURE_WIDTH):
 
 
 def flows_features(spark, sf, width=FEATURE_WIDTH, with_graph_measures=True):
-    from .host_pipeline import host_feature_table
+    from .host_table import host_feature_table
     return host_feature_table(events_flows(spark, sf), width, with_graph_measures)
 
 

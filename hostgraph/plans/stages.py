@@ -36,7 +36,7 @@ def _cached(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 
 def host_features(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) -> DataFrame:
-    from .host_pipeline import host_feature_table
+    from .host_table import host_feature_table
     return _cached(spark, sf, f"host-features-{width.replace(' ', '')}",
                    lambda: host_feature_table(events_flows(spark, sf), width, True))
 
