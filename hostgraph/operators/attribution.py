@@ -19,7 +19,6 @@ value is scaled by 2 * w_t and ``base + sum(phi) == log-odds`` of the row.
 """
 from __future__ import annotations
 
-import glob
 import math
 
 import numpy as np
@@ -28,12 +27,22 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import local_path
 
 
-def load_tree_nodes(spark: SparkSession, model_path: str) -> pd.DataFrame:
+def stage_path(model_path: str, model: PipelineModel, index: int = -1) -> str:
+    """Folder of one stage inside a saved pipeline: ``stages/<zero-padded index>_<uid>``
+    (the pipeline writer's layout).  Built from the model, not by listing a folder, so it
+    works on any shared file system."""
+    n = len(model.stages)
+    i = index % n
+    return f"{model_path.rstrip('/')}/stages/{str(i).zfill(len(str(n)))}_{model.stages[i].uid}"
+
+
+def load_tree_nodes(spark: SparkSession, model_path: str, model: PipelineModel | None = None) -> pd.DataFrame:
     """Node table of the boosted-tree stage of a saved pipeline (small by construction)."""
-    stage = [p for p in glob.glob(local_path(model_path) + "/stages/*") if "GBTClassifier" in p][0]
+    if model is None:
+        model = PipelineModel.load(model_path)
+    stage = stage_path(model_path, model, -1)
     nodes = spark.read.parquet(stage + "/data").select(
         "treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"),
         F.col("nodeData.rawCount").alias("cover"), F.col("nodeData.leftChild").alias("left"),
@@ -110,7 +119,7 @@ def explain(spark: SparkSession, model: PipelineModel, model_path: str, rows: Da
     """Adds ``base``, ``logit`` and ``phi array<double>`` (one entry per feature, in ``cols``
     order) to the rows; rows are imputed by the model's own first stage."""
     gbt = model.stages[-1]
-    leaves, base = leaf_paths(load_tree_nodes(spark, model_path), list(gbt.treeWeights))
+    leaves, base = leaf_paths(load_tree_nodes(spark, model_path, model), list(gbt.treeWeights))
     bc = spark.sparkContext.broadcast((leaves, base))
     imputed = model.stages[0].transform(rows)
     imp_cols = model.stages[0].getOutputCols()

@@ -79,6 +79,6 @@ def test_spark_gbt_attributions_sum_to_model_logit(spark, tmp_path):
     assert err < 1e-9
     # the unused feature gets no attribution
     phi_c = ex.select(F.max(F.abs(F.col("phi")[2]))).first()[0]
-    used = set(AT.load_tree_nodes(spark, path)["feature"].tolist())
+    used = set(AT.load_tree_nodes(spark, path, model)["feature"].tolist())
     if 2 not in used:
         assert phi_c == 0.0
