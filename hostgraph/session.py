@@ -63,12 +63,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/hostgraph-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (only used by local-mode helpers)."""
-    return path[5:] if path.startswith("file:") else path
-
-
-__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "local_path", "materialize"]
+__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "materialize", "scale_conf"]
 
 
 def materialize(df):
