@@ -48,3 +48,12 @@ def test_require_columns_schema_only(spark):
     ML.require_columns(df, ["a"])
     with pytest.raises(ValueError):
         ML.require_columns(df, ["a", "b"])
+
+
+def test_scale_conf_sizes_partitions_from_input():
+    from hostgraph.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4)                      # 100 TB
+    assert int(c["spark.sql.shuffle.partitions"]) == 409_600
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = scale_conf(10 * 1024 ** 2, executors_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24
