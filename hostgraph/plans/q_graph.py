@@ -182,3 +182,16 @@ def q_edge_snapshot(spark, sf):
     sinks.write_parquet(ed, path, ("day",))
     back = sinks.read_parquet(spark, path).where(F.col("day") == "Friday")
     return rounded(back.select("bucket", "src", "dst", "flow_count", "total_bytes"))
+
+
+@register("report_sink", "A10", _top_sql("flow_volume_zscore", "flow_volume, "))
+def q_report_sink(spark, sf):
+    """The top flow-volume report written as a one-file JSON report (a small aggregate by
+    construction) and read back with its schema."""
+    from ..session import scratch_path
+    from ..sources import sinks
+    hf = FT.add_baselines(FT.host_bucket_stats(flows_edges(spark, sf)))
+    report = rounded(FT.top_k(hf, "flow_volume_zscore", 10, ("flow_volume",)))
+    path = scratch_path(spark, "report-top-volume")
+    sinks.write_report(report, path, "json", ("bucket", "host"))
+    return spark.read.schema(report.schema).json(path)

@@ -7,7 +7,7 @@ def test_every_query_has_survey_id_and_sql_keys_are_queries():
     q, sql = ent.queries(), ent.oracle_sql()
     assert set(sql) <= set(q)
     assert all(REGISTRY[n].survey_id for n in q)
-    assert len(q) >= 79
+    assert len(q) >= 88
 
 
 def test_entry_smoke(spark):
