@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import packing, token_output, warc
+from . import (bpe, bpe_functions, fingerprints, lattice, packing, pii, preference, prob_minhash, token_output,
+               toxicity, warc)
 
 LLM: dict[str, tuple] = {}
 
@@ -66,3 +67,92 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(packing.pack_documents(
         table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+SQL_OP1 = """
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL),
+u AS (
+  SELECT vec_id, x FROM v
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(x, c -> c <> 0)) > 0),
+e AS (
+  SELECT a.vec_id AS s, b.vec_id AS t FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT vec_id AS s, vec_id AS t FROM v UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t),
+c AS (SELECT s AS vec_id, min(t) AS component_id FROM r GROUP BY s),
+n AS (SELECT s AS vec_id, count(*) AS n_links FROM e GROUP BY s)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+@register("op1_lattice_hashing", SQL_OP1)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf, "embeddings"))
+
+
+@register("op2_bootstrapped_pii")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf, "documents")))
+
+
+@register("op5_byte_level_bpe")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe_functions.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digest(bpe_functions.decode(coded, ranks))
+
+
+@register("op6_factorization_machine")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return model.score(docs).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+SQL_OP7 = """
+WITH t AS (
+  SELECT conv_id, list(struct_pack(role := role, body := body) ORDER BY turn, role, body) AS t
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body FROM conversations)
+  GROUP BY conv_id),
+l AS (
+  SELECT *, list_filter(range(1, len(t) + 1), i -> t[i].role = 'assistant') AS a FROM t),
+s AS (
+  SELECT *, CASE WHEN len(a) > 0 THEN a[-1] ELSE len(t) END AS k,
+         CASE WHEN len(a) > 1 AND t[a[-2]].body <> t[a[-1]].body THEN t[a[-2]].body
+              WHEN len(a) > 0 THEN left(t[a[-1]].body, length(t[a[-1]].body) // 2) END AS stale
+  FROM l),
+f AS (
+  SELECT conv_id, t, k, stale, len(a) > 0 AND stale <> t[k].body AS differs,
+         replace(t[k].body, '<|im_', '<\\|im_') AS good, replace(stale, '<|im_', '<\\|im_') AS bad,
+         list_transform(t, x -> '<|im_start|>' || replace(x.role, '<|im_', '<\\|im_') || chr(10)
+                                || replace(x.body, '<|im_', '<\\|im_') || '<|im_end|>' || chr(10)) AS lines
+  FROM s)
+SELECT conv_id AS pair_id, CAST(CASE WHEN differs THEN k - 1 ELSE k END AS INT) AS n_prompt_turns,
+       coalesce(array_to_string(lines[1:CASE WHEN differs THEN k - 1 ELSE k END], ''), '') AS prompt,
+       CASE WHEN differs THEN '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) ELSE '' END AS chosen,
+       CASE WHEN differs THEN '22:' || (32 + length(good)) ELSE '' END AS chosen_mask,
+       CASE WHEN differs THEN '<|im_start|>assistant' || chr(10) || bad || '<|im_end|>' || chr(10) ELSE '' END AS rejected,
+       CASE WHEN differs THEN '22:' || (32 + length(bad)) ELSE '' END AS rejected_mask
+FROM f
+"""
+
+
+@register("op7_preference_pairs", SQL_OP7)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return preference.format_preferences(preference.conversation_pairs(table(spark, sf, "conversations")))
+
+
+@register("op9_prob_minhash")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return prob_minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@register("op10_one_permutation")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    c = fingerprints.compare_neighbours(table(spark, sf, "documents"))
+    text = lambda name: F.lower(F.hex(name)).alias(name)
+    return c.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"),
+                    "near_edited", "near_next")
