@@ -67,9 +67,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))).alias("at", "word"))
     known = (words.where("word IS NOT NULL").select("word").distinct()
              .select("word", word_ids(F.col("word"), rank_literal(ranks)).alias("ids")))
-    return (words.join(known, "word", "left").groupBy("row", "doc_id")
-            .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x"))
-            .select("doc_id", F.filter(F.flatten(F.col("x.ids")), lambda i: i.isNotNull()).alias("ids")))
+    placed = words.join(known, "word", "left").select(
+        "row", "doc_id", F.struct("at", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).alias("x"))
+    return (placed.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+            .select("doc_id", F.flatten(F.col("x.ids")).alias("ids")))
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -190,17 +190,18 @@ def digest(found: DataFrame) -> DataFrame:
     by_start = lambda spans: F.transform(F.sort_array(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.concat_ws(
             ":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-              for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts,
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    return found.select("doc_id", *map(count, range(len(KINDS))),
                         F.sha2(F.array_join(by_start(F.col("base")), ","), 256).alias("base_sha256"),
                         F.array_join(by_start(F.concat("base", "added")), ",").alias("spans"),
                         F.size("added").cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with every span (overlapping ones as one) replaced by its kind in brackets, and
-    ``n_chars``, if there is such a column, counted again.  All rows and columns stay."""
+    """The documents with every span (overlapping ones as one, named by the longest) replaced by its kind in
+    brackets, and ``n_chars``, if there is such a column, counted again.  All rows and columns stay."""
     spans = (found.where(F.size(F.concat("base", "added")) > 0).dropDuplicates(["text_key"])
              .select("text_key", F.sort_array(F.concat("base", "added")).alias("spans")))
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -208,7 +209,9 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        longer = s["end"] - s["start"] > last["end"] - last["start"]
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
+                         F.when(longer, s["kind"]).otherwise(last["kind"]).alias("kind"))
         own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
         return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]),
                       F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(own)))

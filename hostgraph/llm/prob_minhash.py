@@ -39,10 +39,10 @@ def signatures(sets: list[tuple], registers: int) -> np.ndarray:
     time = np.zeros(len(key))
     first = np.full(len(sets) * registers, np.inf)
     winner = np.zeros(len(sets) * registers, np.uint64)
-    turn = 0
+    shift = np.zeros(1, np.uint64)
     while len(key):
-        turn += 1
-        seed = mix(key + _GOLDEN * np.uint64(turn))
+        shift += _GOLDEN
+        seed = mix(key + shift)
         u = ((seed >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
         time = time - np.log(u) / weight
         latest = first.reshape(len(sets), registers).max(1)

@@ -22,6 +22,7 @@ FOLDS = 5            # rows whose crc32(doc_id) is 0 modulo this are held out
 MAX_ROWS = 20_000    # labelled rows that training reads at most
 BUCKETS = 1 << 18
 SELECTED = 1024
+LEAST = 10.83
 FACTORS = 4
 
 
@@ -32,9 +33,12 @@ def held_out(doc_id: Column) -> Column:
 def terms(text: Column) -> Column:
     """Distinct words and word beginnings; none for a null text."""
     words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
-    heads = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n),
-                         lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in (4, 5)]
-    return F.filter(F.concat(words, *map(F.array_distinct, heads)), lambda w: w != "")
+
+    def heads(n: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > n),
+                                            lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))))
+
+    return F.filter(F.concat(words, heads(4), heads(5)), lambda w: w != "")
 
 
 def _features(docs: DataFrame, buckets: int) -> DataFrame:
@@ -45,7 +49,7 @@ def _features(docs: DataFrame, buckets: int) -> DataFrame:
 @dataclass
 class ToxicityModel:
     """``buckets`` hashed terms, the ``selected`` ones in order, and the machine over them; without
-    a machine (labels of one kind or none) every text gets ``rate``."""
+    a machine (labels of one kind or none, or no telling term) every text gets ``rate``."""
 
     buckets: int
     selected: list[int]
@@ -68,12 +72,13 @@ class ToxicityModel:
 
 
 def _choose(counts: dict[int, tuple[int, np.ndarray]], selected: int) -> list[int]:
-    """Buckets by the squared difference of their shares, in units of its variance."""
+    """The buckets whose shares differ most between the labels: squared difference in units of its
+    variance, and at least ``LEAST`` of them (chi-square, one in a thousand by chance)."""
     (n0, c0), (n1, c1) = counts[0], counts[1]
     rate = (c0 + c1 + 1) / (n0 + n1 + 2)
     z = (c1 / n1 - c0 / n0) ** 2 / (rate * (1 - rate) * (1 / n0 + 1 / n1))
     top = np.lexsort((np.arange(len(z)), -z))[:selected]
-    return sorted(int(i) for i in top)
+    return sorted(int(i) for i in top if z[i] >= LEAST)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, buckets: int = BUCKETS,
@@ -94,6 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, buckets: i
     machine, chosen = None, []
     if n0 and n1:
         chosen = _choose(counts, min(selected, buckets))
+    if chosen:
         data = VectorSlicer(inputCol="_hashed", outputCol="features", indices=chosen).transform(rows)
         machine = FMClassifier(featuresCol="features", labelCol="label", factorSize=factors, maxIter=iterations,
                                stepSize=step, regParam=1e-4, seed=1).fit(
