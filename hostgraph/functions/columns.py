@@ -66,6 +66,12 @@ def lit_as(value, dtype) -> Column:
     return F.lit(value).cast(dtype)
 
 
+def seconds_between(start, end) -> Column:
+    """Exact seconds from ``start`` to ``end`` (microsecond resolution, no rounding of either
+    end); NULL when either is missing."""
+    return F.timestamp_diff("MICROSECOND", start.cast("timestamp_ntz"), end.cast("timestamp_ntz")) / F.lit(1e6)
+
+
 def parse_ambiguous_timestamp(s) -> Column:
     """``D/M/YYYY h:mm[:ss]`` on a 12-hour clock without am/pm -> ``timestamp_ntz``.
 
@@ -91,6 +97,11 @@ def binary_label(label) -> Column:
     return F.when(_col(label).eqNullSafe(F.lit(BENIGN)), F.lit(0)).otherwise(F.lit(1))
 
 
+def derived_bytes(forward, backward) -> Column:
+    """Bytes of a flow in both directions; NULL if either is missing."""
+    return _col(forward).cast("double") + _col(backward).cast("double")
+
+
 def is_internal_ip(ip) -> Column:
     return _col(ip).startswith(INTERNAL_PREFIX)
 

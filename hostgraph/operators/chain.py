@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_internal_ip, lit_as
+from ..functions.columns import is_internal_ip, lit_as, seconds_between
 from .scan import running_count
 
 
@@ -31,7 +31,7 @@ def compromise_window(flows: DataFrame, attack_label: str, label_col: str = "lab
                 F.min(ts).alias("compromise_start"), F.max(ts).alias("compromise_end"),
                 F.count(F.lit(1)).alias("n_flows"), F.count_distinct(dst).alias("n_destinations"))
     pz = F.when(F.col("n_sources") == 1, F.col("_pz")).otherwise(F.raise_error(F.concat(
-        F.lit(f"expected exactly one source for label {attack_label!r}, got "),
+        F.lit(f"label {attack_label!r} must come from a single source; sources found: "),
         F.col("n_sources").cast("string"))))
     return agg.select(pz.alias("patient_zero"), "compromise_start", "compromise_end",
                       "n_flows", "n_destinations")
@@ -43,7 +43,7 @@ def find_patient_zero(flows: DataFrame, attack_label: str, label_col: str = "lab
     srcs = [r[0] for r in flows.where(F.col(label_col) == attack_label)
             .select(src).distinct().limit(2).collect()]
     if len(srcs) != 1:
-        raise ValueError(f"expected exactly one source for {attack_label!r}, got {srcs}")
+        raise ValueError(f"label {attack_label!r} must come from a single source; found {srcs}")
     return srcs[0]
 
 
@@ -57,8 +57,9 @@ def post_compromise_timeline(flows: DataFrame, patient_zero: str, t0, src: str =
                              dst: str = "dst", ts: str = "ts", id_col: str = "row_id",
                              chunks: int | None = None) -> DataFrame:
     """Flows of ``patient_zero`` at or after ``t0``, with ``is_novel_destination``,
-    ``cumulative_distinct_destinations`` and ``n_prior_destinations``.  Host and time are
-    literals, so the host filter is evaluated right after the scan."""
+    ``cumulative_distinct_destinations`` and ``n_prior_destinations``.  A missing destination
+    counts as one destination of its own; flows without a time have no place in the order and
+    are left out.  Host and time are literals, so the host filter is evaluated right after the scan."""
     host = flows.where((F.col(src) == F.lit(patient_zero)) & F.col(ts).isNotNull())
     t0c = lit_as(t0, flows.schema[ts].dataType)
     firsts = (host.groupBy(src, dst)
@@ -67,10 +68,10 @@ def post_compromise_timeline(flows: DataFrame, patient_zero: str, t0, src: str =
     n_prior = (firsts.groupBy(src)
                .agg(F.count_if(F.col("_first.ts") < t0c).alias("n_prior_destinations")))
     tl = (host.where(F.col(ts) >= t0c)
-          .join(firsts, [src, dst])
+          .join(firsts.select(F.col(dst).alias("_dst"), "_first"), F.col(dst).eqNullSafe(F.col("_dst")))
           .withColumn("is_novel_destination",
-                      (F.col("_first.ts") == F.col(ts)) & (F.col("_first.id") == F.col(id_col)))
-          .drop("_first"))
+                      (F.col("_first.ts") == F.col(ts)) & F.col("_first.id").eqNullSafe(F.col(id_col)))
+          .drop("_first", "_dst"))
     tl = running_count(tl, "is_novel_destination", [ts, id_col], "_novel_so_far", chunks)
     return (tl.join(F.broadcast(n_prior), src)
             .withColumn("cumulative_distinct_destinations",
@@ -118,5 +119,4 @@ def chain_headline(timeline: DataFrame, t0, dst: str = "dst", ts: str = "ts",
         F.count_if(pivot & F.col(flag)).alias("n_pivots_caught"),
         F.max("n_prior_destinations").alias("n_prior_destinations"),
         (F.count_if(F.col(flag)) / F.count(F.lit(1))).alias("flagged_share"),
-        (F.unix_timestamp(first_novel.cast("timestamp"))
-         - F.unix_timestamp(t0c.cast("timestamp"))).alias("first_novel_latency_s"))
+        seconds_between(t0c, first_novel).alias("first_novel_latency_s"))

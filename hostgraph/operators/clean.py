@@ -8,15 +8,19 @@ from pyspark.sql.types import DoubleType, FloatType
 from ..functions.columns import fix_label_encoding as _fix_label
 from ..functions.columns import inf_to_null
 
-# Capture file -> weekday (fixed values of the capture's file naming).
+# Capture file -> weekday.  The first eight are fixed values: the names that the public capture
+# gives its files.  The last two are ours, for a table that has flows on every day.
 FILE_TO_DAY = {
-    "Monday-WorkingHours.csv": "Monday",
-    "Tuesday-WorkingHours.csv": "Tuesday",
-    "Wednesday-WorkingHours.csv": "Wednesday",
-    "Thursday-WorkingHours.csv": "Thursday",
-    "Friday-WorkingHours.csv": "Friday",
-    "Saturday-WorkingHours.csv": "Saturday",
-    "Sunday-WorkingHours.csv": "Sunday",
+    "Monday-WorkingHours.pcap_ISCX.csv": "Monday",
+    "Tuesday-WorkingHours.pcap_ISCX.csv": "Tuesday",
+    "Wednesday-workingHours.pcap_ISCX.csv": "Wednesday",
+    "Thursday-WorkingHours-Morning-WebAttacks.pcap_ISCX.csv": "Thursday",
+    "Thursday-WorkingHours-Afternoon-Infilteration.pcap_ISCX.csv": "Thursday",
+    "Friday-WorkingHours-Morning.pcap_ISCX.csv": "Friday",
+    "Friday-WorkingHours-Afternoon-DDos.pcap_ISCX.csv": "Friday",
+    "Friday-WorkingHours-Afternoon-PortScan.pcap_ISCX.csv": "Friday",
+    "Saturday-WorkingHours.pcap_ISCX.csv": "Saturday",
+    "Sunday-WorkingHours.pcap_ISCX.csv": "Sunday",
 }
 
 

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
+PART_PAIRS = 1000
+
+
 def undirected_pairs(edges: DataFrame) -> DataFrame:
     """(bucket, u, v, m) with u < v, self-loops dropped."""
     return (edges.where(F.col("src") != F.col("dst"))
@@ -31,10 +34,11 @@ def undirected_pairs(edges: DataFrame) -> DataFrame:
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
     """``(bucket, host, clustering_coefficient)`` for every node (self-loop-only nodes: 0).
 
-    The degree table and the oriented pair table are each written once (reliable
-    checkpoints): wedges, closing pairs and denominators all read them instead of
-    re-deriving the undirected pairs per reference."""
-    und = undirected_pairs(edges)
+    The undirected pairs, the degree table and the oriented pair table are each written once
+    (reliable checkpoints): wedges, closing pairs and denominators read them instead of
+    re-deriving the pairs per reference.  A node with many oriented neighbours (up to the root
+    of twice the edges) has its wedges dealt out in parts of ``PART_PAIRS`` first neighbours."""
+    und = materialize(undirected_pairs(edges))
     ends = und.select("bucket", F.explode(F.array(
         F.struct(F.col("u").alias("x"), F.col("m")), F.struct(F.col("v").alias("x"), F.col("m")))).alias("e"))
     deg = materialize(ends.groupBy("bucket", F.col("e.x").alias("host")).agg(
@@ -50,9 +54,14 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
         "bucket", "u", "v", "m",
         F.when(low_u, F.col("u")).otherwise(F.col("v")).alias("x"),
         F.when(low_u, F.col("v")).otherwise(F.col("u")).alias("y")))
-    a = oriented.select("bucket", "x", F.col("y").alias("y1"), F.col("m").alias("m1"))
-    b = oriented.select("bucket", "x", F.col("y").alias("y2"), F.col("m").alias("m2"))
-    wedges = a.join(b, ["bucket", "x"]).where(F.col("y1") < F.col("y2"))
+    parts = (oriented.groupBy("bucket", "x")
+             .agg(F.ceil(F.count(F.lit(1)) / PART_PAIRS).cast("int").alias("parts")))
+    dealt = oriented.join(parts, ["bucket", "x"])
+    a = dealt.select("bucket", "x", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"),
+                     F.col("y").alias("y1"), F.col("m").alias("m1"))
+    b = dealt.select("bucket", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                     F.col("y").alias("y2"), F.col("m").alias("m2"))
+    wedges = a.join(b, ["bucket", "x", "part"]).where(F.col("y1") < F.col("y2"))
     closing = oriented.select("bucket", F.col("u").alias("y1"), F.col("v").alias("y2"), F.col("m").alias("m3"))
     tri = wedges.join(closing, ["bucket", "y1", "y2"])
     t = F.col("m1") * F.col("m2") * F.col("m3")

@@ -30,6 +30,7 @@ ZSCORE_EPS = {
 }
 MIN_OBSERVATIONS = 2
 
+# The names of the thirteen features, in order.
 FEATURE_COLUMNS = (
     "fan_out", "fan_in", "pagerank", "clustering_coefficient", "degree_ratio_change",
     "novelty_score", "flow_volume", "byte_volume", "fan_out_zscore", "fan_in_zscore",

@@ -1,14 +1,15 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) on Spark.
 
-* Subsamples: the ``n_trees * sample_size`` rows of smallest ``md5(seed|id)`` are taken
-  with the exact distributed ``hash_rank`` (no sort of the whole table); row of rank r
-  goes to tree (r - 1) // sample_size, so every tree gets ``sample_size`` distinct rows.
+* Subsamples: each tree draws its own ``sample_size`` rows without replacement, by its own
+  seeded hash, so trees share rows as independent draws do and all trees asked for are built
+  whatever the table's size.  They draw from the ``n_trees * sample_size`` rows of smallest
+  ``md5(seed|id)`` (the whole table if it is smaller), found with a filter ahead of the shuffle.
 * Trees: ``groupBy(tree).applyInPandas`` — one task per tree, each on exactly
   ``sample_size`` rows (a fixed bound), random axis-parallel splits up to
   ``ceil(log2(sample_size))`` levels, seeded per tree.
 * Scoring: the node table (at most ``n_trees * (2 * sample_size - 1)`` rows, a fixed
   bound) is broadcast into ``mapInPandas``; Arrow batches of rows walk all trees with
-  vectorised numpy.  Score s = 2 ** (-E[h(x)] / c(sample_size)); outlier iff s > 0.5
+  vectorised numpy.  Score s = 2 ** (-E[h(x)] / c(rows of a tree)); outlier iff s > 0.5
   (the ``contamination="auto"`` rule).
 """
 from __future__ import annotations
@@ -17,11 +18,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .splits import hash_rank
+from .splits import stratified_sample
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
@@ -72,20 +73,28 @@ def _build_tree(pdf: pd.DataFrame, cols: list[str], seed: int, max_depth: int) -
 def fit(df: DataFrame, cols: list[str], id_col: str = "row_id", n_trees: int = 200,
         sample_size: int = 256, seed: int = 42) -> pd.DataFrame:
     """Node table of the forest (``n_trees * (2 * sample_size - 1)`` rows at most)."""
-    ranked = hash_rank(df.select(id_col, *cols), [], id_col, seed)
-    sample = (ranked.where(F.col("hash_rank") <= n_trees * sample_size)
-              .withColumn("_tree", ((F.col("hash_rank") - 1) / sample_size).cast("int")))
+    pool = stratified_sample(df.select(id_col, *cols), None, n_trees * sample_size, id_col, seed)
+    pool = pool.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))   # a bounded table
+    # of the pool's n rows a tree looks at those whose hash is below a bound that leaves more
+    # than sample_size of them (by six standard deviations), and ranks these
+    share = F.least(F.lit(1.0), (sample_size + 6 * math.sqrt(sample_size) + 16) / F.col("_n"))
+    drawn = (pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+             .withColumn("_h", F.xxhash64(F.lit(seed), "_tree", id_col))
+             .where(F.shiftrightunsigned("_h", 11) / float(1 << 53) < share))
+    own = Window.partitionBy("_tree").orderBy("_h", id_col)
+    sample = (drawn.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= sample_size)
+              .select("_tree", *cols))
     depth = int(math.ceil(math.log2(sample_size)))
-    nodes = (sample.select("_tree", *cols).groupBy("_tree")
-             .applyInPandas(lambda p: _build_tree(p, cols, seed, depth), NODE_SCHEMA))
+    nodes = sample.groupBy("_tree").applyInPandas(lambda p: _build_tree(p, cols, seed, depth), NODE_SCHEMA)
     return nodes.toPandas()
 
 
-def score(df: DataFrame, forest: pd.DataFrame, cols: list[str], sample_size: int = 256,
+def score(df: DataFrame, forest: pd.DataFrame, cols: list[str],
           out: str = "anomaly_score", flag: str = "is_outlier") -> DataFrame:
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(forest.sort_values(["tree", "node"]).reset_index(drop=True))
-    norm = float(c_factor([sample_size])[0])
+    roots = forest.loc[forest["depth"] == 0, "size"]
+    norm = float(c_factor([roots.mean()])[0])
     schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType()),
                                                   StructField(flag, BooleanType())])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_internal_ip
+from ..functions.columns import is_internal_ip, seconds_between
 
 
 def first_detection_time(timeline: DataFrame, flag: str = "flagged", ts: str = "ts",
@@ -21,10 +21,6 @@ def hosts_reached_by(cutoff: F.Column, first_col: str = "first_contact") -> F.Co
     return F.count_if(F.col(first_col) <= cutoff)
 
 
-def _secs(a: F.Column, b: F.Column) -> F.Column:
-    return F.unix_timestamp(a.cast("timestamp")) - F.unix_timestamp(b.cast("timestamp"))
-
-
 def mttd_table(timeline: DataFrame, ts: str = "ts", src: str = "src", dst: str = "dst",
                flag: str = "flagged") -> DataFrame:
     """One row per compromised host: compromise start, first alert on any flow / on the
@@ -45,7 +41,7 @@ def mttd_table(timeline: DataFrame, ts: str = "ts", src: str = "src", dst: str =
         F.count("first_contact").alias("n_pivots"))
     return out.select(
         "compromise_start", "first_alert_any", "first_alert_chain",
-        _secs(F.col("first_alert_any"), F.col("compromise_start")).alias("latency_any_s"),
-        _secs(F.col("first_alert_chain"), F.col("compromise_start")).alias("latency_chain_s"),
-        _secs(F.col("first_alert_chain"), F.col("first_alert_any")).alias("gap_s"),
+        seconds_between(F.col("compromise_start"), F.col("first_alert_any")).alias("latency_any_s"),
+        seconds_between(F.col("compromise_start"), F.col("first_alert_chain")).alias("latency_chain_s"),
+        seconds_between(F.col("first_alert_any"), F.col("first_alert_chain")).alias("gap_s"),
         "hosts_reached_any", "hosts_reached_chain", "n_pivots")

@@ -24,13 +24,15 @@ def first_contacts(flows: DataFrame, src: str = "src", dst: str = "dst", ts: str
 
 def flow_novelty(flows: DataFrame, src: str = "src", dst: str = "dst", ts: str = "ts",
                  id_col: str = "row_id", out: str = "novel_dst_for_src") -> DataFrame:
-    """Adds ``out``: true iff no earlier flow (by ts, then row_id) had the same pair."""
+    """Adds ``out``: true iff no earlier flow (by ts, then row_id) had the same pair.  A missing
+    end is an end like any other; a flow without a time is never a first contact."""
     firsts = first_contacts(flows, src, dst, ts, id_col)
-    j = flows.join(firsts, [src, dst], "left")
+    f = firsts.select(F.col(src).alias("_src"), F.col(dst).alias("_dst"), "first")
+    j = flows.join(f, F.col(src).eqNullSafe(F.col("_src")) & F.col(dst).eqNullSafe(F.col("_dst")), "left")
     return (j.withColumn(out, F.coalesce(
-                (F.col("first.ts") == F.col(ts)) & (F.col("first.id") == F.col(id_col)),
+                (F.col("first.ts") == F.col(ts)) & F.col("first.id").eqNullSafe(F.col(id_col)),
                 F.lit(False)))
-            .drop("first"))
+            .drop("first", "_src", "_dst"))
 
 
 def flow_novelty_both(flows: DataFrame, **kw) -> DataFrame:

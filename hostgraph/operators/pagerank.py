@@ -7,42 +7,38 @@ iteration falls below ``N * tol`` (at most ``max_iter`` iterations); the returne
 is the one that met the tolerance.
 
 Distributed form:
-* ``en``  = normalised edges, hash-partitioned on (bucket, src) and checkpointed once;
-* state   = (bucket, host, rank, prev, n, dangling, done), partitioned on (bucket, host);
-* a step  = state ⋈ en on (bucket, src) [the edge side keeps its partitioning] ->
-  partial+final sum by (bucket, dst) [the one shuffle of edge-sized data] -> state ⋈ sums;
-* per-bucket numbers (dangling mass, L1 change, done) are one aggregate of the state —
-  one row per bucket, broadcast only when the counted number of buckets is below
-  ``BROADCAST_MAX_BUCKETS`` (otherwise a shuffle join);
-* each step's state is written as a parquet table into the cluster's checkpoint folder
-  and read back: the plan stays one step deep, a lost executor recomputes at most one
-  step, and size statistics restart from the files (``Dataset.checkpoint`` keeps the
-  estimated size of the whole history, which multiplies with every join until the
-  estimate itself exhausts the heap).  The loop stops when every bucket is done.
+* out-weights and node counts are aggregates (partially combined per task) joined back, never
+  windows, so neither a bucket nor a scanning host is ever one task's rows;
+* a source with more than ``PART_EDGES`` edges in a bucket is split in parts by a hash of its
+  destinations, and its one state row is replicated to its parts in the step's join;
+* a step moves the contributions (partially summed per destination) and the node state;
+* per-bucket numbers (dangling mass, L1 change, done) are one aggregate of the state; the
+  join with them is planned by AQE from its measured size;
+* each step's state is a parquet table in the cluster's checkpoint folder, read back: the plan
+  stays one step deep and a lost executor recomputes at most one step.  The state before the
+  last is deleted.  The loop stops when every bucket is done and raises if one never is.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import delete_path, scratch_path
 
-BROADCAST_MAX_BUCKETS = 1_000_000   # status rows (one per bucket) broadcast below this
-EDGE_ROWS_PER_PARTITION = 1_000_000  # ~50 MB of normalised edges per partition
+PART_EDGES = 100_000    # edges of one source in one bucket that stay together
 ALPHA = 0.85
 TOL = 1.0e-6
 MAX_ITER = 100
 
 
-def _parts(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def normalised_edges(edges: DataFrame, weight: str = "flow_count") -> DataFrame:
-    from pyspark.sql import Window
-    w = Window.partitionBy("bucket", "src")
-    return edges.select("bucket", "src", "dst",
-                        (F.col(weight) / F.sum(weight).over(w)).alias("p"))
+    out = edges.groupBy("bucket", "src").agg(
+        F.sum(weight).alias("_w"), F.ceil(F.count(F.lit(1)) / PART_EDGES).cast("int").alias("_parts"))
+    return edges.join(out, ["bucket", "src"]).select(
+        "bucket", "src", "dst", (F.col(weight) / F.col("_w")).alias("p"),
+        F.pmod(F.xxhash64("dst"), F.col("_parts")).cast("int").alias("part"))
 
 
 def initial_state(edges: DataFrame) -> DataFrame:
@@ -50,21 +46,12 @@ def initial_state(edges: DataFrame) -> DataFrame:
         F.struct(F.col("src").alias("host"), F.lit(1).alias("o")),
         F.struct(F.col("dst").alias("host"), F.lit(0).alias("o")))).alias("e"))
     nodes = ends.groupBy("bucket", F.col("e.host").alias("host")).agg(
-        (F.max("e.o") == 0).alias("dangling"))
-    from pyspark.sql import Window
-    n = F.count(F.lit(1)).over(Window.partitionBy("bucket")).cast("double")
-    return nodes.select("bucket", "host", "dangling", n.alias("n"),
-                        (F.lit(1.0) / n).alias("rank"),
-                        F.lit(None).cast("double").alias("prev"),
-                        F.lit(False).alias("done"))
-
-
-def _bucket_status(state: DataFrame, tol: float, first: bool) -> DataFrame:
-    err = F.sum(F.abs(F.col("rank") - F.col("prev")))
-    converged = F.lit(False) if first else (err < F.first("n") * F.lit(tol))
-    return state.groupBy("bucket").agg(
-        F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("dm"),
-        (F.bool_or("done") | converged).alias("bdone"))
+        (F.max("e.o") == 0).alias("dangling"),
+        F.ceil(F.sum("e.o") / PART_EDGES).cast("int").alias("parts"))
+    n = nodes.groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return nodes.join(n, "bucket").select(
+        "bucket", "host", "dangling", "parts", "n", (F.lit(1.0) / F.col("n")).alias("rank"),
+        F.lit(None).cast("double").alias("prev"), F.lit(False).alias("done"))
 
 
 _STEP_SQL = """
@@ -72,12 +59,14 @@ WITH status AS (
   SELECT bucket, coalesce(sum(CASE WHEN dangling THEN rank END), 0D) AS dm,
          bool_or(done) {converged} AS bdone
   FROM {state} GROUP BY bucket),
+spread AS (
+  SELECT bucket, host, rank, explode(sequence(0, parts - 1)) AS part
+  FROM {state} WHERE NOT done AND NOT dangling),
 sums AS (
   SELECT e.bucket, e.dst AS host, sum(s.rank * e.p) AS s
-  FROM {edges} e JOIN {state} s ON e.bucket = s.bucket AND e.src = s.host
-  WHERE NOT s.done
+  FROM {edges} e JOIN spread s ON e.bucket = s.bucket AND e.src = s.host AND e.part = s.part
   GROUP BY e.bucket, e.dst)
-SELECT /*+ {hint} */ st.bucket, st.host, st.dangling, st.n,
+SELECT st.bucket, st.host, st.dangling, st.parts, st.n,
        CASE WHEN b.bdone THEN st.rank
             ELSE {alpha}D * (coalesce(x.s, 0D) + b.dm / st.n) + {teleport}D / st.n END AS rank,
        CASE WHEN b.bdone THEN st.prev ELSE st.rank END AS prev,
@@ -87,48 +76,45 @@ LEFT JOIN sums x ON x.bucket = st.bucket AND x.host = st.host
 """
 
 
+def _unfinished(state: DataFrame, tol: float) -> DataFrame:
+    moved = F.sum(F.abs(F.col("rank") - F.col("prev")))
+    return (state.groupBy("bucket")
+            .agg((F.bool_or("done") | (moved < F.max("n") * F.lit(tol))).alias("bdone"))
+            .where(~F.coalesce("bdone", F.lit(False))).select("bucket"))
+
+
 def pagerank(edges: DataFrame, alpha: float = ALPHA, tol: float = TOL,
              max_iter: int = MAX_ITER, weight: str = "flow_count", check_every: int = 4) -> DataFrame:
     """``(bucket, host, pagerank)`` for every node of every bucket.
 
-    Each step is one SQL statement over two temporary views (the step's state file and the
-    checkpointed edges): one analysis per step instead of a chain of DataFrame calls."""
-    import uuid
+    Raises, naming some of the buckets, if any is still moving after ``max_iter`` steps.  Each
+    step is one SQL statement over two temporary views; buckets that met the tolerance stay as
+    they are, so the driver only asks every ``check_every`` steps whether one still moves."""
     spark = edges.sparkSession
-    # partitions of the (static) edge table follow its size, capped by the session's
-    # shuffle width: small graphs do not pay for hundreds of empty tasks every step
-    n = max(1, min(_parts(spark), -(-edges.count() // EDGE_ROWS_PER_PARTITION)))
     base = scratch_path(spark, "pagerank")
     tag = uuid.uuid4().hex[:10]
     v_edges, v_state = f"_pr_edges_{tag}", f"_pr_state_{tag}"
 
     def materialise(df: DataFrame, name: str) -> DataFrame:
-        path = f"{base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    # edges: one reliable checkpoint keeps the (bucket, src) hash partitioning, so no
-    # iteration shuffles the edge table again (its size estimate is of a one-level plan)
-    en = normalised_edges(edges, weight).repartition(n, "bucket", "src").checkpoint(eager=True)
-    en.createOrReplaceTempView(v_edges)
-    state = materialise(initial_state(edges), "state-0")
-    # the per-bucket status table is broadcast only under a counted bound
-    small = state.select("bucket").distinct().count() <= BROADCAST_MAX_BUCKETS
-    it = 0
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    materialise(normalised_edges(edges, weight), "edges").createOrReplaceTempView(v_edges)
+    state, it = materialise(initial_state(edges), "state-0"), 0
     try:
-        while it < max_iter:
-            # the freeze decision is made inside every step's plan (exact per bucket); the
-            # driver only asks every few steps whether any bucket is still moving — steps
-            # run after a bucket converged leave it unchanged
-            if it % check_every == 0 and it > 0 and \
-                    _bucket_status(state, tol, False).where(~F.col("bdone")).limit(1).count() == 0:
-                break
+        while True:
+            if it and (it % check_every == 0 or it == max_iter):
+                left = [str(r[0]) for r in _unfinished(state, tol).limit(5).collect()]
+                if not left:
+                    break
+                if it >= max_iter:
+                    raise RuntimeError(f"no convergence within {max_iter} steps, e.g. in buckets {left}")
             state.createOrReplaceTempView(v_state)
             step = spark.sql(_STEP_SQL.format(
                 state=v_state, edges=v_edges, alpha=repr(alpha), teleport=repr(1.0 - alpha),
-                hint="BROADCAST(b)" if small else "SHUFFLE_HASH(b)",
                 converged="" if it == 0 else f"OR sum(abs(rank - prev)) < max(n) * {tol!r}D"))
             state = materialise(step, f"state-{it + 1}")
+            delete_path(spark, f"{base}/state-{it}")
             it += 1
     finally:
         spark.catalog.dropTempView(v_state)

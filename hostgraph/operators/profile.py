@@ -94,14 +94,15 @@ def profile_inf_missing(df: DataFrame, data_cols: list[str], file_col: str = "so
 
 
 def profile_totals(df: DataFrame, data_cols: list[str], label_col: str = "label",
-                   file_col: str = "source_file") -> DataFrame:
+                   file_col: str = "source_file", id_col: str = "row_id") -> DataFrame:
     """Overall raw / blank / real / duplicate totals and the duplicate rate.
 
     One grouping by every column (blank flag included) serves all four numbers, so the
-    totals come out of a single aggregation chain with no join."""
+    totals come out of a single aggregation chain with no join.  The row's own number is no
+    part of a duplicate's key."""
     blank = blank_mask(df, data_cols)
     groups = (df.withColumn("_blank", blank)
-              .groupBy(file_col, "_blank", *data_cols, label_col)
+              .groupBy(file_col, "_blank", *[c for c in data_cols if c != id_col], label_col)
               .agg(F.count(F.lit(1)).alias("_n")))
     t = groups.agg(
         F.sum("_n").alias("n_raw"),

@@ -55,14 +55,14 @@ def exact_quantiles(long: DataFrame, group: str, value: str, order_tail: list[st
     offs = counts.select(group, "_n", F.coalesce(F.sum("_n").over(
         Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     ranked = (running_count(d, "_one", [group, value, *order_tail], "_c", chunks)
-              .join(F.broadcast(offs), group)          # one row per group
+              .join(offs, group)                       # one row per group: AQE plans by its size
               .withColumn("_r", F.col("_c") - F.col("_off") - 1))   # 0-based rank
     want = offs.select(group, "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     want = want.select(group, "q", (F.col("q") * (F.col("_n") - 1)).alias("_pos"))
     want = want.select(group, "q", "_pos", F.floor("_pos").cast("long").alias("_lo"),
                        F.ceil("_pos").cast("long").alias("_hi"))
     picked = ranked.select(group, "_r", F.col(value).alias("_v")).join(
-        F.broadcast(want), [group]).where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
+        want, [group]).where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
     g = picked.groupBy(group, "q", "_pos", "_lo").agg(
         F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v"))).alias("_vhi"))

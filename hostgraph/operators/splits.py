@@ -23,10 +23,17 @@ def seeded_hash(id_col: str, seed: int) -> F.Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL meets NULL; the keys of ``left`` stay."""
+    r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [left[k].eqNullSafe(r[f"_k_{k}"]) for k in keys]
+    return left.join(r, cond, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def hash_rank(df: DataFrame, group_cols: list[str], id_col: str, seed: int = 42,
               rank_col: str = "hash_rank", size_col: str = "group_size") -> DataFrame:
     """Exact 1-based rank of every row inside its group by ``md5(seed|id)`` (ties by id),
-    plus the group's size."""
+    plus the group's size.  NULL is a group like any other; rows with a NULL id tie."""
     g = list(group_cols)
     d = (df.withColumn("_h", seeded_hash(id_col, seed))
          .withColumn("_p", F.substring("_h", 1, PREFIX_CHARS)))
@@ -39,7 +46,7 @@ def hash_rank(df: DataFrame, group_cols: list[str], id_col: str, seed: int = 42,
         F.sum("_n").over(wg).alias(size_col))
     within = Window.partitionBy(*g, "_p").orderBy("_h", id_col)
     ranked = d.withColumn("_rn", F.row_number().over(within))
-    return (ranked.join(offsets, [*g, "_p"])
+    return (_join_null_safe(ranked, offsets, [*g, "_p"])
             .withColumn(rank_col, F.col("_off") + F.col("_rn"))
             .drop("_h", "_p", "_rn", "_off"))
 
@@ -56,7 +63,7 @@ def holdout_class(df: DataFrame, label_col: str = "label", cls: str = "BENIGN",
                   id_col: str = "row_id", size: float = 0.1, seed: int = 42,
                   out: str = "is_holdout") -> DataFrame:
     """A seeded holdout of one class (never trained on); other rows are never holdout."""
-    one = df.where(F.col(label_col) == cls)
+    one = df.where(F.col(label_col).eqNullSafe(F.lit(cls)))
     marked = stratified_split(one, [], id_col, size, seed, out)
     rest = df.where(~F.col(label_col).eqNullSafe(F.lit(cls))).withColumn(out, F.lit(False))
     return marked.unionByName(rest)
@@ -74,19 +81,36 @@ def day_split(df: DataFrame, day_col: str = "day", train_days=TRAIN_DAYS,
 def group_split(df: DataFrame, group_col: str = "bucket", test_size: float = 0.2,
                 seed: int = 42, out: str = "is_test") -> DataFrame:
     """Whole groups (time buckets) go to one side: ``max(1, round_half_even(k * size))``
-    test groups of k, chosen by hash rank.  The group table has one row per bucket (time
-    span / width), so ranking it is small; the join back is planned by AQE from its size."""
+    test groups of k, chosen by hash rank; rows without a bucket form one group.  The group
+    table has one row per bucket (time span / width), so ranking it is small; the join back
+    is planned by AQE from its size."""
     groups = df.select(group_col).distinct()
     ranked = hash_rank(groups, [], group_col, seed)
     n_test = F.greatest(F.lit(1), F.bround(F.col("group_size") * F.lit(test_size), 0))
     chosen = ranked.select(group_col, (F.col("hash_rank") <= n_test).alias(out))
-    return df.join(chosen, group_col)
+    return _join_null_safe(df, chosen, [group_col])
 
 
-def stratified_sample(df: DataFrame, label_col: str = "label", max_per_label: int = 500,
+def stratified_sample(df: DataFrame, label_col: str | None = "label", max_per_label: int = 500,
                       id_col: str = "row_id", seed: int = 42) -> DataFrame:
-    """At most ``max_per_label`` rows per label (all rows of smaller labels), seeded."""
-    r = hash_rank(df, [label_col], id_col, seed)
+    """At most ``max_per_label`` rows per label (all rows of smaller labels), seeded; with no
+    label column, of the whole table.
+
+    Rows per (label, hash prefix) are counted first; the prefix at which a label has its rows
+    is a filter ahead of the shuffle, and only the rows at or below it are ranked (about
+    ``max_per_label`` plus one prefix of rows per label move).  All rows of the smaller
+    prefixes are among them, so their ranks are those in the whole label."""
+    g = [label_col] if label_col else []
+    d = df.withColumn("_p", F.substring(seeded_hash(id_col, seed), 1, PREFIX_CHARS))
+    counts = d.groupBy(*g, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    needed = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .where(F.col("_before") < max_per_label))
+    # a row without an id has no prefix: it sorts first and is always among the survivors
+    last = needed.groupBy(*g).agg(F.max("_p").alias("_last"))
+    kept = (_join_null_safe(d, last, g) if g else d.join(F.broadcast(last)))     # else: one row
+    kept = kept.where(F.col("_p").isNull() | (F.col("_p") <= F.col("_last"))).drop("_p", "_last")
+    r = hash_rank(kept, g, id_col, seed)
     return r.where(F.col("hash_rank") <= max_per_label).drop("hash_rank", "group_size")
 
 

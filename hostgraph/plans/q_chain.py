@@ -113,8 +113,8 @@ SELECT count(*) AS n_flows, count(DISTINCT dst) AS n_destinations,
        count_if(is_novel_destination AND starts_with(dst, '192.168.') AND flagged) AS n_pivots_caught,
        max(n_prior_destinations) AS n_prior_destinations,
        round(count_if(flagged) / count(*), 6) AS flagged_share,
-       CAST(epoch(min(CASE WHEN is_novel_destination THEN ts END)) AS BIGINT)
-         - CAST(epoch((SELECT compromise_start FROM anchor)) AS BIGINT) AS first_novel_latency_s
+       round((epoch_us(min(CASE WHEN is_novel_destination THEN ts END))
+              - epoch_us((SELECT compromise_start FROM anchor))) / 1e6, 6) AS first_novel_latency_s
 FROM tl""")
 def q_chain_headline(spark, sf):
     from .registry import rounded
@@ -149,9 +149,9 @@ _MTTD_SQL = _TL + """
                  min(CASE WHEN flagged AND is_novel_destination AND starts_with(dst, '192.168.') THEN ts END)
                    AS first_alert_chain FROM tl)
 SELECT compromise_start, first_alert_any, first_alert_chain,
-       CAST(epoch(first_alert_any) - epoch(compromise_start) AS BIGINT) AS latency_any_s,
-       CAST(epoch(first_alert_chain) - epoch(compromise_start) AS BIGINT) AS latency_chain_s,
-       CAST(epoch(first_alert_chain) - epoch(first_alert_any) AS BIGINT) AS gap_s,
+       round((epoch_us(first_alert_any) - epoch_us(compromise_start)) / 1e6, 6) AS latency_any_s,
+       round((epoch_us(first_alert_chain) - epoch_us(compromise_start)) / 1e6, 6) AS latency_chain_s,
+       round((epoch_us(first_alert_chain) - epoch_us(first_alert_any)) / 1e6, 6) AS gap_s,
        (SELECT count_if(first_contact <= det.first_alert_any) FROM piv) AS hosts_reached_any,
        (SELECT count_if(first_contact <= det.first_alert_chain) FROM piv) AS hosts_reached_chain,
        (SELECT count(*) FROM piv) AS n_pivots
@@ -176,8 +176,9 @@ def q_hosts_reached(spark, sf):
 
 @register("mttd", "T3", _MTTD_SQL)
 def q_mttd(spark, sf):
+    from .registry import rounded
     tl, _ = timeline(spark, sf)
-    return MT.mttd_table(tl)
+    return rounded(MT.mttd_table(tl))
 
 
 @register("novelty_true_rate", "B12", S.with_(S.FLOWS) + """

@@ -139,3 +139,26 @@ _FULL_5MIN = (S.with_(S.FLOWS, S.edges("5 minutes"), S.HOST_BUCKET, S.BASELINES,
 def q_host_features_5min(spark, sf):
     """All 13 features at 5-minute resolution (the fine-grained variant)."""
     return rounded(ST.host_features(spark, sf, "5 minutes"))
+
+
+def _full(width: str) -> str:
+    return S.with_(S.FLOWS, S.edges(width), S.HOST_BUCKET, S.BASELINES, S.pagerank_ctes(), S.CLUSTERING) + """
+, feat AS (SELECT hf.*, pr.pagerank, cc.clustering_coefficient
+           FROM hf LEFT JOIN pr USING (bucket, host) LEFT JOIN cc USING (bucket, host))"""
+
+
+@register("host_features_hourly", "C1,C16", _full("1 hour") + "SELECT bucket, host, "
+          + ", ".join(_r(c) for c in FEATURE_COLUMNS) + " FROM feat")
+def q_host_features_hourly(spark, sf):
+    """All 13 features per host and hour."""
+    return rounded(ST.host_features(spark, sf, "1 hour"))
+
+
+@register("enrich_flows_hourly", "J1", _full("1 hour") + f"""
+, fl AS (SELECT row_id, src, dst, date_trunc('hour', ts) AS bucket FROM flows)
+SELECT fl.row_id, {_side_cols("s", "src_")}, {_side_cols("d", "dst_")}
+FROM fl LEFT JOIN feat s ON s.bucket = fl.bucket AND s.host = fl.src
+        LEFT JOIN feat d ON d.bucket = fl.bucket AND d.host = fl.dst""")
+def q_enrich_flows_hourly(spark, sf):
+    e = ST.enriched_flows(spark, sf, "1 hour")
+    return rounded(e.select("row_id", *[f"{p}{c}" for p in ("src_", "dst_") for c in FEATURE_COLUMNS]))

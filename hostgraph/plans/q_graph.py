@@ -169,19 +169,30 @@ def q_lineitem_host_features(spark, sf):
                              "novelty_score", "degree_ratio_change", *_ZCOLS))
 
 
-@register("edge_snapshot", "A8", S.with_(S.FLOWS, S.edges("1 hour")) + """
-SELECT bucket, src, dst, flow_count, round(total_bytes, 6) AS total_bytes FROM edges
-WHERE dayname(bucket) = 'Friday'""")
-def q_edge_snapshot(spark, sf):
-    """Hourly edge table written partitioned by weekday and read back for one day: the
-    ``day`` predicate prunes partitions (only that folder is listed and scanned)."""
+_SNAPSHOT = S.with_(S.FLOWS, S.edges("1 hour")) + (
+    "SELECT bucket, src, dst, flow_count, round(total_bytes, 6) AS total_bytes FROM edges")
+
+
+def _edge_snapshot(spark, sf):
     from ..session import scratch_path
     from ..sources import sinks
     ed = flows_edges(spark, sf, "1 hour").withColumn("day", F.date_format("bucket", "EEEE"))
     path = scratch_path(spark, "edge-snapshot")
     sinks.write_parquet(ed, path, ("day",))
-    back = sinks.read_parquet(spark, path).where(F.col("day") == "Friday")
-    return rounded(back.select("bucket", "src", "dst", "flow_count", "total_bytes"))
+    return sinks.read_parquet(spark, path)
+
+
+@register("edge_snapshot", "A8", _SNAPSHOT)
+def q_edge_snapshot(spark, sf):
+    """Hourly edge table written partitioned by weekday and read back."""
+    return rounded(_edge_snapshot(spark, sf).select("bucket", "src", "dst", "flow_count", "total_bytes"))
+
+
+@register("edge_snapshot_day", "A8", _SNAPSHOT + " WHERE dayname(bucket) = 'Friday'")
+def q_edge_snapshot_day(spark, sf):
+    """The same table asked for one day: only that folder is listed and scanned."""
+    return rounded(_edge_snapshot(spark, sf).where(F.col("day") == "Friday")
+                   .select("bucket", "src", "dst", "flow_count", "total_bytes"))
 
 
 @register("report_sink", "A10", _top_sql("flow_volume_zscore", "flow_volume, "))

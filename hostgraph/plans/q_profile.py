@@ -38,28 +38,50 @@ def q_scan_csv(spark, sf):
 def q_union_sources(spark, sf):
     raw, path = _capture(spark, sf)
     schema = CSV.capture_schema(raw)
-    files = sorted(CL.FILE_TO_DAY)
-    frames = [CSV.scan_capture(spark, f"{path}/source_file={f}", schema)
-              .withColumn("source_file", F.lit(f)) for f in files]
+    files = sorted(r[0] for r in raw.select("source_file").distinct().collect())   # ten at most
+    frames = [CSV.scan_capture(spark, f"{path}/{f}", schema) for f in files]
     return CSV.union_sources(frames).groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("tag_source_day", "A6", _RAW + f"""
-SELECT capture_pos, source_file, regexp_replace(source_file, '-WorkingHours.csv', '') AS day
+SELECT capture_pos, source_file, regexp_extract(source_file, '^[A-Z][a-z]+') AS day
 FROM raw WHERE NOT {_BLANK_SQL}""")
 def q_tag_source_day(spark, sf):
     raw = CL.drop_blank_rows(raw_flows(spark, sf))
     return CL.tag_source_day(raw).select("capture_pos", "source_file", "day")
 
 
-@register("roundtrip_parquet", "A7", S.with_(S.FLOWS) + """
-SELECT row_id, src, dst, ts, round(bytes, 6) AS bytes, label, dst_port, day FROM flows
-WHERE day IN ('Thursday', 'Friday')""")
-def q_roundtrip_parquet(spark, sf):
+@register("clean_capture", "A1,A6,P1,P2,P3", _RAW + f"""
+SELECT capture_pos, row_id, src, dst, ts, source_file, regexp_extract(source_file, '^[A-Z][a-z]+') AS day,
+       regexp_replace(replace(label, chr(150), '-'), '^\\s+|\\s+$', '', 'g') AS label,
+       CASE WHEN isnan(bytes) OR abs(bytes) = 'Infinity'::DOUBLE THEN NULL ELSE round(bytes, 6) END AS bytes
+FROM raw WHERE NOT {_BLANK_SQL}""")
+def q_clean_capture(spark, sf):
+    """The whole preparation: flat capture folder -> weekday from the file's name -> clean rows."""
+    raw, path = _capture(spark, sf)
+    df = CL.clean_flows(CSV.scan_capture(spark, path, CSV.capture_schema(raw)))
+    return rounded(df.select("capture_pos", "row_id", "src", "dst", "ts", "source_file", "day", "label", "bytes"))
+
+
+_FLOWS_BACK = S.with_(S.FLOWS) + "SELECT row_id, src, dst, ts, round(bytes, 6) AS bytes, label, dst_port, day FROM flows"
+
+
+def _flows_by_day(spark, sf):
     path = scratch_path(spark, "flows-by-day")
     sinks.write_parquet(events_flows(spark, sf), path, ("day",))
-    back = sinks.read_parquet(spark, path).where(F.col("day").isin("Thursday", "Friday"))
-    return rounded(back.select("row_id", "src", "dst", "ts", "bytes", "label", "dst_port", "day"))
+    return sinks.read_parquet(spark, path).select("row_id", "src", "dst", "ts", "bytes", "label", "dst_port", "day")
+
+
+@register("roundtrip_parquet", "A7", _FLOWS_BACK)
+def q_roundtrip_parquet(spark, sf):
+    """All flows, written by weekday and read back."""
+    return rounded(_flows_by_day(spark, sf))
+
+
+@register("pruned_days", "A7,P11", _FLOWS_BACK + " WHERE day IN ('Thursday', 'Friday')")
+def q_pruned_days(spark, sf):
+    """The same table asked for two days: only their folders are listed and scanned."""
+    return rounded(_flows_by_day(spark, sf).where(F.col("day").isin("Thursday", "Friday")))
 
 
 @register("profile_blank_rows", "B2", _RAW + f"""
@@ -130,7 +152,7 @@ SELECT n_raw, n_blank, n_raw - n_blank AS n_real, n_duplicates,
 FROM (SELECT CAST(sum(n) AS BIGINT) AS n_raw,
              CAST(coalesce(sum(CASE WHEN b THEN n END), 0) AS BIGINT) AS n_blank,
              CAST(coalesce(sum(CASE WHEN NOT b THEN n - 1 END), 0) AS BIGINT) AS n_duplicates
-      FROM (SELECT source_file, {_BLANK_SQL} AS b, row_id, src, dst, ts, bytes, dst_port, label,
+      FROM (SELECT source_file, {_BLANK_SQL} AS b, src, dst, ts, bytes, dst_port, label,
                    count(*) AS n FROM raw GROUP BY ALL) g) t""")
 def q_profile_totals(spark, sf):
     return rounded(PR.profile_totals(raw_flows(spark, sf), RAW_DATA_COLS))
@@ -221,6 +243,16 @@ def q_internal_ip(spark, sf):
     return hosts.select("host", C.is_internal_ip("host").alias("is_internal"))
 
 
+@register("derived_bytes", "P6", _RAW + """
+SELECT capture_pos, round(CASE WHEN NOT (isnan(bytes) OR abs(bytes) = 'Infinity'::DOUBLE) THEN bytes END
+                          + CAST(dst_port AS DOUBLE), 6) AS total_bytes FROM raw""")
+def q_derived_bytes(spark, sf):
+    """Forward plus backward bytes of the raw flows (the port stands in for the backward
+    count, which the given tables lack); missing where either is."""
+    raw = CL.coerce_inf(raw_flows(spark, sf))
+    return rounded(raw.select("capture_pos", C.derived_bytes("bytes", "dst_port").alias("total_bytes")))
+
+
 @register("day_split", "P11,S3", S.with_(S.FLOWS) + """
 SELECT CASE WHEN day IN ('Monday', 'Tuesday', 'Wednesday') THEN 'train' ELSE 'test' END AS side,
        label, count(*) AS n

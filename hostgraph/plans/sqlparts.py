@@ -40,9 +40,15 @@ RAW_FLOWS = """raw AS (
          CASE WHEN row_id % 5 = 0 AND label <> 'BENIGN'
               THEN '  Web Attack ' || chr(150) || ' ' || label || ' ' ELSE label END AS label,
          CASE WHEN row_id % 97 = 0 THEN NULL ELSE dst_port END AS dst_port,
-         day || '-WorkingHours.csv' AS source_file,
-         row_id AS capture_pos
-  FROM flows)"""
+         day || CASE WHEN day = 'Thursday' AND hour(ts) < 12 THEN '-WorkingHours-Morning-WebAttacks'
+                     WHEN day = 'Thursday' THEN '-WorkingHours-Afternoon-Infilteration'
+                     WHEN day = 'Friday' AND hour(ts) < 12 THEN '-WorkingHours-Morning'
+                     WHEN day = 'Friday' AND row_id % 2 = 0 THEN '-WorkingHours-Afternoon-DDos'
+                     WHEN day = 'Friday' THEN '-WorkingHours-Afternoon-PortScan'
+                     WHEN day = 'Wednesday' THEN '-workingHours'
+                     ELSE '-WorkingHours' END || '.pcap_ISCX.csv' AS source_file,
+         row_id + copy * 1000000000000 AS capture_pos
+  FROM (SELECT *, unnest(CASE WHEN row_id % 89 = 5 THEN [0, 1] ELSE [0] END) AS copy FROM flows) f)"""
 
 
 def bucket(width: str, ts: str = "ts") -> str:

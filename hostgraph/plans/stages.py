@@ -17,13 +17,21 @@ from ..operators.edges import with_bucket
 from ..operators.splits import day_split
 from ..session import scratch_path
 from ..sources.flows import events_flows
+from ..sources.tables import read_table
 
 FEATURE_WIDTH = "1 day"
 _PATHS: dict = {}
 
 
 def _key(spark: SparkSession, sf: str, name: str):
-    return (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    """A stage belongs to the files it was made from: their names, sizes and times."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = []
+    for f in read_table(spark, sf, "events").inputFiles():
+        p = hadoop.Path(f)
+        st = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+        files.append((f, st.getLen(), st.getModificationTime()))
+    return (spark.sparkContext.applicationId, tuple(sorted(files)), name)
 
 
 def _cached(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
@@ -49,26 +57,30 @@ def enriched_flows(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) ->
 
 
 def labelled(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) -> DataFrame:
-    """Enriched flows with the binary target, split by weekday."""
-    e = enriched_flows(spark, sf, width)
-    return day_split(e).withColumn(
+    """All enriched flows, on every day, with the binary target."""
+    return enriched_flows(spark, sf, width).withColumn(
         "y", F.when(F.col("label").eqNullSafe(F.lit("BENIGN")), 0).otherwise(1))
 
 
+def day_labelled(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) -> DataFrame:
+    """Labelled flows of the day-split protocol: training and test weekdays only."""
+    return day_split(labelled(spark, sf, width))
+
+
 def feature_cols(spark: SparkSession, sf: str, with_graph: bool = True) -> list[str]:
     return ML.feature_columns(labelled(spark, sf), with_graph)
 
 
-def model_path(spark: SparkSession, sf: str, max_iter: int = 20) -> str:
+def model_path(spark: SparkSession, sf: str, max_iter: int = ML.BINARY_ROUNDS) -> str:
     day_split_model(spark, sf, max_iter)
     return _PATHS[_key(spark, sf, f"gbt-{max_iter}")]
 
 
-def day_split_model(spark: SparkSession, sf: str, max_iter: int = 20) -> PipelineModel:
+def day_split_model(spark: SparkSession, sf: str, max_iter: int = ML.BINARY_ROUNDS) -> PipelineModel:
     """Boosted-tree model trained on the training days with flow + graph features."""
     k = _key(spark, sf, f"gbt-{max_iter}")
     if k not in _PATHS:
-        data = labelled(spark, sf)
+        data = day_labelled(spark, sf)
         cols = ML.feature_columns(data, True)
         model = ML.gbt_pipeline(cols, max_iter=max_iter).fit(
             ML.as_float(data.where(F.col("side") == "train"), cols))

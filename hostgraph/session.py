@@ -1,6 +1,7 @@
 """Session construction and the shared scratch / checkpoint folder."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,9 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by the cluster.
 
     The folder comes from ``spark.checkpoint.dir`` (shared storage on a cluster).  Only
-    when it is unset *and* Spark runs in local mode (tests) is a private folder under
-    the system temp dir created; on a cluster an unset folder is an error, because a
-    machine-local folder would not survive executor loss.
+    where it is unset and Spark runs in one process (``local``, as in tests) is a private
+    folder created; with several executors, also those of ``local-cluster``, an unset
+    folder is an error, because a machine-local folder would not survive their loss.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="hostgraph-ckpt-")
     sc.setCheckpointDir(configured)
@@ -63,7 +64,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/hostgraph-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "materialize", "scale_conf"]
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder on whatever store holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "delete_path", "materialize", "scale_conf"]
 
 
 def materialize(df):

@@ -1,8 +1,10 @@
 """Multi-file CSV capture scan.
 
-One ``spark.read.csv`` over the whole folder with an explicit schema (no inference pass,
-no per-file loop); latin1 decoding; header names are normalised afterwards; the capture
-file each row came from is taken from the hidden ``_metadata`` column.
+A capture is a flat folder of CSV files; each file's name says which part of the week it
+holds.  Files are read with an explicit schema (no inference pass), latin1 decoding and
+normalised header names.  Columns go by header, not by position: the header line of every
+file is read first, files with the same header are one scan, and the scans are united by
+name.  The file a row came from is taken from the hidden ``_metadata`` column.
 """
 from __future__ import annotations
 
@@ -25,6 +27,9 @@ RAW_HEADER = {            # how the capture writes its header (stray blanks incl
 }
 
 
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def normalise_header(name: str) -> str:
     """Strip stray blanks, then snake_case (``' Source IP'`` -> ``source_ip``)."""
     return re.sub(r"[^0-9a-zA-Z]+", "_", name.strip()).strip("_").lower()
@@ -35,13 +40,26 @@ CANONICAL = {normalise_header(v): k for k, v in RAW_HEADER.items()}
 
 
 def write_capture(raw: DataFrame, path: str, file_col: str = "source_file") -> None:
-    """Write a raw flow table as one CSV folder per capture file (latin1, messy header)."""
+    """Write a raw flow table as a flat folder with one CSV file per capture file (latin1,
+    messy header).  Spark names files itself, so each is moved to its capture's name on the
+    store that holds it."""
+    spark = raw.sparkSession
     out = raw.select(*[F.col(c).alias(RAW_HEADER.get(c, c)) for c in raw.columns])
-    (out.write.mode("overwrite").partitionBy(file_col)
+    parts = f"{path}/_parts"
+    (out.repartition(file_col).write.mode("overwrite").partitionBy(file_col)
         .option("header", True).option("encoding", "ISO-8859-1")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        .csv(path))
+        .option("timestampNTZFormat", TIME_FORMAT).csv(parts))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(hadoop.Path(f"{parts}/{file_col}=*")):        # one per capture file
+        name = spark._jvm.java.net.URLDecoder.decode(folder.getPath().getName().split("=", 1)[1], "UTF-8")
+        for k, f in enumerate(fs.globStatus(hadoop.Path(f"{folder.getPath().toString()}/part-*"))):
+            if k:
+                raise ValueError(f"{name}: more than one part was written")
+            fs.rename(f.getPath(), hadoop.Path(root, name))
+    fs.delete(hadoop.Path(parts), True)
 
 
 def capture_schema(raw: DataFrame, file_col: str = "source_file") -> StructType:
@@ -54,21 +72,38 @@ def capture_schema(raw: DataFrame, file_col: str = "source_file") -> StructType:
     return StructType(fields)
 
 
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file, first line) of every CSV file of the folder, or of the one file named."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(folder if path.endswith(".csv") else hadoop.Path(folder, "*.csv"))
+    files = [f.getPath().toString() for f in found or []]
+    return [(f, row[0]) for f in files if (row := spark.read.text(f).first())]
+
+
 def scan_capture(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Scan every CSV under ``path`` once; columns renamed to snake_case; provenance
-    column ``source_file`` from the folder name of each file."""
-    df = (spark.read.schema(schema)
-          .option("header", True).option("encoding", "ISO-8859-1")
-          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-          .option("recursiveFileLookup", True)
-          .csv(path))
-    def name(c):
-        n = normalise_header(c)
-        return CANONICAL.get(n, n)
-    df = df.select(*[F.col(f"`{c}`").alias(name(c)) for c in df.columns],
-                   F.regexp_extract(F.col("_metadata.file_path"), r"source_file=([^/]+)/", 1)
-                   .alias("source_file"))
-    return df.withColumn("source_file", F.expr("url_decode(source_file)"))
+    """All CSV files of the flat folder ``path`` (or the one file it names): columns matched by header whatever their
+    order and renamed to snake_case, NULL where a file lacks one; ``source_file`` is the file's
+    name.  A header that ``schema`` doesn't know raises."""
+    kinds = {normalise_header(f.name): f for f in schema.fields}
+    layouts: dict[tuple, list[str]] = {}
+    for file, header in _headers(spark, path):
+        names = tuple(normalise_header(c) for c in header.rstrip("\r").split(","))
+        if unknown := [c for c in names if c not in kinds]:
+            raise ValueError(f"{file}: unknown columns {unknown}")
+        layouts.setdefault(names, []).append(file)
+    frames = []
+    for names, files in sorted(layouts.items()):
+        df = (spark.read.schema(StructType([kinds[n] for n in names]))
+              .option("header", True).option("enforceSchema", True).option("encoding", "ISO-8859-1")
+              .option("timestampNTZFormat", TIME_FORMAT).csv(files))
+        df = df.select(*[F.col(f"`{kinds[n].name}`").alias(CANONICAL.get(n, n)) for n in names],
+                       F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))").alias("source_file"))
+        frames.append(df)
+    if not frames:
+        raise FileNotFoundError(f"no CSV file in {path}")
+    return union_sources(frames)
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

@@ -30,6 +30,7 @@ FLOW_COLUMNS = ("row_id", "src", "dst", "ts", "bytes", "label", "day", "dst_port
 # Fixed values of the synthetic mapping.
 ATTACK_LABEL = "Infiltration"
 PATIENT_ZERO_ID = 8
+COPY_OFFSET = 1_000_000_000_000   # capture position of a repeated row, beyond all others
 FLAG_BYTES_THRESHOLD = 100.0      # stand-in detector: a flow is flagged when bytes > 100
 
 
@@ -78,10 +79,21 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
       * ``% 11 == 0``  bytes +Inf, ``% 13 == 0`` bytes -Inf, ``% 17 == 0`` bytes NaN
       * ``% 5 == 0``   non-benign labels written as ``Web Attack <en-dash> <label>``
         padded with blanks
-    ``source_file`` is the weekday capture file the row came from.
+      * ``% 89 == 5``  the row occurs twice (``capture_pos`` tells the copies apart)
+    ``source_file`` is the capture file the row came from: one a weekday, but two on Thursday
+    and three on Friday, by the time of day (and ``row_id`` on Friday afternoon).
     """
-    f = events_flows(spark, sf_dir)
+    copies = F.when(F.col("row_id") % 89 == 5, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    f = events_flows(spark, sf_dir).withColumn("copy", F.explode(copies))
     rid = F.col("row_id")
+    morning = F.hour("ts") < 12
+    part = (F.when((F.col("day") == "Thursday") & morning, F.lit("-WorkingHours-Morning-WebAttacks"))
+            .when(F.col("day") == "Thursday", F.lit("-WorkingHours-Afternoon-Infilteration"))
+            .when((F.col("day") == "Friday") & morning, F.lit("-WorkingHours-Morning"))
+            .when((F.col("day") == "Friday") & (rid % 2 == 0), F.lit("-WorkingHours-Afternoon-DDos"))
+            .when(F.col("day") == "Friday", F.lit("-WorkingHours-Afternoon-PortScan"))
+            .when(F.col("day") == "Wednesday", F.lit("-workingHours"))
+            .otherwise(F.lit("-WorkingHours")))
     blank = (rid % 97) == 0
     bytes_ = (F.when(rid % 7 == 0, F.lit(None).cast("double"))
               .when(rid % 11 == 0, F.lit(float("inf")))
@@ -103,6 +115,6 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         keep(bytes_).alias("bytes"),
         label.alias("label"),
         keep(F.col("dst_port")).alias("dst_port"),
-        F.concat(F.col("day"), F.lit("-WorkingHours.csv")).alias("source_file"),
-        F.col("row_id").alias("capture_pos"),
+        F.concat(F.col("day"), part, F.lit(".pcap_ISCX.csv")).alias("source_file"),
+        (F.col("row_id") + F.col("copy") * F.lit(COPY_OFFSET)).alias("capture_pos"),
     )

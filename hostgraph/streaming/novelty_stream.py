@@ -1,41 +1,33 @@
 """Streaming per-flow novelty: emit a flow iff its (src, dst) pair was never seen before.
 
-State per pair = the first (ts, row_id) seen, kept with ``applyInPandasWithState``.  Inside
-one micro-batch the earliest row of a pair by (ts, row_id) is emitted (a running minimum
-over the group's Arrow batches); across batches the answer follows arrival order — a late row that
-is earlier in event time than an already emitted first contact cannot retract it (the
-batch operator, which sees all rows, is the reference for ordered input).
+Each micro-batch is reduced in the JVM to its earliest row per pair (a partially aggregated
+minimum, so a hot pair is one row per task) and anti-joined with the pairs already emitted; what
+is left is appended under the batch's number, so a batch that runs again replaces what it wrote.
+Inside one micro-batch the earliest row by (ts, row_id) is emitted; across batches the answer
+follows arrival order: a late row that is earlier in event time than an emitted first contact
+cannot retract it (the batch operator, which sees all rows, is the reference for ordered input).
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-OUT_SCHEMA = "row_id long, src string, dst string, ts timestamp"
-STATE_SCHEMA = "first_ts timestamp, first_id long"
+SCHEMA = "row_id long, src string, dst string, ts timestamp"
 
 
-def _first_contact(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps one running-minimum row while the group's Arrow batches stream by, so a hot
-    pair costs constant memory however many of its rows arrive in one micro-batch."""
-    best = None
-    for pdf in batches:
-        if state.exists or pdf.empty:
-            continue
-        cand = pdf.sort_values(["ts", "row_id"], kind="stable").iloc[:1]
-        if best is None or (cand["ts"].iloc[0], cand["row_id"].iloc[0]) < (best["ts"].iloc[0], best["row_id"].iloc[0]):
-            best = cand
-    if state.exists or best is None:
-        return
-    state.update((best["ts"].iloc[0].to_pydatetime(), int(best["row_id"].iloc[0])))
-    yield best[["row_id", "src", "dst", "ts"]]
+def drain_novel_flows(flows: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain what a feed has now into the table at ``path`` (one folder per micro-batch)."""
+    spark = flows.sparkSession
 
+    def add(batch: DataFrame, number: int) -> None:
+        first = (batch.where(F.col("ts").isNotNull()).groupBy("src", "dst")
+                 .agg(F.min(F.struct("ts", "row_id")).alias("f"))
+                 .select("f.row_id", "src", "dst", "f.ts"))
+        if number:
+            seen = spark.read.schema(SCHEMA + ", batch long").parquet(path).where(F.col("batch") < number)
+            s = seen.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+            first = first.join(s, F.col("src").eqNullSafe(F.col("_src")) & F.col("dst").eqNullSafe(F.col("_dst")), "left_anti")
+        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def novel_flows(flows: DataFrame) -> DataFrame:
-    return (flows.select("row_id", "src", "dst", "ts")
-            .groupBy("src", "dst")
-            .applyInPandasWithState(_first_contact, OUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+    (flows.select("row_id", "src", "dst", "ts").writeStream.foreachBatch(add)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())

@@ -1,68 +1,46 @@
-import math
-
+import pytest
 
 from hostgraph.operators import clean as CL
 
-SCHEMA = "source_ip string, flow_duration double, label string"
-
-
-def test_drop_blank_rows_drops_all_null_row(spark):
-    df = spark.createDataFrame([("10.0.0.1", 4.0, "BENIGN"), (None, None, None)], SCHEMA)
-    assert CL.drop_blank_rows(df).count() == 1
-
-
-def test_drop_blank_rows_ignores_label(spark):
-    df = spark.createDataFrame([("10.0.0.1", 4.0, "BENIGN"), (None, None, "SomeLabel")], SCHEMA)
-    out = CL.drop_blank_rows(df).collect()
-    assert [r.source_ip for r in out] == ["10.0.0.1"]
-
-
-def test_drop_blank_rows_keeps_partial_nulls(spark):
-    df = spark.createDataFrame([("10.0.0.2", None, "DDoS")], SCHEMA)
-    assert CL.drop_blank_rows(df).count() == 1
-
-
-def test_drop_blank_rows_nan_counts_as_missing(spark):
-    df = spark.createDataFrame([(None, float("nan"), "X"), ("a", float("nan"), "Y")], SCHEMA)
-    assert [r.source_ip for r in CL.drop_blank_rows(df).collect()] == ["a"]
-
-
-def test_fix_label_encoding_en_dash(spark):
-    df = spark.createDataFrame([("Web Attack \x96 Brute Force",)], "label string")
-    assert CL.fix_label_encoding(df).first().label == "Web Attack - Brute Force"
+NAN, INF = float("nan"), float("inf")
 
 
-def test_fix_label_encoding_strips_whitespace(spark):
-    df = spark.createDataFrame([("  BENIGN  ",), ("\tDDoS\n",)], "label string")
-    assert [r.label for r in CL.fix_label_encoding(df).collect()] == ["BENIGN", "DDoS"]
+def rows(spark):
+    data = [("h1", 7.5, 3, "BENIGN", "f"), (None, None, None, "BENIGN", "f"), (None, NAN, None, None, "f"),
+            ("h2", None, None, "Worm", "f"), (None, -INF, None, "Worm", "f"), (None, None, 0, None, None)]
+    return spark.createDataFrame(data, "host string, rate double, port int, label string, source_file string")
 
 
-def test_coerce_inf_to_null(spark):
-    vals = [1.0, float("inf"), float("-inf"), 2.5]
-    df = spark.createDataFrame([(v, "x") for v in vals], "flow_bytes_s double, label string")
-    out = [r.flow_bytes_s for r in CL.coerce_inf(df).collect()]
-    assert out == [1.0, None, None, 2.5]
+def test_only_rows_without_any_value_are_dropped(spark):
+    """Neither the label nor the provenance makes a row; NaN counts as missing."""
+    got = CL.drop_blank_rows(rows(spark)).collect()
+    assert [(r.host, r.rate, r.port) for r in got] == [("h1", 7.5, 3), ("h2", None, None), (None, -INF, None), (None, None, 0)]
 
 
-def test_coerce_inf_nan_and_inf_both_missing(spark):
-    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (3.0,)], "v double")
-    assert [r.v for r in CL.coerce_inf(df).collect()] == [None, None, 3.0]
+def test_labels_lose_the_misread_dash_and_outer_blanks(spark):
+    labels = ["Port \x96 Scan", "\n Worm\t", "a\x96b\x96c ", "plain", None, "  "]
+    df = spark.createDataFrame(list(enumerate(labels)), "k int, label string")
+    got = [r.label for r in CL.fix_label_encoding(df).orderBy("k").collect()]
+    assert got == ["Port - Scan", "Worm", "a-b-c", "plain", None, ""]
 
 
-def test_coerce_inf_leaves_strings(spark):
-    df = spark.createDataFrame([(float("inf"), "inf")], "v double, s string")
-    r = CL.coerce_inf(df).first()
-    assert r.v is None and r.s == "inf"
+def test_infinite_and_undefined_numbers_become_null(spark):
+    df = spark.createDataFrame([(0, -2.25, "Infinity"), (1, INF, "x"), (2, -INF, "NaN"), (3, NAN, ""), (4, None, "y")],
+                               "k int, v double, s string")
+    got = CL.coerce_inf(df).orderBy("k").collect()
+    assert [r.v for r in got] == [-2.25, None, None, None, None]
+    assert [r.s for r in got] == ["Infinity", "x", "NaN", "", "y"]
 
 
-def test_tag_source_day_and_unknown_file_fails(spark):
-    df = spark.createDataFrame([("Friday-WorkingHours.csv",)], "source_file string")
-    assert CL.tag_source_day(df).first().day == "Friday"
-    bad = spark.createDataFrame([("nope.csv",)], "source_file string")
-    import pytest
-    with pytest.raises(Exception):
-        CL.tag_source_day(bad).collect()
+def test_weekday_of_every_capture_file(spark):
+    df = spark.createDataFrame([(f,) for f in CL.FILE_TO_DAY], "source_file string")
+    got = {r.source_file: r.day for r in CL.tag_source_day(df).collect()}
+    assert got == CL.FILE_TO_DAY and len(got) == 10
+    assert all(f.startswith(d) for f, d in got.items())
 
 
-def test_isnan_helper_sanity():
-    assert math.isnan(float("nan"))
+@pytest.mark.parametrize("name", ["other.csv", "", None])
+def test_an_unknown_file_fails(spark, name):
+    df = spark.createDataFrame([(name,)], "source_file string")
+    with pytest.raises(Exception, match="unknown source file"):
+        CL.tag_source_day(df).collect()

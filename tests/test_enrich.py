@@ -1,50 +1,45 @@
 import datetime as dt
-
+import random
 
 from hostgraph.operators.enrich import enrich_flows, feature_key_guard
 from hostgraph.operators.features import FEATURE_COLUMNS
 
-H15, H16 = dt.datetime(2017, 7, 6, 15), dt.datetime(2017, 7, 6, 16)
-
-
-def _features(spark):
-    cols = ", ".join(f"{c} double" for c in FEATURE_COLUMNS)
-    vals = {c: 0.0 for c in FEATURE_COLUMNS}
-    a = dict(vals, flow_volume_zscore=20.68, fan_out=497.0)
-    b = dict(vals, flow_volume_zscore=-0.2, fan_out=3.0)
-    rows = [(H15, "192.168.10.8", *[a[c] for c in FEATURE_COLUMNS]),
-            (H15, "192.168.10.50", *[b[c] for c in FEATURE_COLUMNS])]
-    return spark.createDataFrame(rows, f"bucket timestamp_ntz, host string, {cols}")
+HOURS = [dt.datetime(2023, 3, 14, h) for h in (2, 3, 21)]
+HOSTS = ["n%d" % i for i in range(5)]
 
 
-def _flows(spark):
-    return spark.createDataFrame([(1, "192.168.10.8", "192.168.10.50", H15),
-                                  (2, "192.168.10.8", "192.168.10.50", H16)],
-                                 "row_id long, src string, dst string, bucket timestamp_ntz")
+def table(seed=6):
+    """Features of some (bucket, host) keys, each value telling where it belongs."""
+    rng = random.Random(seed)
+    keys = [(b, h) for b in HOURS for h in HOSTS if rng.random() < 0.6]
+    return {k: [1000.0 * i + j for j in range(len(FEATURE_COLUMNS))] for i, k in enumerate(keys)}
 
 
-def test_row_count_preserved(spark):
-    assert enrich_flows(_flows(spark), _features(spark)).count() == 2
-
-
-def test_prefixed_columns_present(spark):
-    cols = enrich_flows(_flows(spark), _features(spark)).columns
-    for c in FEATURE_COLUMNS:
-        assert f"src_{c}" in cols and f"dst_{c}" in cols
+def features(spark, values):
+    cols = ", ".join(f"{c} double" for c in FEATURE_COLUMNS)
+    return spark.createDataFrame([(*k, *v) for k, v in values.items()], f"bucket timestamp_ntz, host string, {cols}")
 
 
-def test_both_sides_take_their_own_host(spark):
-    r = enrich_flows(_flows(spark), _features(spark)).where("row_id = 1").first()
-    assert r.src_flow_volume_zscore == 20.68 and r.dst_flow_volume_zscore == -0.2
-    assert r.src_fan_out == 497.0 and r.dst_fan_out == 3.0
+def flows(spark, seed=9):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(HOSTS + [None]), rng.choice(HOSTS), rng.choice(HOURS + [None])) for i in range(40)]
+    return rows, spark.createDataFrame(rows, "row_id long, src string, dst string, bucket timestamp_ntz")
 
 
-def test_unmatched_bucket_kept_with_nulls(spark):
-    r = enrich_flows(_flows(spark), _features(spark)).where("row_id = 2").first()
-    assert r.src_fan_out is None and r.dst_fan_out is None
+def test_every_flow_once_with_its_own_ends(spark):
+    values = table()
+    rows, df = flows(spark)
+    out = enrich_flows(df, features(spark, values))
+    got = {r.row_id: r for r in out.collect()}
+    assert len(got) == out.count() == len(rows)
+    for i, s, d, b in rows:
+        for side, host in (("src_", s), ("dst_", d)):
+            want = values.get((b, host), [None] * len(FEATURE_COLUMNS))
+            assert [got[i][side + c] for c in FEATURE_COLUMNS] == want
 
 
-def test_key_guard_finds_duplicates(spark):
-    f = _features(spark)
+def test_key_guard(spark):
+    f = features(spark, table())
+    again = f.limit(3)
     assert feature_key_guard(f).count() == 0
-    assert feature_key_guard(f.unionByName(f)).count() == 2
+    assert feature_key_guard(f.unionByName(again)).count() == 3

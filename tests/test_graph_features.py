@@ -1,5 +1,8 @@
+"""Edges, host-bucket statistics and baselines against plain Python on random flows."""
 import datetime as dt
-import math
+import random
+import statistics
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import Window
@@ -8,181 +11,130 @@ from pyspark.sql import functions as F
 from hostgraph.operators import edges as E
 from hostgraph.operators import features as FT
 
-T0 = dt.datetime(2017, 7, 6, 8, 0)
+START = dt.datetime(2023, 3, 14, 22)
+STATS = ("bucket timestamp_ntz, host string, fan_out long, fan_in long, flow_volume long, byte_volume double, "
+         "novelty_score double")
 
 
-def h(i):
-    return T0 + dt.timedelta(hours=i)
+def hour(i):
+    return START + dt.timedelta(hours=i)
 
 
-FLOW_SCHEMA = "src string, dst string, ts timestamp_ntz, bytes double"
+def random_flows(seed, n=150):
+    rng = random.Random(seed)
+    hosts = ["k%d" % i for i in range(7)]
+    return [(rng.choice(hosts), rng.choice(hosts + [None]), hour(rng.randrange(5)) + dt.timedelta(seconds=rng.randrange(3600)),
+             None if rng.random() < 0.1 else float(rng.randrange(1, 400)) / 4) for _ in range(n)]
 
 
-def _edges(spark, rows):
-    return spark.createDataFrame(rows, "bucket timestamp_ntz, src string, dst string, flow_count long, total_bytes double")
+def brute_edges(rows):
+    out = defaultdict(lambda: [0, 0.0])
+    for s, d, t, b in rows:
+        if d is not None:
+            e = out[t.replace(minute=0, second=0), s, d]
+            e[0] += 1
+            e[1] += b or 0.0
+    return {k: tuple(v) for k, v in out.items()}
 
 
-def test_edges_aggregate_per_bucket_and_pair(spark):
-    flows = spark.createDataFrame([
-        ("10.0.0.1", "10.0.0.2", h(0) + dt.timedelta(minutes=5), 100.0),
-        ("10.0.0.1", "10.0.0.2", h(0) + dt.timedelta(minutes=40), 50.0),
-        ("10.0.0.2", "10.0.0.3", h(1) + dt.timedelta(minutes=1), 200.0),
-    ], FLOW_SCHEMA)
-    e = {(r.bucket, r.src, r.dst): (r.flow_count, r.total_bytes) for r in E.build_edges(flows).collect()}
-    assert e == {(h(0), "10.0.0.1", "10.0.0.2"): (2, 150.0), (h(1), "10.0.0.2", "10.0.0.3"): (1, 200.0)}
-
-
-def test_edges_drop_null_keys_and_sum_null_bytes_to_zero(spark):
-    flows = spark.createDataFrame([("a", None, h(0), 1.0), ("a", "b", h(0), None)], FLOW_SCHEMA)
-    rows = E.build_edges(flows).collect()
-    assert len(rows) == 1 and rows[0].total_bytes == 0.0 and rows[0].flow_count == 1
-
-
-def test_fan_out_counts_distinct_destinations(spark):
-    flows = spark.createDataFrame([("10.0.0.1", d, h(0), 1.0) for d in ("10.0.0.2", "10.0.0.3", "10.0.0.4", "10.0.0.2")], FLOW_SCHEMA)
-    hb = FT.host_bucket_stats(E.build_edges(flows))
-    got = {r.host: (r.fan_out, r.fan_in) for r in hb.collect()}
-    assert got["10.0.0.1"] == (3, 0)
-    assert got["10.0.0.2"] == (0, 1)
-
-
-def test_out_volume_counts_out_edges_only(spark):
-    e = _edges(spark, [(h(0), ".1", ".2", 5, 100.0), (h(0), ".1", ".3", 3, 50.0), (h(0), ".9", ".1", 1000, 9999.0)])
-    got = {r.host: (r.flow_volume, r.byte_volume) for r in FT.host_bucket_stats(e).collect()}
-    assert got[".1"] == (8, 150.0)
-    assert got[".2"] == (0, 0.0)
-
-
-def test_self_loop_counts_once_each_side(spark):
-    e = _edges(spark, [(h(0), "a", "a", 2, 1.0)])
-    r = FT.host_bucket_stats(e).first()
-    assert (r.fan_out, r.fan_in) == (1, 1)
-
-
-def test_sum_fan_in_equals_sum_fan_out_equals_edges(spark):
-    e = _edges(spark, [(h(0), "a", "b", 1, 1.0), (h(0), "b", "c", 1, 1.0), (h(0), "c", "a", 1, 1.0), (h(0), "a", "c", 1, 1.0)])
-    t = FT.host_bucket_stats(e).agg(F.sum("fan_in").alias("i"), F.sum("fan_out").alias("o")).first()
-    assert t.i == t.o == 4
-
-
-def _hb(spark, rows):
-    return spark.createDataFrame(
-        [(b, host, fo, 0, 0, 0.0, None) for b, host, fo in rows],
-        "bucket timestamp_ntz, host string, fan_out long, fan_in long, flow_volume long, byte_volume double, novelty_score double")
-
-
-def test_degree_ratio_doubles(spark):
-    out = FT.add_baselines(_hb(spark, [(h(0), "a", 4), (h(1), "a", 8)])).where("bucket = '2017-07-06 09:00:00'")
-    assert out.first().degree_ratio_change == 2.0
-
-
-def test_degree_ratio_null_without_previous_row(spark):
-    out = FT.add_baselines(_hb(spark, [(h(0), "a", 4), (h(1), "b", 5)]))
-    got = {r.host: r.degree_ratio_change for r in out.where(F.col("bucket") == h(1)).collect()}
-    assert got == {"b": None}
-
-
-def test_degree_ratio_is_positional_previous_bucket(spark):
-    # a is absent from the middle bucket: no baseline at the third bucket
-    out = FT.add_baselines(_hb(spark, [(h(0), "a", 4), (h(1), "c", 1), (h(5), "a", 8)]))
-    assert out.where((F.col("host") == "a") & (F.col("bucket") == h(5))).first().degree_ratio_change is None
-
-
-def test_degree_ratio_vanished_host_has_no_row(spark):
-    out = FT.add_baselines(_hb(spark, [(h(0), "a", 1), (h(0), "b", 1), (h(1), "a", 2)]))
-    assert out.where((F.col("bucket") == h(1)) & (F.col("host") == "b")).count() == 0
-
-
-def _novelty(spark, rows):
-    hb = FT.host_bucket_stats(_edges(spark, [(b, s, d, 1, 1.0) for b, s, d in rows]))
-    return {(r.bucket, r.host): r.novelty_score for r in hb.collect()}
-
-
-def test_novelty_first_appearance_is_one(spark):
-    assert _novelty(spark, [(h(0), "a", "x"), (h(0), "a", "y")])[(h(0), "a")] == 1.0
-
-
-def test_novelty_all_seen_is_zero(spark):
-    assert _novelty(spark, [(h(0), "a", "x"), (h(1), "a", "x")])[(h(1), "a")] == 0.0
-
-
-def test_novelty_one_of_two_new_is_half(spark):
-    n = _novelty(spark, [(h(0), "a", "x"), (h(1), "a", "x"), (h(1), "a", "y")])
-    assert n[(h(1), "a")] == 0.5
-
-
-def test_novelty_sink_has_no_value(spark):
-    assert _novelty(spark, [(h(0), "a", "x")])[(h(0), "x")] is None
-
-
-def test_novelty_does_not_leak_future(spark):
-    n = _novelty(spark, [(h(0), "a", "x"), (h(1), "a", "y"), (h(2), "a", "x"), (h(2), "a", "y")])
-    assert n[(h(1), "a")] == 1.0 and n[(h(2), "a")] == 0.0
-
-
-def _prior(spark, values, eps=1.0):
-    df = spark.createDataFrame([(h(i), "a", float(v)) for i, v in enumerate(values)],
-                               "bucket timestamp_ntz, host string, v double")
-    w = Window.partitionBy("host").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    out = df.select("bucket", F.avg("v").over(w).alias("m"), F.stddev_samp("v").over(w).alias("s"),
-                    FT.baseline_zscore("v", eps, w).alias("z")).orderBy("bucket").collect()
-    return out[-1]
-
-
-def test_running_mean(spark):
-    assert _prior(spark, [2, 4, 6, 0]).m == 4.0
-
-
-def test_running_std_null_with_one_value(spark):
-    assert _prior(spark, [3, 0]).s is None
-
-
-def test_running_std_is_sample_std(spark):
-    assert _prior(spark, [2, 4, 0]).s == pytest.approx(math.sqrt(2))
-
-
-def test_running_std_zero_for_constant(spark):
-    assert _prior(spark, [5, 5, 5, 0]).s == 0.0
-
-
-def test_zscore_null_with_fewer_than_two_prior(spark):
-    assert _prior(spark, [7]).z is None
-    assert _prior(spark, [7, 8]).z is None
-
-
-def test_zscore_zero_when_equal_to_mean(spark):
-    assert _prior(spark, [4, 4, 4]).z == 0.0
-
-
-def test_zscore_explodes_with_tiny_eps(spark):
-    assert _prior(spark, [2, 2, 900], eps=1e-6).z > 1000
-
-
-def test_zscore_moderate(spark):
-    assert -2 < _prior(spark, [10, 12, 8, 11, 9, 11]).z < 2
-
-
-def test_zscore_count_eps_exact(spark):
-    assert _prior(spark, [1, 1, 9], eps=1.0).z == 8.0
-
-
-def test_zscores_null_exactly_first_two_rows_of_host(spark):
-    hb = FT.add_baselines(_hb(spark, [(h(i), "a", i + 1) for i in range(5)]))
-    z = [r.fan_out_zscore for r in hb.orderBy("bucket").collect()]
-    assert z[0] is None and z[1] is None and all(v is not None for v in z[2:])
-
-
-def test_novelty_zscore_counts_defined_hours_only(spark):
-    rows = [(h(0), "a", 1, 1.0), (h(1), "a", 1, None), (h(2), "a", 1, 0.5), (h(3), "a", 1, 0.0), (h(4), "a", 1, None)]
-    hb = spark.createDataFrame([(b, host, fo, 0, 0, 0.0, nv) for b, host, fo, nv in rows],
-                               "bucket timestamp_ntz, host string, fan_out long, fan_in long, flow_volume long, byte_volume double, novelty_score double")
-    z = [r.novelty_zscore for r in FT.add_baselines(hb).orderBy("bucket").collect()]
-    assert z[0] is None and z[1] is None and z[2] is None   # fewer than two defined before
-    assert z[3] is not None                                 # two defined (1.0, 0.5) before
-    assert z[4] is None                                     # undefined now
-
-
-def test_top_k_orders_and_limits(spark):
-    hb = _hb(spark, [(h(0), f"h{i}", i) for i in range(15)])
-    top = FT.top_k(hb, "fan_out", 10).collect()
-    assert [r.fan_out for r in top] == list(range(14, 4, -1))
+def brute_stats(edges):
+    first = {}
+    for b, s, d in sorted(edges):
+        first.setdefault((s, d), b)
+    out = {}
+    for b in sorted({k[0] for k in edges}):
+        for h in sorted({x for k in edges if k[0] == b for x in k[1:]}):
+            own = {k: v for k, v in edges.items() if k[0] == b and k[1] == h}
+            new = sum(first[s, d] == b for _, s, d in own)
+            out[b, h] = (len(own), sum(k[0] == b and k[2] == h for k in edges), sum(v[0] for v in own.values()),
+                         sum(v[1] for v in own.values()), new / len(own) if own else None)
+    return out
+
+
+def frames(spark, seed):
+    rows = random_flows(seed)
+    df = spark.createDataFrame(rows, "src string, dst string, ts timestamp_ntz, bytes double")
+    return rows, E.build_edges(df.repartition(3))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_edges(spark, seed):
+    rows, edges = frames(spark, seed)
+    got = {(r.bucket, r.src, r.dst): (r.flow_count, r.total_bytes) for r in edges.collect()}
+    assert got == brute_edges(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_host_bucket_stats(spark, seed):
+    rows, edges = frames(spark, seed)
+    want = brute_stats(brute_edges(rows))
+    got = {(r.bucket, r.host): (r.fan_out, r.fan_in, r.flow_volume, r.byte_volume, r.novelty_score)
+           for r in FT.host_bucket_stats(edges).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+    assert sum(v[0] for v in got.values()) == sum(v[1] for v in got.values()) == edges.count()
+
+
+def test_a_loop_is_one_edge_out_and_one_in(spark):
+    e = spark.createDataFrame([(hour(0), "k", "k", 6, 12.5)], "bucket timestamp_ntz, src string, dst string, flow_count long, total_bytes double")
+    assert tuple(FT.host_bucket_stats(e).first())[2:] == (1, 1, 6, 12.5, 1.0)
+
+
+def stats(spark, rows):
+    return spark.createDataFrame([(hour(b), h, fo, fi, 0, 0.0, nv) for b, h, fo, fi, nv in rows], STATS)
+
+
+def test_degree_ratio_looks_one_bucket_back(spark):
+    """The bucket before is that of the whole table; a host that was not in it has no ratio."""
+    rows = [(0, "k", 3, 2, None), (1, "k", 6, 9, None), (3, "k", 1, 2, None), (2, "m", 7, 0, None), (3, "m", 5, 9, None)]
+    got = {(r.bucket, r.host): r.degree_ratio_change for r in FT.add_baselines(stats(spark, rows)).collect()}
+    assert got == {(hour(0), "k"): None, (hour(1), "k"): 3.0, (hour(3), "k"): None, (hour(2), "m"): None, (hour(3), "m"): 2.0}
+
+
+def score(history, now, eps):
+    known = [v for v in history if v is not None]
+    if now is None or len(known) < 2:
+        return None
+    return (now - statistics.mean(known)) / (statistics.stdev(known) + eps)
+
+
+@pytest.mark.parametrize("seed,eps", [(5, 1.0), (6, 0.05), (7, 1e-6)])
+def test_baseline_uses_strictly_earlier_values(spark, seed, eps):
+    rng = random.Random(seed)
+    values = [None if rng.random() < 0.2 else float(rng.randrange(40)) / 2 for _ in range(25)] + [13.5] * 4 + [640.0]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, v double").withColumn("h", F.lit("k"))
+    w = Window.partitionBy("h").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    got = [r.z for r in df.select("k", FT.baseline_zscore("v", eps, w).alias("z")).orderBy("k").collect()]
+    for i, z in enumerate(got):
+        want = score(values[:i], values[i], eps)
+        assert (z is None) == (want is None)
+        assert z is None or z == pytest.approx(want, rel=1e-9)
+
+
+def test_a_constant_past(spark):
+    """No spread: the distance is measured in units of the guard alone."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([3.0, 3.0, 3.0, 3.25, 3.0])], "k int, v double").withColumn("h", F.lit("k"))
+    w = Window.partitionBy("h").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    z = [r.z for r in df.select("k", FT.baseline_zscore("v", 0.5, w).alias("z")).orderBy("k").collect()]
+    assert z[:2] == [None, None] and z[2] == 0.0 and z[3] == 0.5
+
+
+def test_all_baselines_of_a_table(spark):
+    rng = random.Random(8)
+    rows = [(b, h, rng.randrange(9), rng.randrange(9), None if rng.random() < 0.4 else rng.randrange(5) / 4)
+            for h in ("k", "m") for b in range(9) if h == "k" or b % 3]
+    got = {(r.bucket, r.host): r for r in FT.add_baselines(stats(spark, rows)).collect()}
+    for col, at, eps in (("fan_out", 2, 1.0), ("fan_in", 3, 1.0), ("novelty", 4, 0.05)):
+        for h in ("k", "m"):
+            own = sorted(r for r in rows if r[1] == h)
+            for i, r in enumerate(own):
+                want = score([x[at] for x in own[:i]], r[at], eps)
+                z = got[hour(r[0]), h][f"{col}_zscore"]
+                assert z == (None if want is None else pytest.approx(want, rel=1e-9))
+
+
+def test_top_k(spark):
+    rows = [(0, "k%02d" % i, (i * 7) % 23, 0, None) for i in range(23)]
+    top = FT.top_k(stats(spark, rows), "fan_out", 6).collect()
+    assert [r.fan_out for r in top] == [22, 21, 20, 19, 18, 17]

@@ -24,17 +24,42 @@ def test_gbt_pipeline_learns_a_threshold(spark):
     assert acc > 0.95
 
 
-def test_isolation_forest_scores_outliers_higher(spark):
+def test_isolation_forest_builds_every_tree(spark):
+    """More trees than disjoint samples would fill, each on its own full sample."""
     rng = np.random.default_rng(1)
-    inliers = rng.normal(0, 1, (600, 2))
-    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(inliers)]
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (600, 2)))]
     df = spark.createDataFrame(rows, "row_id long, a double, b double")
-    forest = IF.fit(df, ["a", "b"], n_trees=20, sample_size=64)
-    assert forest["tree"].nunique() == 9 or forest["tree"].nunique() == 20 or forest["tree"].nunique() > 0
+    forest = IF.fit(df, ["a", "b"], n_trees=40, sample_size=64)
+    roots = forest[forest["depth"] == 0]
+    assert sorted(roots["tree"]) == list(range(40)) and set(roots["size"]) == {64}
+    assert roots["threshold"].nunique() > 30             # the samples differ
     test = spark.createDataFrame([(10000, 0.0, 0.0), (10001, 8.0, 8.0)], "row_id long, a double, b double")
-    got = {r.row_id: r.anomaly_score for r in IF.score(test, forest, ["a", "b"], 64).collect()}
-    assert got[10001] > got[10000]
-    assert got[10001] > 0.5
+    got = {r.row_id: r.anomaly_score for r in IF.score(test, forest, ["a", "b"]).collect()}
+    assert got[10001] > 0.5 > got[10000]
+    small = IF.fit(df.limit(30), ["a", "b"], n_trees=5, sample_size=64)
+    assert set(small.loc[small["depth"] == 0, "size"]) == {30}
+
+
+def test_protocol_rounds():
+    """The registered runs use the rounds and depths of the protocols."""
+    import inspect
+    gbt = inspect.signature(ML.gbt_pipeline).parameters
+    multi = inspect.signature(ML.multiclass_pipeline).parameters
+    assert (gbt["max_iter"].default, gbt["max_depth"].default, gbt["step_size"].default) == (200, 6, 0.1)
+    assert (multi["max_iter"].default, multi["max_depth"].default) == (300, 8)
+    assert inspect.signature(ML.zero_day_rates).parameters["max_iter"].default == 150
+    assert inspect.signature(IF.fit).parameters["n_trees"].default == 200
+
+
+def test_multiclass_by_one_booster_per_class(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), "low" if x < 3 else "mid" if x < 7 else "top") for i, x in enumerate(rng.uniform(0, 10, 240))]
+    df = spark.createDataFrame(rows, "row_id long, bytes double, label string")
+    model = ML.multiclass_pipeline(["bytes"], max_iter=3, max_depth=3).fit(df)
+    test = df.unionByName(spark.createDataFrame([(900, 1.0, "never")], df.schema))
+    out = ML.decode_predictions(model, model.transform(test))
+    assert out.where("label = 'never'").count() == 0     # skipped by the indexer
+    assert out.where("label = pred_label").count() > 228
 
 
 def test_c_factor_known_values():

@@ -51,6 +51,18 @@ def test_pagerank_matches_power_iteration_and_sums_to_one(spark):
         assert sum(got.values()) == pytest.approx(1.0, abs=1e-9)
 
 
+def test_pagerank_with_split_sources_and_no_convergence(spark, monkeypatch):
+    from hostgraph.operators import pagerank as PR
+    monkeypatch.setattr(PR, "PART_EDGES", 2)
+    g = _random_edges(7, 9, 30) + [("hub", f"n{i}", 1) for i in range(9)]
+    df = spark.createDataFrame([(B0, s, d, w, 0.0) for s, d, w in g], SCHEMA)
+    got = {r.host: r.pagerank for r in pagerank(df).collect()}
+    want = _numpy_pagerank(g)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    with pytest.raises(RuntimeError, match="2024-01-01"):
+        pagerank(df, max_iter=2)
+
+
 def _numpy_clustering(edges):
     nodes = sorted({x for s, d, _ in edges for x in (s, d)})
     ix = {n: i for i, n in enumerate(nodes)}
@@ -68,7 +80,9 @@ def _numpy_clustering(edges):
 
 
 @pytest.mark.parametrize("seed", [3, 4, 5])
-def test_clustering_matches_matrix_form(spark, seed):
+def test_clustering_matches_matrix_form(spark, seed, monkeypatch):
+    from hostgraph.operators import clustering as CLU
+    monkeypatch.setattr(CLU, "PART_PAIRS", 1 if seed == 4 else 1000)       # with and without parts
     g = _random_edges(seed, 8, 24) + [("n1", "n1", 1)]
     cc = clustering_coefficient(spark.createDataFrame([(B0, s, d, w, 0.0) for s, d, w in set(g)], SCHEMA))
     got = {r.host: r.clustering_coefficient for r in cc.collect()}

@@ -5,18 +5,23 @@ import importlib
 import pytest
 
 SF = "/root/testdata/sf0.001"
-CHEAP = ["edges_hourly", "zscores", "fan_degree", "flow_novelty", "novelty_join", "chain_timeline",
-         "mttd", "hosts_reached", "chain_headline", "split_stratified", "split_group", "loco_folds",
-         "stratified_sample", "profile_totals", "label_distribution", "enrich_guard", "join_null_audit",
-         "classification_report", "f1_delta", "regime_comparison", "unseen_classes", "graph_summary",
-         "top_volume_z", "pivot_summary", "first_detection", "lineitem_host_features"]
+# every registered query but those that fit models (their joins are the stages', audited here too)
+MODELS = {"gbt_binary", "score_flows", "multi_class", "feature_gain", "model_roundtrip", "zero_day", "isolation_forest",
+          "pivot_check", "pivot_scores", "model_chain_timeline", "model_pivot_summary", "model_novel_summary",
+          "model_chain_headline", "model_mttd", "detection_regimes", "attribution_rank", "attribution_share",
+          "attribution_check", "f1_by_feature_set"}
+
+
+def _names():
+    from hostgraph.plans.catalog import REGISTRY
+    return sorted(set(REGISTRY) - MODELS)
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", _names())
 def test_no_cartesian_or_nested_loop(spark, name):
     ent = importlib.import_module("__spark_entry__")
     df = ent.queries()[name](spark, SF)
@@ -31,3 +36,11 @@ def test_edge_scan_is_pruned(spark):
     plan = _plan(ent.queries()["edges_hourly"](spark, SF))
     read = plan[plan.index("ReadSchema"):].split("\n")[0]
     assert "event_type" not in read and "event_id" not in read
+
+
+def test_pagerank_has_no_window(spark):
+    """Neither a bucket's nodes nor a source's edges meet in one window."""
+    from hostgraph.operators import pagerank as PR
+    e = spark.createDataFrame([("b", "s", "d", 1)], "bucket string, src string, dst string, flow_count long")
+    for df in (PR.normalised_edges(e), PR.initial_state(e)):
+        assert "Window" not in _plan(df)

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 
 from hostgraph.sources import csv_source as CSV
 from hostgraph.streaming import edges_stream as ES
@@ -22,9 +23,13 @@ def test_stream_novelty_emits_first_contact_per_pair(spark):
     d, schema = _flow_files(spark, rows)
     stream = spark.readStream.schema(schema).parquet(os.path.join(d, "in"))
     out = os.path.join(d, "out")
-    ES.run_to_table(NS.novel_flows(stream), out, os.path.join(d, "ck"))
-    got = sorted(r.row_id for r in spark.read.parquet(out).collect())
-    assert got == [2, 3, 4]
+    NS.drain_novel_flows(stream, out, os.path.join(d, "ck"))
+    assert sorted(r.row_id for r in spark.read.parquet(out).collect()) == [2, 3, 4]
+    # a later feed: only pairs that no earlier batch has emitted
+    more = [(6, "a", "x", t, 1.0), (7, "c", "x", t, 1.0), (8, "c", "x", t, 1.0), (9, None, "x", t, 1.0), (10, None, "x", t, 1.0)]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
+    NS.drain_novel_flows(spark.readStream.schema(schema).parquet(os.path.join(d, "in")), out, os.path.join(d, "ck"))
+    assert sorted(r.row_id for r in spark.read.parquet(out).collect()) == [2, 3, 4, 7, 9]
 
 
 def test_stream_edges_only_closed_windows(spark):
@@ -42,17 +47,48 @@ def test_stream_edges_only_closed_windows(spark):
                    (dt.datetime(2024, 1, 1, 11), "a", "x"): (1, 1.0)}
 
 
+def test_stream_edges_complete_has_open_windows(spark):
+    t = dt.datetime(2024, 1, 1, 10)
+    rows = [(1, "a", "x", t, 2.0), (2, "a", "x", t + dt.timedelta(hours=3), 3.0), (3, "a", "x", t + dt.timedelta(hours=3), None)]
+    d, schema = _flow_files(spark, rows)
+    out = os.path.join(d, "out")
+    for late in ([], [(4, "a", "x", t, 5.0)]):          # a late row counts like any other
+        if late:
+            spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
+        ES.drain_partial_edges(spark.readStream.schema(schema).parquet(os.path.join(d, "in")), out, os.path.join(d, "ck"))
+        got = {r.bucket.hour: (r.flow_count, r.total_bytes)
+               for r in ES.windowed_edges_complete(spark.read.parquet(out)).collect()}
+        assert got == {10: (2, 7.0) if late else (1, 2.0), 13: (2, 3.0)}
+
+
+FILES = ["Monday-WorkingHours.pcap_ISCX.csv", "Friday-WorkingHours-Morning.pcap_ISCX.csv"]
+
+
 def test_csv_capture_roundtrip(spark):
     d = tempfile.mkdtemp(prefix="hg-csv-")
-    raw = spark.createDataFrame([(1, " 10.0.0.1", float("inf"), "  Web Attack \x96 XSS ", "Monday-WorkingHours.csv"),
-                                 (None, None, None, "BENIGN", "Tuesday-WorkingHours.csv")],
+    raw = spark.createDataFrame([(1, " 10.0.0.1", float("inf"), "  Web Attack \x96 XSS ", FILES[0]),
+                                 (None, None, None, "BENIGN", FILES[1])],
                                 "row_id long, src string, bytes double, label string, source_file string")
     CSV.write_capture(raw, d)
+    assert sorted(f for f in os.listdir(d) if f.endswith(".csv")) == sorted(FILES)      # a flat folder
     back = CSV.scan_capture(spark, d, CSV.capture_schema(raw))
     assert sorted(back.columns) == sorted(raw.columns)
     got = {r.source_file: (r.row_id, r.src, r.bytes, r.label) for r in back.collect()}
-    assert got["Monday-WorkingHours.csv"] == (1, " 10.0.0.1", float("inf"), "  Web Attack \x96 XSS ")
-    assert got["Tuesday-WorkingHours.csv"] == (None, None, None, "BENIGN")
+    assert got == {FILES[0]: (1, " 10.0.0.1", float("inf"), "  Web Attack \x96 XSS "), FILES[1]: (None, None, None, "BENIGN")}
+
+
+def test_columns_go_by_header(spark, tmp_path):
+    """Files whose columns stand in another order, or lack one, keep their values apart."""
+    raw = spark.createDataFrame([], "row_id long, src string, bytes double, label string, source_file string")
+    (tmp_path / FILES[0]).write_text(" Row ID, Source IP,Total Bytes , Label\n1,h1,2.5,BENIGN\n")
+    (tmp_path / FILES[1]).write_text("Label , Total Bytes, Row ID,Source IP\nWorm,7.25,2,h2\n")
+    (tmp_path / "short.csv").write_text(" Label, Row ID\nWorm,3\n")
+    got = CSV.scan_capture(spark, str(tmp_path), CSV.capture_schema(raw)).collect()
+    assert {(r.row_id, r.src, r.bytes, r.label, r.source_file) for r in got} == {
+        (1, "h1", 2.5, "BENIGN", FILES[0]), (2, "h2", 7.25, "Worm", FILES[1]), (3, None, None, "Worm", "short.csv")}
+    (tmp_path / "odd.csv").write_text("Row ID,Colour\n4,red\n")
+    with pytest.raises(ValueError, match="colour"):
+        CSV.scan_capture(spark, str(tmp_path), CSV.capture_schema(raw))
 
 
 def test_normalise_header():

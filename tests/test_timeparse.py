@@ -1,60 +1,36 @@
 import datetime as dt
 
-from hostgraph.functions.columns import bucket_floor, parse_ambiguous_timestamp
-
-
-def _parse(spark, s):
-    df = spark.createDataFrame([(s,)], "raw string")
-    return df.select(parse_ambiguous_timestamp("raw").alias("t")).first().t
-
-
-def test_morning_hour_unchanged(spark):
-    assert _parse(spark, "7/7/2017 8:59") == dt.datetime(2017, 7, 7, 8, 59)
-
-
-def test_afternoon_hour_gets_twelve(spark):
-    assert _parse(spark, "7/7/2017 3:30") == dt.datetime(2017, 7, 7, 15, 30)
-
+import pytest
 
-def test_noon_stays_noon(spark):
-    assert _parse(spark, "5/7/2017 12:15") == dt.datetime(2017, 7, 5, 12, 15)
-
-
-def test_zero_padded_with_seconds_morning(spark):
-    assert _parse(spark, "03/07/2017 08:55:58") == dt.datetime(2017, 7, 3, 8, 55, 58)
-
-
-def test_zero_padded_with_seconds_afternoon(spark):
-    assert _parse(spark, "03/07/2017 02:40:14") == dt.datetime(2017, 7, 3, 14, 40, 14)
+from hostgraph.functions.columns import bucket_floor, parse_ambiguous_timestamp
 
 
-def test_day_first(spark):
-    assert _parse(spark, "6/7/2017 9:00") == dt.datetime(2017, 7, 6, 9, 0)
+def parse(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, raw string")
+    return [r.t for r in df.select("k", parse_ambiguous_timestamp("raw").alias("t")).orderBy("k").collect()]
 
 
-def test_mixed_formats_in_one_column(spark):
-    rows = [("7/7/2017 8:59",), ("03/07/2017 02:40:14",), ("7/7/2017 3:30",)]
-    df = spark.createDataFrame(rows, "raw string")
-    got = [r.t for r in df.select(parse_ambiguous_timestamp("raw").alias("t")).collect()]
-    assert got == [dt.datetime(2017, 7, 7, 8, 59), dt.datetime(2017, 7, 3, 14, 40, 14),
-                   dt.datetime(2017, 7, 7, 15, 30)]
+def test_every_hour_of_a_twelve_hour_clock(spark):
+    """1 to 7 are afternoon, 8 to 11 morning, 12 is noon; with and without padding and seconds."""
+    texts, want = [], []
+    for hour in range(1, 13):
+        real = hour + 12 if hour <= 7 else hour
+        texts += [f"21/11/2022 {hour}:{hour + 20}", f"02/01/2023 {hour:02d}:07:{hour + 40}"]
+        want += [dt.datetime(2022, 11, 21, real, hour + 20), dt.datetime(2023, 1, 2, real, 7, hour + 40)]
+    assert parse(spark, texts) == want
 
 
-def test_heartbleed_window_lands_in_afternoon(spark):
-    # documented 15:12-15:32 window appears as hour token 3
-    assert _parse(spark, "5/7/2017 3:12").hour == 15
+def test_day_comes_before_month(spark):
+    assert parse(spark, ["4/12/2021 10:30", "12/4/2021 10:30"]) == [dt.datetime(2021, 12, 4, 10, 30), dt.datetime(2021, 4, 12, 10, 30)]
 
 
-def test_bucket_floor_widths(spark):
-    df = spark.createDataFrame([(dt.datetime(2017, 7, 7, 15, 37, 21),)], "ts timestamp_ntz")
+@pytest.mark.parametrize("ts", [dt.datetime(2022, 2, 28, 23, 59, 59, 999999), dt.datetime(1968, 7, 30, 5, 4, 3),
+                                dt.datetime(2000, 1, 1)])
+def test_bucket_floor(spark, ts):
+    df = spark.createDataFrame([(ts,)], "ts timestamp_ntz")
     r = df.select(bucket_floor("ts", "1 hour").alias("h"), bucket_floor("ts", "5 minutes").alias("m"),
                   bucket_floor("ts", "1 day").alias("d"), bucket_floor("ts", "month").alias("mo")).first()
-    assert r.h == dt.datetime(2017, 7, 7, 15, 0)
-    assert r.m == dt.datetime(2017, 7, 7, 15, 35)
-    assert r.d == dt.datetime(2017, 7, 7)
-    assert r.mo == dt.datetime(2017, 7, 1)
-
-
-def test_bucket_floor_before_epoch(spark):
-    df = spark.createDataFrame([(dt.datetime(1969, 12, 31, 23, 30),)], "ts timestamp_ntz")
-    assert df.select(bucket_floor("ts", "1 hour").alias("h")).first().h == dt.datetime(1969, 12, 31, 23, 0)
+    assert r.h == ts.replace(minute=0, second=0, microsecond=0)
+    assert r.m == ts.replace(minute=ts.minute // 5 * 5, second=0, microsecond=0)
+    assert r.d == dt.datetime(ts.year, ts.month, ts.day)
+    assert r.mo == dt.datetime(ts.year, ts.month, 1)
