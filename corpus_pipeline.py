@@ -4,19 +4,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hostgraph.llm import packing
+from hostgraph.llm import packing, pii, prob_minhash, toxicity
 from hostgraph.llm.store import write_table
 from hostgraph.sources.tables import read_table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a factorization machine, learned from the labels of the documents that are
+    not held out, does not call toxic; all columns as they were."""
+    return toxicity.reject(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each class of near-duplicates."""
+    return prob_minhash.keep_one(docs, prob_minhash.near_duplicates(docs))
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind in brackets."""
+    return pii.redact(docs, pii.find(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of what is left (the last stage: one row per piece)."""
+    """Token windows of what is left: one row per piece."""
     return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("pii", mask_private), ("packing", pack)]
 
-ORACLE_SQL = None     # model scores and token ids have no SQL form
+ORACLE_SQL = None     # model scores and token ids have no SQL form; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
