@@ -27,7 +27,7 @@ WITH p AS (
   FROM pages),
 b AS (
   SELECT p.*, max(page_id) OVER (PARTITION BY html) AS last,
-         array_to_string(list_transform(range(32), i ->
+         array_to_string(list_transform(range(32), lambda i:
            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
              ((strpos('0123456789ABCDEF', substr(hex, CAST(5 * i // 4 + 1 AS INT), 1)) - 1) * 16
               + (strpos('0123456789ABCDEF', substr(hex || '0', CAST(5 * i // 4 + 2 AS INT), 1)) - 1))
@@ -71,12 +71,12 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_OP1 = """
 WITH RECURSIVE v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL),
 u AS (
   SELECT vec_id, x FROM v
-  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, c -> c IS NULL OR NOT isfinite(c))) = 0
-    AND len(list_filter(x, c -> c <> 0)) > 0),
+  WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(x, lambda c: c <> 0)) > 0),
 e AS (
   SELECT a.vec_id AS s, b.vec_id AS t FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
   WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
@@ -118,7 +118,7 @@ WITH t AS (
   FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body FROM conversations)
   GROUP BY conv_id),
 l AS (
-  SELECT *, list_filter(range(1, len(t) + 1), i -> t[i].role = 'assistant') AS a FROM t),
+  SELECT *, list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant') AS a FROM t),
 s AS (
   SELECT *, CASE WHEN len(a) > 0 THEN a[-1] ELSE len(t) END AS k,
          CASE WHEN len(a) > 1 AND t[a[-2]].body <> t[a[-1]].body THEN t[a[-2]].body
@@ -127,7 +127,7 @@ s AS (
 f AS (
   SELECT conv_id, t, k, stale, len(a) > 0 AND stale <> t[k].body AS differs,
          replace(t[k].body, '<|im_', '<\\|im_') AS good, replace(stale, '<|im_', '<\\|im_') AS bad,
-         list_transform(t, x -> '<|im_start|>' || replace(x.role, '<|im_', '<\\|im_') || chr(10)
+         list_transform(t, lambda x: '<|im_start|>' || replace(x.role, '<|im_', '<\\|im_') || chr(10)
                                 || replace(x.body, '<|im_', '<\\|im_') || '<|im_end|>' || chr(10)) AS lines
   FROM s)
 SELECT conv_id AS pair_id, CAST(CASE WHEN differs THEN k - 1 ELSE k END AS INT) AS n_prompt_turns,
