@@ -18,11 +18,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import hash_sample
+
 FOLDS = 5            # rows whose crc32(doc_id) is 0 modulo this are held out
 MAX_ROWS = 20_000    # labelled rows that training reads at most
 BUCKETS = 1 << 18
 SELECTED = 1024
-LEAST = 10.83
+LEAST = 16.0
 FACTORS = 4
 
 
@@ -73,7 +75,7 @@ class ToxicityModel:
 
 def _choose(counts: dict[int, tuple[int, np.ndarray]], selected: int) -> list[int]:
     """The buckets whose shares differ most between the labels: squared difference in units of its
-    variance, and at least ``LEAST`` of them (chi-square, one in a thousand by chance)."""
+    variance, and at least ``LEAST`` of them (chi-square; one bucket in 16,000 by chance)."""
     (n0, c0), (n1, c1) = counts[0], counts[1]
     rate = (c0 + c1 + 1) / (n0 + n1 + 2)
     z = (c1 / n1 - c0 / n0) ** 2 / (rate * (1 - rate) * (1 / n0 + 1 / n1))
@@ -89,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, buckets: i
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("label").alias("label")))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    some = hash_sample(known, "doc_id", max_rows)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     # at most max_rows rows of two numbers
     rows = _features(d.join(F.broadcast(some), "doc_id"), buckets).persist()
