@@ -4,6 +4,8 @@ Model outputs depend on Spark ML's learners, not on SQL, so these carry the rows
 — except the label index, which is a pure function of the training labels."""
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_internal_ip
@@ -53,8 +55,11 @@ def q_multi_class(spark, sf):
     day, rows = ST.day_labelled(spark, sf), ST.labelled(spark, sf)
     cols = ML.feature_columns(rows, True)
     rand = SP.stratified_split(rows, ["label"], "row_id", 0.2, 42)
-    return rounded(_multi_report(day.where("side = 'train'"), day.where("side = 'test'"), cols, "day").unionByName(
-        _multi_report(rand.where("NOT is_test"), rand.where("is_test"), cols, "random")))
+    runs = [(day.where("side = 'train'"), day.where("side = 'test'"), cols, "day"),
+            (rand.where("NOT is_test"), rand.where("is_test"), cols, "random")]
+    with ThreadPoolExecutor(len(runs)) as pool:          # independent fits side by side
+        a, b = pool.map(lambda r: _multi_report(*r), runs)
+    return rounded(a.unionByName(b))
 
 
 @register("model_supports", "M1,M2,M5,S1,S3", S.with_(S.FLOWS) + """
@@ -146,6 +151,11 @@ def q_model_roundtrip(spark, sf):
 
 @register("zero_day", "M5")
 def q_zero_day(spark, sf):
+    """Each attack class left out of training in turn (a stage, like the fitted model)."""
+    return ST.cached(spark, sf, "zero-day", lambda: _zero_day(spark, sf))
+
+
+def _zero_day(spark, sf):
     data = ST.labelled(spark, sf)
     cols = ML.feature_columns(data, True)
     flagged = SP.holdout_class(data, "label", "BENIGN", "row_id", 0.1, 42)
@@ -156,11 +166,16 @@ def q_zero_day(spark, sf):
                      .select("label").distinct().collect())
     rows = ML.zero_day_rates(base, hold, cols, classes)
     return rounded(spark.createDataFrame(rows, "class string, support long, zero_day_catch_rate double, "
-                                               "benign_fpr double").orderBy("zero_day_catch_rate"))
+                                               "benign_fpr double"))
 
 
 @register("isolation_forest", "M7")
 def q_isolation_forest(spark, sf):
+    """Catch rates of the isolation forest (a stage, like the fitted model)."""
+    return ST.cached(spark, sf, "isolation-forest", lambda: _isolation_forest(spark, sf))
+
+
+def _isolation_forest(spark, sf):
     """Forest fitted on 80 % of benign rows (median-imputed with train statistics);
     catch rate per attack class and false-positive rate on the benign holdout."""
     data = ST.labelled(spark, sf)
@@ -334,7 +349,7 @@ def q_f1_by_feature_set(spark, sf):
     runs = []
 
     def add(split, name, df, cols, train, test):
-        runs.append((split, name, len(cols), float(_f1_run(df.where(train), df.where(test), cols))))
+        runs.append((split, name, len(cols), df.where(train), df.where(test), cols))
 
     tr, te = F.col("side") == "train", F.col("side") == "test"
     add("day", "flow", day, flow_cols, tr, te)
@@ -351,7 +366,10 @@ def q_f1_by_feature_set(spark, sf):
     hourly = SP.group_split(hour, "bucket", 0.2, 42)
     add("hour_grouped", "flow", hourly, flow_cols, ~F.col("is_test"), F.col("is_test"))
     add("hour_grouped", "flow+graph_hourly", hourly, ML.feature_columns(hour, True), ~F.col("is_test"), F.col("is_test"))
-    df = spark.createDataFrame(runs, "split string, feature_set string, n_features int, f1 double")
+    with ThreadPoolExecutor(4) as pool:                  # independent fits side by side
+        f1 = list(pool.map(lambda r: float(_f1_run(*r[3:])), runs))
+    df = spark.createDataFrame([(*r[:3], x) for r, x in zip(runs, f1)],
+                               "split string, feature_set string, n_features int, f1 double")
     from pyspark.sql import Window
     base = F.max(F.when(F.col("feature_set") == "flow", F.col("f1"))).over(Window.partitionBy("split"))
     return rounded(df.withColumn("delta_vs_flow", F.col("f1") - base))

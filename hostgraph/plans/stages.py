@@ -34,7 +34,7 @@ def _key(spark: SparkSession, sf: str, name: str):
     return (spark.sparkContext.applicationId, tuple(sorted(files)), name)
 
 
-def _cached(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+def cached(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     k = _key(spark, sf, name)
     if k not in _PATHS:
         path = scratch_path(spark, name)
@@ -45,7 +45,7 @@ def _cached(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 def host_features(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) -> DataFrame:
     from .host_table import host_feature_table
-    return _cached(spark, sf, f"host-features-{width.replace(' ', '')}",
+    return cached(spark, sf, f"host-features-{width.replace(' ', '')}",
                    lambda: host_feature_table(events_flows(spark, sf), width, True))
 
 
@@ -53,7 +53,7 @@ def enriched_flows(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) ->
     def build():
         fl = with_bucket(events_flows(spark, sf), width)
         return EN.enrich_flows(fl, host_features(spark, sf, width))
-    return _cached(spark, sf, f"enriched-flows-{width.replace(' ', '')}", build)
+    return cached(spark, sf, f"enriched-flows-{width.replace(' ', '')}", build)
 
 
 def labelled(spark: SparkSession, sf: str, width: str = FEATURE_WIDTH) -> DataFrame:
