@@ -11,7 +11,9 @@ Distributed form:
   windows, so neither a bucket nor a scanning host is ever one task's rows;
 * a source with more than ``PART_EDGES`` edges in a bucket is split in parts by a hash of its
   destinations, and its one state row is replicated to its parts in the step's join;
-* a step moves the contributions (partially summed per destination) and the node state;
+* normalised edges are hash-partitioned on the step's join key and checkpointed once, so no
+  step shuffles them: a step moves the contributions (partially summed per destination) and
+  the node state;
 * per-bucket numbers (dangling mass, L1 change, done) are one aggregate of the state; the
   join with them is planned by AQE from its measured size;
 * each step's state is a parquet table in the cluster's checkpoint folder, read back: the plan
@@ -25,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import delete_path, scratch_path
+from ..session import delete_path, ensure_checkpoint_dir, scratch_path
 
 PART_EDGES = 100_000    # edges of one source in one bucket that stay together
 ALPHA = 0.85
@@ -99,7 +101,11 @@ def pagerank(edges: DataFrame, alpha: float = ALPHA, tol: float = TOL,
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
-    materialise(normalised_edges(edges, weight), "edges").createOrReplaceTempView(v_edges)
+    # a checkpoint keeps the hash partitioning (at the session's shuffle width), a file does not
+    ensure_checkpoint_dir(spark)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (normalised_edges(edges, weight).repartition(width, "bucket", "src", "part").checkpoint(eager=True)
+     .createOrReplaceTempView(v_edges))
     state, it = materialise(initial_state(edges), "state-0"), 0
     try:
         while True:
