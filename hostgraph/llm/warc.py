@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import hash_sample
+
 # Fixed values of the formats: the dictionary's frame magic, and an empty skippable frame.
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -71,10 +73,10 @@ def train_dictionary(pages: DataFrame, samples: int = 1000, sample_bytes: int =
     """A dictionary from at most ``samples`` records (those with the smallest hash of their id),
     of each ``sample_bytes`` at most; that bounds what reaches the driver.  It changes how small
     the archives get, never what they hold.  Empty if there is too little to learn from."""
-    some = (pages.where(F.col("refers_to").isNull() & (F.length("html") > 0))
-            .select(F.xxhash64("page_id").alias("h"), "page_id", "url",
-                    F.substring("html", 1, sample_bytes).alias("html"))
-            .orderBy("h", "page_id").limit(samples).collect())
+    able = pages.where(F.col("refers_to").isNull() & F.col("html").isNotNull() & (F.col("html") != ""))
+    ids = hash_sample(able.select("page_id").where("page_id IS NOT NULL"), "page_id", samples)
+    some = (able.join(F.broadcast(ids.distinct()), "page_id").dropDuplicates(["page_id"])
+            .select("page_id", "url", F.substring("html", 1, sample_bytes).alias("html")).orderBy("page_id").collect())
     records = [_record(r["page_id"], r["url"], r["html"], None)[:sample_bytes] for r in some]
     try:
         return zstandard.train_dictionary(size, records).as_bytes() if len(records) >= 8 else b""
