@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -31,7 +32,8 @@ class Encoder:
     """ids of texts by a ``tokenizers`` file, as ``encode(text, add_special_tokens=False)``
     gives them; the strings of special tokens count as ordinary text."""
 
-    MEMO = 400_000   # parts held by a worker (or those of one text, if more); then the table starts afresh
+    MEMO = 600_000   # parts in the newer of two tables (or those of one call, if more); when it is
+    #                  full it replaces the older one, and parts that come again move back
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,29 +41,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size(True)
+        # bytes of each id: a byte-level vocabulary writes a byte as one character
+        self.bytes = np.zeros(self.vocabulary, np.int64)
+        for piece, i in self.tokenizer.get_vocab(True).items():
+            self.bytes[i] = len(piece)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        got = []
+        for i in range(0, len(texts), 4096):
+            got += self.tokenizer.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Parts that don't end in white space: many to a text, whose ids are cut again where the
+        bytes of the parts end."""
+        some = [parts[i:i + 256] for i in range(0, len(parts), 256)]
+        out = []
+        for i in range(0, len(some), 16):
+            got = self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in some[i:i + 16]], add_special_tokens=False)
+            for group, e in zip(some[i:i + 16], got):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum([len(p.encode()) + 1 for p in group])
+                cuts = [0, *(4 * np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 4).tolist()]
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
     def _learn(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 4096):
-            some = parts[i:i + 4096]
-            got = self.tokenizer.encode_batch([" " + p for p in some], add_special_tokens=False)
-            self.memo.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, got))
+        new = [p for p in parts if p not in self.older]
+        self.memo.update((p, self.older[p]) for p in parts if p in self.older)
+        whole = [p for p in new if p and not p[-1].isspace()]
+        self.memo.update(zip(whole, self._joined(whole)))
+        rest = [p for p in new if not p or p[-1].isspace()]
+        self.memo.update(zip(rest, self._plain([" " + p for p in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
         split = [split_parts(t) for t in texts]
-        heads = self.tokenizer.encode_batch([h for h, _ in split], add_special_tokens=False)
-        for (_, rest), head in zip(split, heads):
-            distinct = dict.fromkeys(rest)
-            if missing := [p for p in distinct if p not in self.memo]:
-                if len(self.memo) + len(missing) > self.MEMO:
-                    self.memo.clear()
-                    missing = list(distinct)
-                self._learn(missing)
-            out.append(np.array(head.ids, "<u4").tobytes()
-                       + b"".join(map(self.memo.__getitem__, rest)))
-        return out
+        heads = self._plain([h for h, _ in split])
+        distinct = dict.fromkeys(chain.from_iterable(rest for _, rest in split))
+        if missing := [p for p in distinct if p not in self.memo]:
+            if len(self.memo) + len(missing) > self.MEMO:
+                self.memo, self.older = {}, self.memo
+                missing = list(distinct)
+            self._learn(missing)
+        return [head + b"".join(map(self.memo.__getitem__, rest)) for (_, rest), head in zip(split, heads)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
