@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import (bpe, bpe_functions, fingerprints, lattice, packing, pii, preference, prob_minhash, token_output,
-               toxicity, warc)
+from . import bpe, fingerprints, lattice, packing, pii, preference, prob_minhash, token_output, toxicity, warc
 
 LLM: dict[str, tuple] = {}
 
@@ -101,8 +100,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @register("op5_byte_level_bpe")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = bpe_functions.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digest(bpe_functions.decode(coded, ranks))
+    coded = bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digest(bpe.decode(coded, ranks))
 
 
 @register("op6_factorization_machine")
