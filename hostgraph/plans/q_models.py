@@ -113,13 +113,24 @@ t AS (SELECT {", ".join(f"{_median_source(c)} AS {c}" for c in _MEDIAN_COLS)}
 """ + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median, "
                          f"count(*) - count({c}) AS n_missing FROM t" for c in _MEDIAN_COLS))
 def q_impute_median(spark, sf):
+    """The medians that the SQL restates: a part of ``impute_median_all``."""
+    return _medians(spark, sf, _MEDIAN_COLS)
+
+
+@register("impute_median_all", "M6")
+def q_impute_median_all(spark, sf):
+    """Exact medians and missing values of every column the models impute (tested against DuckDB)."""
+    return _medians(spark, sf, ML.feature_columns(ST.labelled(spark, sf), True))
+
+
+def _medians(spark, sf, cols):
     """Exact medians (a distributed rank, no group in one task) and missing values of the 80 %
     of benign rows, on all days, that the isolation forest learns from."""
     from ..operators import scan
     h = SP.holdout_class(ST.labelled(spark, sf), "label", "BENIGN", "row_id", 0.2, 42)
     benign = h.where((F.col("label") == "BENIGN") & ~F.col("is_holdout"))
     long = benign.select("row_id", F.explode(F.array(*[F.struct(
-        F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in _MEDIAN_COLS])).alias("v")).select(
+        F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("v")).select(
         "row_id", "v.*")
     missing = long.groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("n_missing"))
     q = scan.exact_quantiles(long, "feature", "value", ["row_id"], (0.5,))
