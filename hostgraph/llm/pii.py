@@ -1,8 +1,8 @@
 """Personal data in whole texts by bootstrapped contextual extraction; DataFrame functions only.
 
 Base spans (e-mail, IP, card, phone) come from fixed patterns and are the seeds.  Every seed and
-every other token with a digit or an at-sign is an instance that occurs in lexical patterns: the
-two words before it, the word before it with the word behind it, the two words around it with its
+every other token with a digit or an at-sign is an instance that occurs in lexical patterns (digit
+groups with single spaces between them, as in "(202) 555-0199", are one instance): the two words before it, the word before it with the word behind it, the two words around it with its
 shape.  On the graph of patterns and instances, scores go back and forth: a pattern is worth the
 share of its instances that are known to be of a kind, an instance what its patterns give it.
 Unseen instances of high score become added spans wherever a pattern of high score surrounds them.
@@ -23,6 +23,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+# digit groups joined by single spaces, dots, dashes or paired parentheses, not from within a word
+RUN = (r"(?:(?=\()|(?<![\p{L}\p{N}@]))(?:\(\+?+[0-9]++(?:[\x20.-][0-9]++)*+\)|\+?+[0-9]++)"
+       r"(?:[\x20.-]?+(?:\([0-9]++(?:[\x20.-][0-9]++)*+\)|[0-9]++))*+")
+SPACED = r"[0-9]\)?\x20\(?[0-9]"       # what a text with a run of several tokens has somewhere
 WINDOW = 80          # code points on either side that a pattern looks at
 SPAN = "struct<start:bigint,end:bigint,kind:int,value:string>"
 
@@ -96,8 +100,24 @@ def _contexts(text: Column, spans: Column) -> Column:
     return F.transform(spans, around)
 
 
+def _runs(text: Column, base: Column) -> Column:
+    """Runs of digit groups over several tokens, from the text between the base spans."""
+    blank = F.aggregate(base, text, lambda t, s: F.overlay(
+        t, F.repeat(F.lit("#"), (s["end"] - s["start"]).cast("int")), (s["start"] + 1).cast("int"),
+        (s["end"] - s["start"]).cast("int")))
+    found = _found(blank, RUN, text.rlike(SPACED), None)
+
+    def bare(s: Column) -> Column:          # parentheses around the whole run are outer punctuation
+        cut = F.when(s["value"].rlike(r"^\([^()]*+\)$"), F.lit(1)).otherwise(F.lit(0))
+        return F.struct((s["start"] + cut).alias("start"), (s["end"] - cut).alias("end"), s["kind"].alias("kind"),
+                        F.substring(s["value"], cut + 1, F.length(s["value"]) - 2 * cut).alias("value"))
+
+    return F.filter(F.transform(found, bare), lambda s: F.contains(s["value"], F.lit(" ")) & (F.length(s["value"]) >= 4))
+
+
 def _others(text: Column, base: Column) -> Column:
-    """Tokens with a digit or an at-sign that touch no base span, without outer punctuation."""
+    """Tokens with a digit or an at-sign that touch no base span, without outer punctuation; tokens
+    within a run of digit groups are that run."""
     raw = _found(text, TOKEN, text.rlike("[0-9@]"), None)
 
     def trim(s: Column) -> Column:
@@ -106,8 +126,10 @@ def _others(text: Column, base: Column) -> Column:
         start = s["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), s["kind"].alias("kind"), core.alias("value"))
 
-    return F.filter(F.transform(raw, trim), lambda s: (F.length(s["value"]) >= 4) & ~F.exists(
+    tokens = F.filter(F.transform(raw, trim), lambda s: (F.length(s["value"]) >= 4) & ~F.exists(
         base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.get(F.transform(F.array(_runs(text, base)), lambda runs: F.concat(runs, F.filter(
+        tokens, lambda s: ~F.exists(runs, lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"]))))), F.lit(0))
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -71,6 +71,26 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert out[101].text == text[101] and out[101].n_chars == 7 and out[103].text is None
 
 
+def test_unseen_identifiers_of_several_tokens(spark):
+    """Digit groups in the form of the seeds are one instance, in the context around the whole run."""
+    want = {100: "(202) 555-0199", 101: "202 555 0199", 102: "4111 1111 1111 1112", 103: "202.555 0198", 104: "202 555 0197",
+            105: "(0202) 555 0196", 106: None, 107: None}
+    rows = [(i, f"Please call me at +1 (202) 555-0{100 + i} for details about item {i}.") for i in range(30)]
+    rows += [(100, "Please call me at (202) 555-0199 for details."), (101, "Please call me at 202 555 0199 for details."),
+             (102, "Please call me at 4111 1111 1111 1112, for details"), (103, "é😀 call me at 202.555 0198) or so"),
+             (104, "call me at 202 555 0197 10.0.0.1"), (105, "call me at (0202) 555 0196x12 or so"),
+             (106, "we sold 202 555 0195 pieces in 1999 2000 for cash"), (107, "1 2 3 " * 900 + "(1 " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(docs)
+    got, text = {r.doc_id: r for r in found.collect()}, dict(rows)
+    for i, value in want.items():
+        assert [text[i][s.start:s.end] for s in got[i].added] == ([value] if value else []), text[i][:60]
+        assert all(pii.KINDS[s.kind] == "phone" for s in got[i].added)
+    out = {r.doc_id: r.text for r in pii.redact(docs, found).collect()}
+    assert out[100] == out[101] == "Please call me at [PHONE] for details."
+    assert out[104] == "call me at [PHONE] [IP]" and out[106] == text[106]
+
+
 def test_redaction_of_overlaps_and_repeated_rows(spark):
     rows = [(1, "a 4111111111111111@a.b c"), (1, "a 4111111111111111@a.b c"), (None, "x@y.zz"), (2, "nothing")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
