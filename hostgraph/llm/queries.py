@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources.tables import read_table as table
 from . import bpe, fingerprints, lattice, packing, pii, preference, prob_minhash, token_output, toxicity, warc
+from .store import drop_table, write_table
 
 LLM: dict[str, tuple] = {}
 
@@ -43,8 +44,12 @@ FROM b
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     marked = warc.mark_revisits(table(spark, sf, "pages"))
     path = scratch_path(spark, "warc")
-    warc.write_archives(marked, path, warc.train_dictionary(
-        table(spark, sf, "pages").withColumn("refers_to", F.lit(None).cast("long"))))
+    # ids alone, so that no payload goes through the join of the copies for the sample
+    stored, stored_path = write_table(marked.where("refers_to IS NULL AND html != ''").select("page_id"), "stored")
+    dictionary = warc.train_dictionary(
+        table(spark, sf, "pages").withColumn("refers_to", F.lit(None).cast("long")), stored=stored)
+    drop_table(spark, stored_path)
+    warc.write_archives(marked, path, dictionary)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest",
                                                   "record_type", "refers_to")
 

@@ -69,12 +69,14 @@ def _record(page_id, url, html: str, refers_to) -> bytes:
 
 
 def train_dictionary(pages: DataFrame, samples: int = 1000, sample_bytes: int = 32_768,
-                     size: int = 65_536) -> bytes:
+                     size: int = 65_536, stored: DataFrame | None = None) -> bytes:
     """A dictionary from at most ``samples`` records (those with the smallest hash of their id),
     of each ``sample_bytes`` at most; that bounds what reaches the driver.  It changes how small
-    the archives get, never what they hold.  Empty if there is too little to learn from."""
+    the archives get, never what they hold.  Empty if there is too little to learn from.
+    ``stored``: the page_ids to choose from, if ``pages`` doesn't tell the revisits."""
     able = pages.where(F.col("refers_to").isNull() & F.col("html").isNotNull() & (F.col("html") != ""))
-    ids = hash_sample(able.select("page_id").where("page_id IS NOT NULL"), "page_id", samples)
+    stored = able if stored is None else stored
+    ids = hash_sample(stored.select("page_id").where("page_id IS NOT NULL"), "page_id", samples)
     some = (able.join(F.broadcast(ids.distinct()), "page_id").dropDuplicates(["page_id"])
             .select("page_id", "url", F.substring("html", 1, sample_bytes).alias("html")).orderBy("page_id").collect())
     records = [_record(r["page_id"], r["url"], r["html"], None)[:sample_bytes] for r in some]

@@ -71,3 +71,14 @@ def test_empty(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(marked, path, b"")
     assert warc.read_archives(spark, path).where("page_id is not null").count() == 0
+
+
+def test_dictionary_learns_from_stored_payloads(spark, tmp_path, monkeypatch):
+    """A text that a third of all pages hold is archived once, and is one sample."""
+    from hostgraph.llm.queries import LLM
+    pages = [(i, f"http://e/{i}", "<p>the very same copy</p>" if i % 3 == 0 else f"<p>page {i} of many</p>") for i in range(90)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    taken, train = [], zstandard.train_dictionary
+    monkeypatch.setattr(warc.zstandard, "train_dictionary", lambda size, records: taken.extend(records) or train(size, records))
+    assert LLM["op3_warc_dictionary"][0](spark, str(tmp_path)).count() == 90
+    assert len(taken) == 61 and sum(b"very same copy" in r for r in taken) == 1
