@@ -179,7 +179,8 @@ def compare_neighbours(docs: DataFrame, words: int = WORDS, bins: int = BINS, bi
         d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
         .mapInArrow(walk, f"end boolean, {COMPARED}, head_id long, head_text string, tail_id long, tail_text string"),
         "fingerprints")
-    # one row per range: as many as tasks, whatever the number of documents
+    # one row per range: as many as tasks, whatever the number of documents; they meet behind a
+    # shuffle, so that the files are still scanned by many tasks
     ends = walked.where("end").select("head_id", "head_text", "tail_id", "tail_text")
-    last = ends.coalesce(1).sortWithinPartitions(F.asc_nulls_first("head_id"), "head_text").mapInArrow(close, COMPARED)
+    last = ends.repartition(1).sortWithinPartitions(F.asc_nulls_first("head_id"), "head_text").mapInArrow(close, COMPARED)
     return walked.where("NOT end").select(*_NAMES).unionByName(last)

@@ -81,3 +81,10 @@ def test_small_tables(spark):
     r = fp.compare_neighbours(one).collect()
     assert len(r) == 1 and r[0].near_next == 1.0
     assert fp.compare_neighbours(one.where("false")).count() == 0
+
+
+def test_range_ends_meet_behind_a_shuffle(spark):
+    """The written table is scanned by many tasks, not by the one that settles the ends."""
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id long, text string")
+    plan = fp.compare_neighbours(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange SinglePartition" in plan
