@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import bpe, fingerprints, lattice, packing, pii, preference, prob_minhash, token_output, toxicity, warc
+from . import alignment, bpe, fingerprints, lattice, packing, pii, preference, prob_minhash, token_output, toxicity, warc
 from .store import drop_table, write_table
 
 LLM: dict[str, tuple] = {}
@@ -160,3 +160,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda name: F.lower(F.hex(name)).alias(name)
     return c.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"),
                     "near_edited", "near_next")
+
+
+@register("op11_lockstep_alignment")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    files = []
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            files.append(f.read())
+    return alignment.cross_align(table(spark, sf, "documents"), *files)
