@@ -1,13 +1,17 @@
 """The registered queries of this package: name -> (Spark builder, DuckDB SQL or None)."""
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.tables import read_table as table
-from . import alignment, bpe, fingerprints, lattice, packing, pii, preference, prob_minhash, token_output, toxicity, warc
+from . import (alignment, bpe, fingerprints, lattice, license_scan, packing, periodic_runs, pii, preference, prob_minhash,
+               token_output, toxicity, warc)
+from .license_templates import PHRASES, TEMPLATES
 from .store import drop_table, write_table
 
 LLM: dict[str, tuple] = {}
@@ -169,3 +173,51 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         with open(public_tokenizers.path(name), "rb") as f:
             files.append(f.read())
     return alignment.cross_align(table(spark, sf, "documents"), *files)
+
+
+def license_sql() -> str:
+    """Words by a regular expression, phrases by slices of the word list, templates as regular
+    expressions over the words joined by one space."""
+    def words(text: str) -> list[str]:
+        return re.findall("[a-z0-9]+", text.lower())
+
+    def pattern(template: str) -> str:
+        out = ""
+        for mark, text in re.findall(r"<<(.*?)>>|((?:(?!<<).)+)", template, re.S):
+            if text:
+                out += "".join(f" {w}" for w in words(text))
+            elif mark.startswith("var;words="):
+                out += "(?: [^ ]+){%s}" % mark[10:].replace("..", ",")
+            else:
+                out += {"beginOptional": "(?:", "endOptional": ")?"}[mark]
+        return out + "( |$)"
+
+    hits = ", ".join("list_filter(range(1, len(w) + 1), lambda i: w[i:i + {}] = {}) AS h{}".format(
+        len(words(p)) - 1, words(p), n) for n, (_, p) in enumerate(PHRASES))
+    every = " || ".join(f"h{n}" for n in range(len(PHRASES)))
+    base = ", ".join(f"CASE WHEN len(h{n}) > 0 THEN '{label}' END" for n, (label, _) in enumerate(PHRASES))
+    own = ", ".join(f"CASE WHEN regexp_matches(line, '{pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES)
+    return rf"""
+WITH a AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (SELECT *, {hits}, ' ' || array_to_string(w, ' ') AS line FROM a),
+c AS (SELECT *, {every} AS h, list_filter([{base}], lambda x: x IS NOT NULL) AS base,
+             list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM b)
+SELECT doc_id, len(w) AS n_words, len(h) AS n_base, list_min(h) - 1 AS first_word, list_max(h) - 1 AS last_word,
+       coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(base || own)), ','), '') AS labels,
+       CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM c
+"""
+
+
+@register("op12_template_markup", license_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf, "documents"), PHRASES, TEMPLATES))
+
+
+@register("op13_internal_pattern_matching")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.word_runs(table(spark, sf, "documents"), plant=True))

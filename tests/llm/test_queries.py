@@ -14,12 +14,14 @@ COLUMNS = {
     "op8": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op10": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op11": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op13": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 def test_one_query_per_operator():
-    assert sorted(int(q.split("_")[0][2:]) for q in LLM) == list(range(1, 12))
+    assert sorted(int(q.split("_")[0][2:]) for q in LLM) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(q for q in LLM if q.split("_")[0] in COLUMNS and not q.startswith("op5_")))
