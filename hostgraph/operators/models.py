@@ -1,20 +1,22 @@
 """Spark ML stages for the detection experiments.
 
-Training is Spark ML (distributed tree learning); everything around it — feature choice,
-imputation fitted on the training slice only, scoring, metrics — stays in DataFrames.
+The saved and explained model is Spark ML's (distributed tree learning); the many fits of the
+experiments are ``boosting``.  Everything around them — feature choice, imputation fitted on the
+training slice only, scoring, metrics — stays in DataFrames.
 """
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.feature import Imputer, ImputerModel, IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from . import boosting as BO
 from .features import FEATURE_COLUMNS
 
 # Columns that identify a flow rather than describe it (never features).
@@ -79,26 +81,6 @@ def gbt_pipeline(cols: list[str], label_col: str = "y", max_iter: int = BINARY_R
     return Pipeline(stages=[imp, va, gbt])
 
 
-def multiclass_pipeline(cols: list[str], label_col: str = "label", max_iter: int = MULTI_ROUNDS,
-                        max_depth: int = MULTI_DEPTH, seed: int = 42, parallelism: int = 4) -> Pipeline:
-    """Classes are what training saw (alphabetical index); unseen test classes are
-    skipped by the indexer and reported apart.  Spark's boosted trees are binary, so one
-    model per class (one-vs-rest), ``parallelism`` of them at a time."""
-    idx = StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc",
-                        handleInvalid="skip")
-    imp = imputer(cols)
-    va = VectorAssembler(inputCols=imp.getOutputCols(), outputCol="features")
-    clf = OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=LEARNING_RATE, seed=seed),
-                    labelCol="label_idx", featuresCol="features", predictionCol="pred_idx",
-                    parallelism=parallelism)
-    return Pipeline(stages=[idx, imp, va, clf])
-
-
-def decode_predictions(model: PipelineModel, scored: DataFrame, out: str = "pred_label") -> DataFrame:
-    labels = model.stages[0].labels
-    return IndexToString(inputCol="pred_idx", outputCol=out, labels=labels).transform(scored)
-
-
 def score(model: PipelineModel, df: DataFrame, pred: str = "pred", proba: str = "attack_probability") -> DataFrame:
     """Class and attack probability per row (``vector_to_array`` stays in the JVM)."""
     for stage in model.stages:                     # the imputer holds the feature list
@@ -136,18 +118,36 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def zero_day_rates(train_base: DataFrame, holdout: DataFrame, cols: list[str], classes: list[str],
+def boosted(train: DataFrame, cols: list[str], label_col: str | None = None, rounds: int | None = None,
+            depth: int | None = None) -> BO.Booster:
+    """A booster with the protocols' rounds and depth: of the binary target ``y``, or with ``label_col``
+    of all its classes at once."""
+    if label_col:
+        return BO.fit(as_float(train, cols), cols, label_col, rounds or MULTI_ROUNDS, depth or MULTI_DEPTH, LEARNING_RATE)
+    return BO.fit(as_float(train, cols), cols, "y", rounds or BINARY_ROUNDS, depth or BINARY_DEPTH, LEARNING_RATE, binary=True)
+
+
+def boosted_scores(df: DataFrame, model: BO.Booster, keep: tuple[str, ...] = ("row_id", "label", "y")) -> DataFrame:
+    """``pred`` and ``attack_probability`` of a binary booster beside the kept columns."""
+    return (BO.predict(as_float(df, model.columns), model, keep)
+            .withColumn("attack_probability", F.get("probabilities", F.lit(1)))
+            .withColumnRenamed("pred_index", "pred").drop("probabilities"))
+
+
+def zero_day_rates(train_base: DataFrame, holdout: DataFrame, cols: list[str], classes: list[str | None],
                    label_col: str = "label", max_iter: int = ZERO_DAY_ROUNDS, at_once: int = 4) -> list[dict]:
     """Leave-one-class-out: for each attack class train without it, then its catch rate and
     the false-positive rate on a fixed benign holdout.  One distributed fit per class,
-    ``at_once`` of them side by side; the data stays in the cluster."""
+    ``at_once`` of them side by side; the data stays in the cluster.  A NULL label is a class
+    like any other (None among ``classes``)."""
     base = train_base.persist()
 
-    def fold(cls: str) -> dict:
-        model = gbt_pipeline(cols, max_iter=max_iter).fit(base.where(F.col(label_col) != cls))
-        r = (score(model, base.where(F.col(label_col) == cls))
+    def fold(cls: str | None) -> dict:
+        left_out = F.col(label_col).eqNullSafe(F.lit(cls))
+        model = boosted(base.where(~left_out), cols, rounds=max_iter)
+        r = (boosted_scores(base.where(left_out), model, (label_col,))
              .agg(F.count(F.lit(1)).alias("n"), F.avg("pred").alias("rate")).first())
-        fpr = score(model, holdout).agg(F.avg("pred").alias("fpr")).first()["fpr"]
+        fpr = boosted_scores(holdout, model, (label_col,)).agg(F.avg("pred").alias("fpr")).first()["fpr"]
         return {"class": cls, "support": int(r["n"]), "zero_day_catch_rate": float(r["rate"] or 0.0),
                 "benign_fpr": float(fpr or 0.0)}
 

@@ -117,16 +117,18 @@ def stratified_sample(df: DataFrame, label_col: str | None = "label", max_per_la
 def loco_fold_sizes(df: DataFrame, label_col: str = "label", benign: str = "BENIGN",
                     benign_train_col: str = "is_benign_train") -> DataFrame:
     """Leave-one-class-out folds: for class c, train = benign-train rows + every other
-    attack class, test = c.  Sizes come from one aggregate per label, not a loop."""
+    attack class, test = c.  Sizes come from one aggregate per label, not a loop.  Rows
+    without a label are attacks and form a class of their own (NULL)."""
     per = df.groupBy(label_col).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(benign_train_col)).alias("n_btrain"))
+    attack = ~F.col(label_col).eqNullSafe(F.lit(benign))
     w = Window.partitionBy()
     tot = per.select(
         label_col, "n",
         F.sum(F.when(F.col(label_col) == benign, F.col("n_btrain"))).over(w).alias("_bt"),
-        F.sum(F.when(F.col(label_col) != benign, F.col("n"))).over(w).alias("_att"))
-    return (tot.where(F.col(label_col) != benign)
+        F.sum(F.when(attack, F.col("n"))).over(w).alias("_att"))
+    return (tot.where(attack)
             .select(F.col(label_col).alias("held_out_class"),
                     (F.col("_bt") + F.col("_att") - F.col("n")).alias("n_train"),
                     F.col("n").alias("n_test")))

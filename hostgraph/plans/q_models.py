@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_internal_ip
+from ..operators import boosting as BO
 from ..operators import iforest as IF
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -41,25 +42,57 @@ def q_score_flows(spark, sf):
     return rounded(s.select("row_id", "y", "pred", "attack_probability"))
 
 
-def _multi_report(train, test, cols, split):
-    model = ML.multiclass_pipeline(cols).fit(ML.as_float(train, cols))
-    pred = ML.decode_predictions(model, model.transform(ML.as_float(test, cols)))
-    return M.classification_report(pred, "label", "pred_label").withColumn("split", F.lit(split))
+def _multi_predictions(train, test, cols, split):
+    """Test rows whose class training has seen, with the class they are taken for."""
+    model = ML.boosted(train, cols, "label")
+    seen = test.where(F.coalesce(*[F.when(F.col("label").eqNullSafe(F.lit(c)), True) for c in model.classes], F.lit(False)))
+    return (BO.decode(BO.predict(ML.as_float(seen, cols), model), model)
+            .select("row_id", "label", "pred_label", F.lit(split).alias("split")))
+
+
+def multi_predictions(spark, sf):
+    """Softmax boosting on the day split and on a stratified random split of all flows (a stage)."""
+    def build():
+        day, rows = ST.day_labelled(spark, sf), ST.labelled(spark, sf)
+        cols = ML.feature_columns(rows, True)
+        rand = SP.stratified_split(rows, ["label"], "row_id", 0.2, 42)
+        runs = [(day.where("side = 'train'"), day.where("side = 'test'"), cols, "day"),
+                (rand.where("NOT is_test"), rand.where("is_test"), cols, "random")]
+        with ThreadPoolExecutor(len(runs)) as pool:          # independent fits side by side
+            a, b = pool.map(lambda r: _multi_predictions(*r), runs)
+        return a.unionByName(b)
+    return ST.cached(spark, sf, "multi-class", build)
 
 
 @register("multi_class", "M2,M3,M10")
 def q_multi_class(spark, sf):
-    """Boosted trees, one per class, on the day split and on a stratified random split of all
-    flows; per-class report (rows of classes never seen in training are skipped by the
-    indexer, see ``unseen_classes``)."""
-    day, rows = ST.day_labelled(spark, sf), ST.labelled(spark, sf)
-    cols = ML.feature_columns(rows, True)
-    rand = SP.stratified_split(rows, ["label"], "row_id", 0.2, 42)
-    runs = [(day.where("side = 'train'"), day.where("side = 'test'"), cols, "day"),
-            (rand.where("NOT is_test"), rand.where("is_test"), cols, "random")]
-    with ThreadPoolExecutor(len(runs)) as pool:          # independent fits side by side
-        a, b = pool.map(lambda r: _multi_report(*r), runs)
-    return rounded(a.unionByName(b))
+    """Softmax boosted trees of all classes on the day split and on a stratified random split of all
+    flows; per-class report (rows of classes never seen in training are left out of it, see
+    ``unseen_classes``)."""
+    p = multi_predictions(spark, sf)
+    day, rand = (M.classification_report(p.where(F.col("split") == s), "label", "pred_label").withColumn("split", F.lit(s))
+                 for s in ("day", "random"))
+    return rounded(day.unionByName(rand))
+
+
+@register("multi_class_margins", "M2,M10", S.with_(S.FLOWS) + """
+, n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || row_id), row_id) AS r,
+               count(*) OVER (PARTITION BY label) AS k FROM flows),
+d AS (SELECT label, CASE WHEN day IN ('Monday', 'Tuesday', 'Wednesday') THEN 'train' ELSE 'test' END AS side
+      FROM flows WHERE day NOT IN ('Saturday', 'Sunday'))
+SELECT 'day' AS split, label, count(*) AS n, CAST(0 AS BIGINT) AS n_unknown_class FROM d
+WHERE side = 'test' AND label IN (SELECT label FROM d WHERE side = 'train') GROUP BY label
+UNION ALL
+SELECT 'random', label, count(*), 0 FROM n WHERE r <= round_even(k * 0.2, 0) GROUP BY label""")
+def q_multi_class_margins(spark, sf):
+    """The rows' margins of both confusion tables: every test row of a class that training has seen is
+    taken for one such class."""
+    day = ST.day_labelled(spark, sf)
+    seen = (day.where("side = 'train'").select(F.lit("day").alias("split"), "label").unionByName(
+        ST.labelled(spark, sf).select(F.lit("random").alias("split"), "label"))
+        .distinct().withColumnRenamed("label", "pred_label").withColumn("known", F.lit(True)))
+    return (multi_predictions(spark, sf).join(seen, ["split", "pred_label"], "left").groupBy("split", "label")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("known").isNull()).alias("n_unknown_class")))
 
 
 @register("model_supports", "M1,M2,M5,S1,S3", S.with_(S.FLOWS) + """
@@ -170,11 +203,10 @@ def _zero_day(spark, sf):
     data = ST.labelled(spark, sf)
     cols = ML.feature_columns(data, True)
     flagged = SP.holdout_class(data, "label", "BENIGN", "row_id", 0.1, 42)
-    base = ML.as_float(flagged.where(~F.col("is_holdout")), cols)
-    hold = ML.as_float(flagged.where(F.col("is_holdout")), cols)
+    base, hold = flagged.where(~F.col("is_holdout")), flagged.where(F.col("is_holdout"))
     # the protocol trains one model per class: its loop is over the class names
-    classes = sorted(r[0] for r in data.where((F.col("y") == 1) & F.col("label").isNotNull())
-                     .select("label").distinct().collect())
+    classes = sorted((r[0] for r in data.where(F.col("y") == 1).select("label").distinct().collect()),
+                     key=lambda c: (c is None, c))
     rows = ML.zero_day_rates(base, hold, cols, classes)
     return rounded(spark.createDataFrame(rows, "class string, support long, zero_day_catch_rate double, "
                                                "benign_fpr double"))
@@ -192,7 +224,7 @@ def _isolation_forest(spark, sf):
     data = ST.labelled(spark, sf)
     cols = ML.feature_columns(data, True)
     h = SP.holdout_class(data, "label", "BENIGN", "row_id", 0.2, 42)
-    benign_train = h.where((F.col("label") == "BENIGN") & ~F.col("is_holdout"))
+    benign_train = h.where(F.col("label").eqNullSafe("BENIGN") & ~F.col("is_holdout"))
     imp = ML.imputer(cols).fit(ML.as_float(benign_train, cols))
     out_cols = imp.getOutputCols()
 
@@ -200,7 +232,7 @@ def _isolation_forest(spark, sf):
         return imp.transform(ML.as_float(df, cols)).select("row_id", "label", "is_holdout", *out_cols)
 
     forest = IF.fit(prep(benign_train), out_cols)
-    scored = IF.score(prep(h.where((F.col("label") != "BENIGN") | F.col("is_holdout"))), forest, out_cols)
+    scored = IF.score(prep(h.where(~F.col("label").eqNullSafe("BENIGN") | F.col("is_holdout"))), forest, out_cols)
     return rounded(M.recall_per_class(scored.withColumn("pred", F.col("is_outlier").cast("int"))))
 
 
@@ -282,8 +314,8 @@ def q_detection_regimes(spark, sf):
     data = ST.labelled(spark, sf)
     cols = ML.feature_columns(data, True)
     rand = SP.stratified_split(data, ["label"], "row_id", 0.2, 42)
-    model = ML.gbt_pipeline(cols).fit(ML.as_float(rand.where("NOT is_test"), cols))
-    known = M.recall_per_class(ML.score(model, ML.as_float(rand.where("is_test"), cols)))
+    model = ML.boosted(rand.where("NOT is_test"), cols)
+    known = M.recall_per_class(ML.boosted_scores(rand.where("is_test"), model))
     zero, forest = q_zero_day(spark, sf), q_isolation_forest(spark, sf)
     support = data.where("y = 1").groupBy("label").agg(F.count(F.lit(1)).alias("support"))
     return rounded(support.join(known.select("label", F.col("recall").alias("known_catch_rate")), "label", "left")
@@ -337,8 +369,7 @@ def q_attribution_check(spark, sf):
 
 
 def _f1_run(train, test, cols):
-    model = ML.gbt_pipeline(cols).fit(ML.as_float(train, cols))
-    return M.f1_binary(ML.score(model, ML.as_float(test, cols))).first()["f1"]
+    return M.f1_binary(ML.boosted_scores(test, ML.boosted(train, cols))).first()["f1"]
 
 
 @register("f1_by_feature_set", "M1,M9,M13,S3,S4,G1")

@@ -87,13 +87,13 @@ def q_stratified_sample(spark, sf):
          FROM flows),
   per AS (SELECT label, count(*) AS n, count_if(is_benign_train) AS n_btrain FROM hb GROUP BY 1),
   tot AS (SELECT sum(CASE WHEN label = 'BENIGN' THEN n_btrain END) AS bt,
-                 sum(CASE WHEN label <> 'BENIGN' THEN n END) AS att FROM per)
+                 sum(CASE WHEN label IS DISTINCT FROM 'BENIGN' THEN n END) AS att FROM per)
 SELECT label AS held_out_class, CAST(bt + att - n AS BIGINT) AS n_train, n AS n_test
-FROM per, tot WHERE label <> 'BENIGN'""")
+FROM per, tot WHERE label IS DISTINCT FROM 'BENIGN'""")
 def q_loco_folds(spark, sf):
     f = events_flows(spark, sf)
     h = SP.holdout_class(f, "label", "BENIGN", "row_id", 0.1, 42)
-    h = h.withColumn("is_benign_train", (F.col("label") == "BENIGN") & ~F.col("is_holdout"))
+    h = h.withColumn("is_benign_train", F.col("label").eqNullSafe("BENIGN") & ~F.col("is_holdout"))
     return SP.loco_fold_sizes(h, "label", "BENIGN", "is_benign_train")
 
 

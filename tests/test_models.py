@@ -44,22 +44,20 @@ def test_protocol_rounds():
     """The registered runs use the rounds and depths of the protocols."""
     import inspect
     gbt = inspect.signature(ML.gbt_pipeline).parameters
-    multi = inspect.signature(ML.multiclass_pipeline).parameters
     assert (gbt["max_iter"].default, gbt["max_depth"].default, gbt["step_size"].default) == (200, 6, 0.1)
-    assert (multi["max_iter"].default, multi["max_depth"].default) == (300, 8)
+    assert (ML.MULTI_ROUNDS, ML.MULTI_DEPTH, ML.LEARNING_RATE) == (300, 8, 0.1)
     assert inspect.signature(ML.zero_day_rates).parameters["max_iter"].default == 150
     assert inspect.signature(IF.fit).parameters["n_trees"].default == 200
 
 
-def test_multiclass_by_one_booster_per_class(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, float(x), "low" if x < 3 else "mid" if x < 7 else "top") for i, x in enumerate(rng.uniform(0, 10, 240))]
-    df = spark.createDataFrame(rows, "row_id long, bytes double, label string")
-    model = ML.multiclass_pipeline(["bytes"], max_iter=3, max_depth=3).fit(df)
-    test = df.unionByName(spark.createDataFrame([(900, 1.0, "never")], df.schema))
-    out = ML.decode_predictions(model, model.transform(test))
-    assert out.where("label = 'never'").count() == 0     # skipped by the indexer
-    assert out.where("label = pred_label").count() > 228
+def test_zero_day_counts_rows_without_a_label(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), "BENIGN" if x < 5 else "a" if x < 8 else None, int(x >= 5)) for i, x in enumerate(rng.uniform(0, 10, 300))]
+    df = spark.createDataFrame(rows, "row_id long, bytes double, label string, y int")
+    got = ML.zero_day_rates(df, df.where("label = 'BENIGN'").limit(20), ["bytes"], ["a", None], max_iter=4)
+    assert [r["class"] for r in got] == ["a", None]
+    assert [r["support"] for r in got] == [sum(r[2] == "a" for r in rows), sum(r[2] is None for r in rows)]
+    assert got[1]["zero_day_catch_rate"] == 1.0 and got[0]["benign_fpr"] == 0.0
 
 
 def test_c_factor_known_values():
