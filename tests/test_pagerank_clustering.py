@@ -38,10 +38,11 @@ def _numpy_pagerank(edges, alpha=0.85, tol=1e-6, max_iter=100):
     return dict(zip(nodes, x))
 
 
-def test_pagerank_matches_power_iteration_and_sums_to_one(spark):
+@pytest.mark.parametrize("task_edges,steps", [(100, 10), (0, 4), (15, 4)])
+def test_pagerank_matches_power_iteration_and_sums_to_one(spark, task_edges, steps):
     g0, g1 = _random_edges(1), _random_edges(2, 6, 10)
     rows = [(B0, s, d, w, 0.0) for s, d, w in g0] + [(B1, s, d, w, 0.0) for s, d, w in g1]
-    pr = pagerank(spark.createDataFrame(rows, SCHEMA)).collect()
+    pr = pagerank(spark.createDataFrame(rows, SCHEMA), task_edges=task_edges, steps=steps).collect()
     for b, g in ((B0, g0), (B1, g1)):
         want = _numpy_pagerank(g)
         got = {r.host: r.pagerank for r in pr if r.bucket == b}
@@ -56,11 +57,13 @@ def test_pagerank_with_split_sources_and_no_convergence(spark, monkeypatch):
     monkeypatch.setattr(PR, "PART_EDGES", 2)
     g = _random_edges(7, 9, 30) + [("hub", f"n{i}", 1) for i in range(9)]
     df = spark.createDataFrame([(B0, s, d, w, 0.0) for s, d, w in g], SCHEMA)
-    got = {r.host: r.pagerank for r in pagerank(df).collect()}
+    got = {r.host: r.pagerank for r in pagerank(df, task_edges=0).collect()}
     want = _numpy_pagerank(g)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
-    with pytest.raises(RuntimeError, match="2024-01-01"):
-        pagerank(df, max_iter=2)
+    for task_edges in (0, 1000):
+        with pytest.raises(RuntimeError, match="2024-01-01"):
+            pagerank(df, max_iter=2, task_edges=task_edges)
+    assert pagerank(df.limit(0)).collect() == []
 
 
 def _numpy_clustering(edges):

@@ -42,5 +42,6 @@ def test_pagerank_has_no_window(spark):
     """Neither a bucket's nodes nor a source's edges meet in one window."""
     from hostgraph.operators import pagerank as PR
     e = spark.createDataFrame([("b", "s", "d", 1)], "bucket string, src string, dst string, flow_count long")
-    for df in (PR.normalised_edges(e), PR.initial_state(e)):
+    nodes = PR.node_table(e, "flow_count")
+    for df in (nodes, PR._arcs(e, nodes, "flow_count", ["bucket", "src"])):
         assert "Window" not in _plan(df)
