@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import shared_encoder
 
 END_ID = 0            # appended to every document
 SEQUENCE_BITS = 33    # sequence ids: task number, then a counter of so many bits
@@ -104,9 +104,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, bundle: in
     a null id stays null; an empty table gives no rows.  Only the two named columns are read,
     so other columns may have any name.  Pieces of equal length keep the order of the input."""
     kind = docs.schema[id_col].dataType
+    encoder = shared_encoder(docs.sparkSession, tokenizer)
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder().encode
         packer = Packer(size)
         base = TaskContext.get().partitionId() << SEQUENCE_BITS
         end = np.array([END_ID], "<u4").tobytes()

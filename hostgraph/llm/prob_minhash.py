@@ -6,13 +6,14 @@ on a register with the probability Jaccard similarity of their shingles.  The ar
 shingles of a batch are drawn together, and a shingle stops once its next arrival is later than
 every register of its document.
 
-Banding: documents that agree on all rows of a band meet.  Copies of a text are one node from the
-start, so a large group of copies costs one row each.  In a band's bucket every node is verified
-against the smallest one.  Pairs within one component of the links found need no further look.
-Where a bucket is left with several components, the registers of its nodes are compared, chunk by
-chunk, and the pairs across components whose estimate is not far below the threshold are verified.
-(A passage that very many documents share fills buckets with texts that are not alike; their pairs
-are looked at inside a task and never become rows.)
+Banding: documents that agree on all rows of a band meet.  A node is a text, named by the number of one row
+that holds it; copies of a text are one node from the start, so a large group of copies costs one row each.
+In a band's bucket every node is verified against the smallest one.  Pairs within one component of the links
+found need no further look.  Where a bucket is left with several components, its nodes are dealt out in chunks
+(of bounded number and bytes), and the pairs across components whose registers agree in not far less than the
+threshold are verified by their shingles, which travel with the chunks.  A unit of work verifies no pair whose
+ends it knows to be connected, and hands on a spanning forest of its links: a passage that very many documents
+share fills buckets with texts that are not alike, and their pairs never become rows.
 """
 from __future__ import annotations
 
@@ -67,8 +68,9 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, words: int) -> DataFrame:
-    """``doc_id, text_key, bands, registers``: a 128-bit key of the text, its band keys (null for a
-    null text or one without words) and 16 bits of each register."""
+    """``row, doc_id, text_key, shingles, bands, registers``: the row's number, a 128-bit key of the text, how
+    many distinct shingles it has, its band keys (null for a null text or one without words) and 16 bits of
+    each register."""
 
     def run(batches):
         for batch in batches:
@@ -85,11 +87,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
                         keys[k], short[k] = row, reg.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()),
-                     pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
-                    names=["doc_id", "text_key", "bands", "registers"])
+                     pa.array([len(h) for h, _ in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                    names=["doc_id", "text_key", "shingles", "bands", "registers"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, text_key binary, bands array<long>, registers binary"))
+            .mapInArrow(run, "doc_id long, text_key binary, shingles long, bands array<long>, registers binary")
+            .withColumn("row", F.monotonically_increasing_id()))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int, fan: int = 256) -> DataFrame:
@@ -126,13 +129,31 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int, f
     return rows.mapInArrow(run, "u long, v long")
 
 
-def likely_pairs(members: DataFrame, payload: DataFrame, least: float, chunk: int = 512) -> DataFrame:
-    """Pairs ``u < v`` across components that share a band (rows ``band, node`` of ``members``) and
-    whose registers agree in a share of ``least`` or more; each pair where it meets first.
-
-    ``payload``: ``node, component, bands, registers``.  A band's bucket is cut into chunks, and each
-    pair of chunks is one unit of work of bounded size."""
-    size = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+def shingled(texts: DataFrame, words: int) -> DataFrame:
+    """``node, keys, weights`` of the rows ``node, text``."""
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [counted(t or "", words) for t in part.column(1).to_pylist()]
+                at = pa.array(np.cumsum([0, *(len(h) for h, _ in sets)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x)))
+                         for x in ([h.view(np.int64) for h, _ in sets], [w for _, w in sets])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["node", "keys", "weights"])
+
+    return texts.mapInArrow(run, "node long, keys array<long>, weights array<double>")
+
+
+def links_across(members: DataFrame, payload: DataFrame, least: float, threshold: float, chunk: int = 512,
+                 chunk_shingles: int = 500_000) -> DataFrame:
+    """A forest ``u, v`` of links between nodes of different components that share a band (rows ``band, node,
+    shingles`` of ``members``): of the pairs whose registers agree in a share of ``least`` or more, those
+    of ``threshold`` or more that connect what is not yet connected.
+
+    ``payload``: ``node, component, bands, registers, keys, weights``.  A band's bucket is cut into chunks, and
+    each pair of chunks is one unit of work of bounded size; a pair is looked at where it meets first."""
+    size = members.groupBy("band").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum("shingles") / chunk_shingles)).cast("int").alias("chunks"))
     work = (members.join(size, "band")
             .withColumn("c", F.pmod(F.xxhash64("node", "band"), F.col("chunks")).cast("int"))
             .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -145,8 +166,11 @@ def likely_pairs(members: DataFrame, payload: DataFrame, least: float, chunk: in
         node, c, component = (got.column(k).to_numpy() for k in ("node", "c", "component"))
         bands = np.stack(got.column("bands").to_numpy(zero_copy_only=False))
         reg = np.stack([np.frombuffer(r, "<u2") for r in got.column("registers").to_pylist()])
-        u: list = []
-        v: list = []
+        at = got.column("keys").offsets.to_numpy()
+        keys_, weights = (got.column(k).values.to_numpy() for k in ("keys", "weights"))
+        sets = [(keys_[lo:hi].view(np.uint64), weights[lo:hi]) for lo, hi in zip(at, at[1:])]
+        group = np.unique(component, return_inverse=True)[1]
+        found: tuple[list, list] = ([], [])
         for k in range(len(node) - 1):
             other = np.arange(k + 1, len(node))
             other = other[(component[other] != component[k]) & ((c[other] != c[k]) | (i == j))]
@@ -155,9 +179,12 @@ def likely_pairs(members: DataFrame, payload: DataFrame, least: float, chunk: in
                 # the first band in which they agree is this one
                 first = (bands[other] == bands[k]).argmax(1)
                 other = other[bands[k][first] == band]
-                u += [node[k]] * len(other)
-                v += node[other].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            for x in other.tolist():
+                if group[x] != group[k] and probability_jaccard(sets[k], sets[x]) >= threshold - 1e-12:
+                    found[0].append(node[k])
+                    found[1].append(node[x])
+                    group[group == group[x]] = group[k]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
 
     def run(batches):
         now, parts = None, []
@@ -181,75 +208,83 @@ def likely_pairs(members: DataFrame, payload: DataFrame, least: float, chunk: in
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, words: int = WORDS, bands: int = BANDS,
                     rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, class_id, copies``: the smallest doc_id that links of
-    ``threshold`` or more lead to, and how many rows hold exactly this text.
+    """One row per input row: ``doc_id, class_id, copies, kept, linkable, text_key``: the smallest doc_id that
+    links of ``threshold`` or more lead to, how many rows hold exactly this text, whether the row stays when
+    one row of each group of alike texts does, whether it can link at all, and the 128-bit key of its text.
 
     Links: equal texts, and texts whose verified similarity reaches the threshold; classes are the
-    components.  Null and word-less texts link with nothing, each is its own class.  Rows that
-    repeat an id are one document: they share a class.  A null id has a null class.  An empty
+    components.  Null and word-less texts link with nothing, each is its own class and stays.  Rows that
+    repeat an id share a class, whatever their texts; but of texts that are not alike one each stays (of a
+    group: the row of the smallest doc_id, then the first).  A null id has a null class and stays.  An empty
     table gives no rows.  Other columns are not read, whatever their names."""
-    spark = docs.sparkSession
     sk, sk_path = write_table(sketches(docs, id_col, text_col, bands, rows, words), "sketches")
+    lead = F.min(F.struct("doc_id", "row"))
     text_nodes, node_path = write_table(
         sk.where("bands IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("text_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    own = text_nodes.select("text_key", F.col("node").alias("doc_id"))
-    keyed = sk.where("bands IS NOT NULL").join(own, ["text_key", "doc_id"], "left_semi").select(
-        F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    lead = keyed.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    met, met_path = write_table(keyed.join(lead.select("band", "lead"), "band"), "buckets")
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-        keys = text_nodes.join(wanted, "node", "left_semi").select("text_key", "node")
-        d = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        return (d.withColumn("text_key", F.unhex(F.md5("text"))).join(keys, ["node", "text_key"], "left_semi")
-                .select("node", "text"))
-
-    def links(pairs: DataFrame) -> tuple[DataFrame, str, str]:
-        p, p_path = write_table(pairs, "pairs")
-        e, e_path = write_table(verified(p, texts(p), threshold, words), "links")
-        return e, e_path, p_path
-
-    first, first_path, star_path = links(
-        met.where("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct())
-    # the texts of rows that share an id are tied by its smallest node
-    ids = sk.join(text_nodes, "text_key").select("doc_id", "node").distinct()
-    shared = (ids.join(ids.groupBy("doc_id").agg(F.min("node").alias("v")), "doc_id")
-              .where("node <> v").select(F.col("node").alias("u"), "v"))
-    part, part_path = components(first.unionAll(shared))
-    named = (met.join(part, "node", "left")
-             .select("band", "node", "lead", F.coalesce("component", "node").alias("component")))
+        .groupBy("text_key").agg(lead.alias("lead"), F.count(F.lit(1)).alias("copies"))
+        .select("text_key", "copies", F.col("lead.row").alias("node"), F.col("lead.doc_id").alias("first")), "nodes")
+    one = sk.withColumnRenamed("row", "node").join(text_nodes.select("node"), "node", "left_semi")
+    keyed = one.select("node", "shingles", F.explode("bands").alias("band"))
+    met_in = keyed.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
+    met, met_path = write_table(keyed.join(met_in.select("band", "lead"), "band"), "buckets")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """``node, text`` of the wanted nodes (again for rows that repeat an id with its text)."""
+        keys = text_nodes.join(wanted, "node", "left_semi").select("text_key", "node", "first")
+        d = docs.select(F.col(id_col).cast("long").alias("first"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        return d.withColumn("text_key", F.unhex(F.md5("text"))).join(keys, ["first", "text_key"]).select("node", "text")
+
+    stars, star_path = write_table(
+        met.where("node > lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    first, first_path = write_table(verified(
+        stars, texts(stars.select(F.col("u").alias("node")).unionAll(stars.select("v")).distinct()), threshold, words), "links")
+    part, part_path = components(first)
+    named = met.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"))
              .where("a < b").select("band"))
-    open_, open_path = write_table(named.join(mixed, "band", "left_semi").select("band", "node"), "open-buckets")
-    payload = (sk.where("bands IS NOT NULL").join(own, ["text_key", "doc_id"], "left_semi")
-               .select(F.col("doc_id").alias("node"), "bands", "registers").dropDuplicates(["node"])
-               .join(open_.select("node").distinct(), "node", "left_semi")
-               .join(part, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    open_, open_path = write_table(named.join(mixed, "band", "left_semi").select("band", "node", "shingles"), "open-buckets")
+    asked = open_.select("node").distinct()
+    payload = (one.select("node", "bands", "registers").join(asked, "node", "left_semi")
+               .join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+               .join(shingled(texts(asked), words).dropDuplicates(["node"]), "node"))
     # an estimate from so many registers falls short by more than four standard deviations in
     # three of 100,000 cases
     least = threshold - 4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    across = likely_pairs(open_, payload, least).join(spark.read.parquet(star_path), ["u", "v"], "left_anti")
-    second, second_path, across_path = links(across)
-    joined, joined_path = components(first.unionAll(shared).unionAll(second))
-    labels = text_nodes.join(joined, "node", "left").select(
-        "text_key", F.coalesce("component", "node").alias("class_id"), "copies")
+    second, second_path = write_table(links_across(open_, payload, least, threshold), "links-across")
+    alike, alike_path = components(first.unionAll(second))
+    # groups of alike texts, each named by its smallest doc_id's row; those that share an id are one class
+    group = text_nodes.join(alike, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    heads = group.groupBy("group").agg(F.min(F.struct("first", "node")).alias("head"))
+    texts_of, texts_path = write_table(group.join(heads, "group").select(
+        "text_key", "copies", "group", F.col("head.first").alias("first"), F.col("head.node").alias("head")), "groups")
+    ids = sk.where("doc_id IS NOT NULL").join(texts_of, "text_key").select("doc_id", "group").distinct()
+    shared = (ids.join(ids.groupBy("doc_id").agg(F.min("group").alias("v")), "doc_id")
+              .where("group <> v").select(F.col("group").alias("u"), "v"))
+    tied, tied_path = components(shared)
+    classes = texts_of.join(tied.withColumnRenamed("node", "group"), "group", "left").withColumn(
+        "class", F.coalesce("component", "group"))
+    names = classes.groupBy("class").agg(F.min("first").alias("class_id"))
+    labels = classes.join(names, "class").select("text_key", "class_id", "copies", "head")
+    linkable = F.col("bands").isNotNull() & F.col("doc_id").isNotNull()
     out, _ = write_table(
-        sk.join(labels.withColumn("linked", F.lit(True)), "text_key", "left")
-        .select("doc_id", F.when(F.col("bands").isNull() | F.col("doc_id").isNull(), F.col("doc_id"))
-                .otherwise(F.col("class_id")).alias("class_id"),
-                F.when(F.col("bands").isNull(), F.lit(1)).otherwise(F.col("copies")).alias("copies")), "classes")
-    for p in (sk_path, node_path, met_path, first_path, star_path, part_path, open_path, second_path, across_path,
-              joined_path):
-        drop_table(spark, p)
+        sk.join(labels, "text_key", "left")
+        .select("doc_id", F.when(linkable, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+                F.when(F.col("bands").isNull(), F.lit(1)).otherwise(F.coalesce("copies", F.lit(1))).alias("copies"),
+                (~linkable | (F.col("row") == F.col("head"))).alias("kept"), linkable.alias("linkable"), "text_key"),
+        "classes")
+    for p in (sk_path, node_path, met_path, star_path, first_path, part_path, open_path, second_path, alike_path,
+              texts_path, tied_path):
+        drop_table(docs.sparkSession, p)
     return out
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that carry their class's id, one row each, and those with a null id."""
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("id")).distinct()
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of alike texts (the one marked ``kept``; if rows repeat its id and text, one of
+    them), and every row that links with nothing; all columns as they were."""
+    stays = classes.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "linkable").distinct()
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    d = d.withColumn("id", F.col("row")[id_col].cast("long"))
-    named = d.join(kept, "id", "left_semi").dropDuplicates(["id"])
-    return named.unionByName(d.where("id IS NULL")).select("row.*")
+    d = (d.withColumn("id", F.col("row")[id_col].cast("long"))
+         .withColumn("key", F.unhex(F.md5(F.coalesce(F.col("row")[text_col], F.lit(""))))))
+    named = d.join(stays, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "inner")
+    return (named.where("linkable").dropDuplicates(["id", "key"]).unionByName(named.where("NOT linkable"))
+            .select("row.*"))

@@ -155,7 +155,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op9_prob_minhash")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    return prob_minhash.near_duplicates(table(spark, sf, "documents"))
+    return prob_minhash.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "copies", "kept")
 
 
 @register("op10_one_permutation")

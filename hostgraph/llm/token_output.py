@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import END_ID, SEQUENCE_BITS, Packer, cut
-from .tokens import encoder
+from .tokens import shared_encoder
 
 MATRIX = ("matrix_id long, n_rows int, width int, item_bytes int, ids binary, "
           "cu_seqlens array<array<int>>, position_resets array<array<int>>, "
@@ -33,9 +33,10 @@ def packed_matrices(docs: DataFrame, tokenizer: str, size: int = 1024, matrix_ro
     which ids of which document a segment holds.  A null or empty text is the single END_ID;
     repeated rows are packed as often as they occur; an empty table gives no matrix."""
     kind = docs.schema[id_col].dataType
+    encoder = shared_encoder(docs.sparkSession, tokenizer)
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder()
         item = "<u2" if enc.vocabulary <= 1 << 16 else "<u4"
         base = TaskContext.get().partitionId() << SEQUENCE_BITS
         end = np.array([END_ID], "<u4").tobytes()

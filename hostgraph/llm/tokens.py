@@ -7,11 +7,14 @@ their own and each distinct part once per worker (a table of bounded size).
 """
 from __future__ import annotations
 
+import hashlib
 import os
 import re
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 # str.isspace() covers more characters than the pattern's \s: that merges neighbouring parts
 # and never cuts inside a token.
@@ -30,16 +33,17 @@ def split_parts(text: str) -> tuple[str, list[str]]:
 
 class Encoder:
     """ids of texts by a ``tokenizers`` file, as ``encode(text, add_special_tokens=False)``
-    gives them; the strings of special tokens count as ordinary text."""
+    gives them (the string of an added token is that token; such a text is encoded whole)."""
 
     MEMO = 600_000   # parts in the newer of two tables (or those of one call, if more); when it is
     #                  full it replaces the older one, and parts that come again move back
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_buffer(file)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_added = re.compile("|".join(added)).search if added else lambda text: None
         self.vocabulary = self.tokenizer.get_vocab_size(True)
         # bytes of each id: a byte-level vocabulary writes a byte as one character
         self.bytes = np.zeros(self.vocabulary, np.int64)
@@ -79,7 +83,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [split_parts(t) for t in texts]
+        split = [(t, []) if self.has_added(t) else split_parts(t) for t in texts]
         heads = self._plain([h for h, _ in split])
         distinct = dict.fromkeys(chain.from_iterable(rest for _, rest in split))
         if missing := [p for p in distinct if p not in self.memo]:
@@ -93,8 +97,15 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def shared_encoder(spark: SparkSession, path: str) -> Callable[[], Encoder]:
+    """What gives a task its worker's encoder.  The driver reads the tokenizer file (a vocabulary: a fixed
+    size) and sends it along, so that no task needs its path."""
+    with open(path, "rb") as f:
+        file = f.read()
+    sent, key = spark.sparkContext.broadcast(file), hashlib.sha256(file).hexdigest()
+
+    def get() -> Encoder:
+        if key not in _ENCODERS:
+            _ENCODERS[key] = Encoder(sent.value)
+        return _ENCODERS[key]
+    return get

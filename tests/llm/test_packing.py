@@ -11,20 +11,20 @@ from hostgraph.llm import packing, token_output
 from hostgraph.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+FILE = open(PATH, "rb").read()
 ODD = ["", " ", "  two  spaces \n\n end ", "a\n b", "tab\t x", "don't 12 345!!", "x" * 5000, "é ü 漢字   nb",
-       "\x1c sep \x1c", " lead", "trail ", "<|endoftext|> text", "word " * 3000, "\r\n \r\n", "a   b"]
+       "\x1c sep \x1c", " lead", "trail ", "<|endoftext|> text", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|", "word " * 3000, "\r\n \r\n", "a   b"]
 
 
 @pytest.fixture(scope="module")
 def plain():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_library(plain):
-    got = Encoder(PATH).encode(ODD)
+    got = Encoder(FILE).encode(ODD)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(x) for x in ODD]
 
 
@@ -37,14 +37,14 @@ def test_encoder_on_any_white_space(text):
 
 def _shared(keep=[]):
     if not keep:
-        keep.append(Encoder(PATH))
+        keep.append(Encoder(FILE))
     return keep[0]
 
 
 def test_encoder_with_a_full_table(plain, monkeypatch):
     monkeypatch.setattr(Encoder, "MEMO", 3)
     texts = ["one two three four five", "six two one seven", "one two"]
-    assert [np.frombuffer(g, "<u4").tolist() for g in Encoder(PATH).encode(texts)] == [plain(x) for x in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in Encoder(FILE).encode(texts)] == [plain(x) for x in texts]
 
 
 @settings(max_examples=100, deadline=None)
