@@ -52,7 +52,11 @@ def host_bucket_stats(edges: DataFrame) -> DataFrame:
     and a single partial-then-final aggregation yields the node set and all counts.
     A self-loop counts once on each side, as in a directed simple graph.
     """
-    e = mark_first_contact(edges)
+    return endpoint_stats(mark_first_contact(edges))
+
+
+def endpoint_stats(e: DataFrame) -> DataFrame:
+    """The same from edges whose first contacts are marked (``is_new``)."""
     ends = F.explode(F.array(
         F.struct(F.col("src").alias("host"), F.lit(1).alias("o"), F.lit(0).alias("i"),
                  F.col("flow_count").alias("fv"), F.col("total_bytes").alias("bv"),

@@ -115,6 +115,27 @@ def q_zscores(spark, sf):
     return rounded(hf.select("bucket", "host", *_ZCOLS))
 
 
+@register("online_features", "C9,C10,C13-C15 (carried forward)",
+          _HF + "SELECT bucket, host, fan_out, fan_in, flow_volume, round(byte_volume, 6) AS byte_volume, "
+          "round(novelty_score, 6) AS novelty_score, round(degree_ratio_change, 6) AS degree_ratio_change, "
+          + ", ".join(S.r6(c) for c in _ZCOLS) + " FROM hf")
+def q_online_features(spark, sf):
+    """The day buckets fed in batches of a week to the state that is carried forward; no batch reads the
+    edges of another."""
+    from ..operators.online import OnlineFeatures
+    from ..session import scratch_path
+    from ..sources import sinks
+    path = scratch_path(spark, "online-edges")
+    edges = flows_edges(spark, sf).withColumn("week", F.date_trunc("week", "bucket").cast("date"))
+    sinks.write_parquet(edges, path, ("week",))
+    stored = sinks.read_parquet(spark, path)
+    online = OnlineFeatures(spark, scratch_path(spark, "online-state"))
+    # one step per week of the calendar, in its order
+    for week, in stored.select("week").distinct().orderBy("week").collect():
+        online.advance(stored.where(F.col("week") == F.lit(week)).drop("week"))
+    return rounded(online.features())
+
+
 def _top_sql(by: str, extra: str) -> str:
     shown = S.r6(by) if by.endswith("zscore") else by
     return (_HF + f"SELECT bucket, host, {extra}{shown} FROM hf WHERE {by} IS NOT NULL "
