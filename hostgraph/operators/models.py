@@ -110,6 +110,21 @@ def gain_importance(spark, model: PipelineModel, cols: list[str], top: int = 20)
         "rank int, feature string, gain double, is_graph_feature boolean")
 
 
+def mean_gain(spark, model: PipelineModel, path: str, cols: list[str], top: int = 20) -> DataFrame:
+    """Gain per split, averaged over the splits on a feature, from the node table of the saved trees: ``feature,
+    n_splits, mean_gain, is_graph_feature``, largest first.  Features never split on are left out."""
+    from .attribution import stage_path
+    nodes = spark.read.parquet(stage_path(path, model, -1) + "/data").where("nodeData.leftChild >= 0")
+    names = F.array(*[F.lit(c) for c in cols])
+    graph = F.array(*[F.lit(is_graph_feature(c)) for c in cols])
+    at = F.col("feature_index") + 1
+    return (nodes.groupBy(F.col("nodeData.split.featureIndex").alias("feature_index"))
+            .agg(F.count(F.lit(1)).alias("n_splits"), F.avg("nodeData.gain").alias("mean_gain"))
+            .select(F.element_at(names, at).alias("feature"), "n_splits", "mean_gain",
+                    F.element_at(graph, at).alias("is_graph_feature"))
+            .orderBy(F.col("mean_gain").desc(), "feature").limit(top))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -127,35 +127,47 @@ def q_label_index(spark, sf):
     return ML.label_index(train)
 
 
-_MEDIAN_COLS = ("bytes", "dst_port", "src_fan_out", "src_fan_in", "src_flow_volume", "src_byte_volume", "src_novelty_score",
-                "src_degree_ratio_change", "src_flow_volume_zscore", "dst_fan_out", "dst_fan_in", "dst_flow_volume",
-                "dst_byte_volume", "dst_novelty_score", "dst_degree_ratio_change", "dst_flow_volume_zscore")
+# The columns the models learn from, in their order.
+_GRAPH = ("fan_out", "fan_in", "pagerank", "degree_ratio_change", "novelty_score", "flow_volume", "byte_volume",
+          "fan_out_zscore", "fan_in_zscore", "novelty_zscore", "flow_volume_zscore", "byte_volume_zscore")
+_MODEL_COLS = ("bytes", "dst_port", *(f"{end}_{f}" for end in ("src", "dst") for f in _GRAPH))
 
 
-def _median_source(c: str) -> str:
-    return f"fl.{c}" if c[3:4] != "_" or c == "dst_port" else f"{c[0]}.{c[4:]}"
+def _model_source(c: str) -> str:
+    if c in ("bytes", "dst_port"):
+        return f"fl.{c}"
+    return f"{c[0]}{'p' if c[4:] == 'pagerank' else ''}.{c[4:]}"
 
 
-@register("impute_median", "M6", S.with_(S.FLOWS, S.edges("1 day"), S.HOST_BUCKET, S.BASELINES) + f"""
+_MODEL_CTES = S.with_(S.FLOWS, S.edges("1 day"), S.HOST_BUCKET, S.BASELINES, S.pagerank_ctes())
+_MODEL_ROWS = (f"SELECT fl.row_id, {', '.join(f'{_model_source(c)} AS {c}' for c in _MODEL_COLS)} FROM {{source}} fl " + " ".join(
+    f"LEFT JOIN {t} {a} ON {a}.bucket = date_trunc('day', fl.ts) AND {a}.host = fl.{e}"
+    for t, a, e in (("hf", "s", "src"), ("hf", "d", "dst"), ("pr", "sp", "src"), ("pr", "dp", "dst"))))
+
+_MEDIAN_SQL = _MODEL_CTES + f"""
 , ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS r, count(*) OVER () AS k
              FROM flows WHERE label = 'BENIGN'),
-t AS (SELECT {", ".join(f"{_median_source(c)} AS {c}" for c in _MEDIAN_COLS)}
-      FROM ranked fl LEFT JOIN hf s ON s.bucket = date_trunc('day', fl.ts) AND s.host = fl.src
-                     LEFT JOIN hf d ON d.bucket = date_trunc('day', fl.ts) AND d.host = fl.dst
-      WHERE fl.r > round_even(fl.k * 0.2, 0))
+t AS MATERIALIZED ({_MODEL_ROWS.format(source="ranked")} WHERE fl.r > round_even(fl.k * 0.2, 0))
 """ + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS median, "
-                         f"count(*) - count({c}) AS n_missing FROM t" for c in _MEDIAN_COLS))
-def q_impute_median(spark, sf):
-    """The medians that the SQL restates: a part of ``impute_median_all``."""
-    return _medians(spark, sf, _MEDIAN_COLS)
+                         f"count(*) - count({c}) AS n_missing FROM t" for c in _MODEL_COLS)
 
 
-@register("impute_median_all", "M6")
-def q_impute_median_all(spark, sf):
-    """Exact medians and missing values of every column the models impute (tested against DuckDB)."""
+@register("impute_median", "M6", _MEDIAN_SQL)
+@register("impute_median_all", "M6", _MEDIAN_SQL)
+def q_impute_median(spark, sf):
+    """Exact medians and missing values of every column the models impute."""
     return _medians(spark, sf, ML.feature_columns(ST.labelled(spark, sf), True))
 
 
+@register("model_matrix", "P8,P9", _MODEL_CTES + ", m AS (" + _MODEL_ROWS.format(source="flows") + ") SELECT row_id, " + ", ".join(
+    f"round(CAST(CAST({c} AS FLOAT) AS DOUBLE), 6) AS {c}" for c in _MODEL_COLS) + " FROM m")
+def q_model_matrix(spark, sf):
+    """The columns the models choose, as floats, of every flow."""
+    data = ST.labelled(spark, sf)
+    cols = ML.feature_columns(data, True)
+    return rounded(ML.as_float(data, cols).select("row_id", *[F.col(c).cast("double").alias(c) for c in cols]))
+
+
 def _medians(spark, sf, cols):
     """Exact medians (a distributed rank, no group in one task) and missing values of the 80 %
     of benign rows, on all days, that the isolation forest learns from."""
@@ -177,6 +189,22 @@ def q_feature_gain(spark, sf):
     return rounded(ML.gain_importance(spark, ST.day_split_model(spark, sf), cols, 20))
 
 
+@register("feature_mean_gain", "M14")
+def q_feature_mean_gain(spark, sf):
+    """Mean gain per split of each feature over the saved trees' nodes, and whether it is a graph feature;
+    the 20 largest."""
+    cols = ML.feature_columns(ST.day_labelled(spark, sf), True)
+    return rounded(ML.mean_gain(spark, ST.day_split_model(spark, sf), ST.model_path(spark, sf), cols, 20))
+
+
+@register("score_rule", "M8", S.with_(S.FLOWS) + "SELECT row_id, TRUE AS class_is_likelier FROM flows")
+def q_score_rule(spark, sf):
+    """On every flow the class is 1 exactly where its probability is more than one half."""
+    data = ST.labelled(spark, sf)
+    s = ML.score(ST.day_split_model(spark, sf), ML.as_float(data, ML.feature_columns(data, True)))
+    return s.select("row_id", ((F.col("pred") == 1) == (F.col("attack_probability") > 0.5)).alias("class_is_likelier"))
+
+
 @register("model_roundtrip", "A9", S.with_(S.FLOWS) + "SELECT row_id, TRUE AS equal FROM flows")
 def q_model_roundtrip(spark, sf):
     """Save -> load -> score: class and probability of the reloaded model equal the original's

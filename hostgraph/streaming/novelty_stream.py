@@ -1,33 +1,86 @@
 """Streaming per-flow novelty: emit a flow iff its (src, dst) pair was never seen before.
 
-Each micro-batch is reduced in the JVM to its earliest row per pair (a partially aggregated
-minimum, so a hot pair is one row per task) and anti-joined with the pairs already emitted; what
-is left is appended under the batch's number, so a batch that runs again replaces what it wrote.
+Keyed state on the RocksDB store: one value per pair, looked up only for the pairs of a micro-batch, so a
+batch costs its own rows whatever came before; nothing that was emitted is read again.  The file sink and
+the state share one checkpoint, so a batch that runs again neither repeats nor loses a flow.
+
 Inside one micro-batch the earliest row by (ts, row_id) is emitted; across batches the answer
 follows arrival order: a late row that is earlier in event time than an emitted first contact
 cannot retract it (the batch operator, which sees all rows, is the reference for ordered input).
+With ``forget_after`` a timer per pair drops its state once the watermark is that far past its last
+flow, so the state is bounded by the pairs of that span; the pair's next flow counts as new again, and
+rows behind the watermark are late: they are dropped by the watermark's rule.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "row_id long, src string, dst string, ts timestamp"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FirstContact(StatefulProcessor):
+    """State of a pair: the time (ms) of its latest flow; ``forget_ms`` None: kept for ever."""
+
+    def __init__(self, forget_ms: int | None = None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        best, latest = None, None
+        for batch in rows:                       # a hot pair's rows come in several frames
+            batch = batch if best is None else pd.concat([best, batch], ignore_index=True)
+            latest = batch["ts"].max() if latest is None else max(latest, batch["ts"].max())
+            best = batch.sort_values(["ts", "row_id"]).head(1)
+        if best is None:
+            return
+        ms = int(latest.value // 1_000_000)
+        known = self.latest.get() if self.latest.exists() else None
+        if known is None or (self.forget_ms is not None and ms > known[0]):
+            self.latest.update((ms,))
+            if self.forget_ms is not None:
+                if known is not None:
+                    self.handle.deleteTimer(known[0] + self.forget_ms)
+                self.handle.registerTimer(ms + self.forget_ms)
+        if known is None:
+            yield best[["row_id", "src", "dst", "ts"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.latest.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
-def drain_novel_flows(flows: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain what a feed has now into the table at ``path`` (one folder per micro-batch)."""
-    spark = flows.sparkSession
+def novel_flows(flows: DataFrame, forget_after: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """The stream of first contacts.  NULL ends are keys like any other; rows without a time are left out."""
+    rows = flows.select("row_id", "src", "dst", "ts").where(F.col("ts").isNotNull())
+    if forget_after is None:
+        return rows.groupBy("src", "dst").transformWithStateInPandas(FirstContact(), SCHEMA, "Append", "None")
+    ms = int(pd.Timedelta(forget_after) / pd.Timedelta("1ms"))
+    return (rows.withWatermark("ts", delay).groupBy("src", "dst")
+            .transformWithStateInPandas(FirstContact(ms), SCHEMA, "Append", "EventTime"))
 
-    def add(batch: DataFrame, number: int) -> None:
-        first = (batch.where(F.col("ts").isNotNull()).groupBy("src", "dst")
-                 .agg(F.min(F.struct("ts", "row_id")).alias("f"))
-                 .select("f.row_id", "src", "dst", "f.ts"))
-        if number:
-            seen = spark.read.schema(SCHEMA + ", batch long").parquet(path).where(F.col("batch") < number)
-            s = seen.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"))
-            first = first.join(s, F.col("src").eqNullSafe(F.col("_src")) & F.col("dst").eqNullSafe(F.col("_dst")), "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    (flows.select("row_id", "src", "dst", "ts").writeStream.foreachBatch(add)
-     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+def drain_novel_flows(flows: DataFrame, path: str, checkpoint: str, forget_after: str | None = None,
+                      delay: str = "10 minutes") -> None:
+    """Drain what a feed has now into the table at ``path``; a later call goes on from the checkpoint."""
+    conf = flows.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKSDB)
+    try:
+        (novel_flows(flows, forget_after, delay).writeStream.format("parquet").outputMode("append")
+         .option("path", path).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        conf.set(PROVIDER, before)

@@ -24,6 +24,23 @@ def test_gbt_pipeline_learns_a_threshold(spark):
     assert acc > 0.95
 
 
+def test_mean_gain_counts_every_split(spark):
+    from hostgraph.operators.attribution import load_tree_nodes
+    from hostgraph.session import scratch_path
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), int(a + 0.3 * b > 5)) for i, (a, b) in enumerate(rng.uniform(0, 10, (300, 2)))]
+    df = spark.createDataFrame(rows, "row_id long, bytes double, src_fan_out double, y int")
+    model = ML.gbt_pipeline(["bytes", "src_fan_out"], max_iter=4, max_depth=3).fit(df)
+    ML.save_model(model, path := scratch_path(spark, "gain"))
+    got = {r.feature: r for r in ML.mean_gain(spark, model, path, ["bytes", "src_fan_out"]).collect()}
+    nodes = load_tree_nodes(spark, path, model)
+    inner = nodes[nodes["left"] >= 0]
+    assert {f: r.n_splits for f, r in got.items()} == {
+        ["bytes", "src_fan_out"][int(f)]: int(n) for f, n in inner.groupby("feature").size().items()}
+    assert got["src_fan_out"].is_graph_feature and not got["bytes"].is_graph_feature
+    assert all(r.mean_gain > 0 for r in got.values())
+
+
 def test_isolation_forest_builds_every_tree(spark):
     """More trees than disjoint samples would fill, each on its own full sample."""
     rng = np.random.default_rng(1)

@@ -32,6 +32,31 @@ def test_stream_novelty_emits_first_contact_per_pair(spark):
     assert sorted(r.row_id for r in spark.read.parquet(out).collect()) == [2, 3, 4, 7, 9]
 
 
+def test_stream_novelty_forgets_silent_pairs(spark):
+    """A pair without flows for two hours of event time counts as new again; a lively one does not."""
+    t = dt.datetime(2024, 1, 1, 10)
+    h = dt.timedelta(hours=1)
+    feeds = [[(1, "a", "x", t, 1.0), (2, "b", "x", t, 1.0)], [(3, "b", "x", t + 1.5 * h, 1.0)],
+             [(4, "c", "x", t + 2.6 * h, 1.0)], [(5, "a", "x", t + 2.7 * h, 1.0), (6, "b", "x", t + 2.7 * h, 1.0)]]
+    d, schema = _flow_files(spark, feeds[0])
+    out = os.path.join(d, "out")
+    for feed in feeds:
+        if feed is not feeds[0]:
+            spark.createDataFrame(feed, schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
+        NS.drain_novel_flows(spark.readStream.schema(schema).parquet(os.path.join(d, "in")), out, os.path.join(d, "ck"),
+                             forget_after="2 hours", delay="1 minute")
+    assert sorted(r.row_id for r in spark.read.parquet(out).collect()) == [1, 2, 4, 5]
+
+
+def test_stream_novelty_reads_no_history(spark):
+    """No plan of the stream scans what it has emitted."""
+    t = dt.datetime(2024, 1, 1, 10)
+    d, schema = _flow_files(spark, [(1, "a", "x", t, 1.0)])
+    stream = NS.novel_flows(spark.readStream.schema(schema).parquet(os.path.join(d, "in")))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert plan.count("FileSource[") == 1 and "TransformWithState" in plan
+
+
 def test_stream_edges_only_closed_windows(spark):
     t = dt.datetime(2024, 1, 1, 10)
     rows = [(1, "a", "x", t + dt.timedelta(minutes=1), 2.0), (2, "a", "x", t + dt.timedelta(minutes=2), 3.0),
