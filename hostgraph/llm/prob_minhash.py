@@ -30,6 +30,7 @@ from .store import drop_table, write_table
 
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
+SLICE = 256            # documents whose arrivals are drawn together
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,8 +75,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 sets = [counted(t, words) for t in texts]
                 full = [k for k, (h, _) in enumerate(sets) if len(h)]
@@ -130,15 +131,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int, f
 
 
 def shingled(texts: DataFrame, words: int) -> DataFrame:
-    """``node, keys, weights`` of the rows ``node, text``."""
+    """``node, keys, weights`` of the rows ``node, text``; no weights where no shingle repeats."""
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 sets = [counted(t or "", words) for t in part.column(1).to_pylist()]
-                at = pa.array(np.cumsum([0, *(len(h) for h, _ in sets)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x)))
-                         for x in ([h.view(np.int64) for h, _ in sets], [w for _, w in sets])]
+                lists = []
+                for x in ([h.view(np.int64) for h, _ in sets], [w if (w > 1).any() else w[:0] for _, w in sets]):
+                    at = pa.array(np.cumsum([0, *map(len, x)]), pa.int32())
+                    lists.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["node", "keys", "weights"])
 
     return texts.mapInArrow(run, "node long, keys array<long>, weights array<double>")
@@ -166,9 +168,11 @@ def links_across(members: DataFrame, payload: DataFrame, least: float, threshold
         node, c, component = (got.column(k).to_numpy() for k in ("node", "c", "component"))
         bands = np.stack(got.column("bands").to_numpy(zero_copy_only=False))
         reg = np.stack([np.frombuffer(r, "<u2") for r in got.column("registers").to_pylist()])
-        at = got.column("keys").offsets.to_numpy()
-        keys_, weights = (got.column(k).values.to_numpy() for k in ("keys", "weights"))
-        sets = [(keys_[lo:hi].view(np.uint64), weights[lo:hi]) for lo, hi in zip(at, at[1:])]
+        lists = []
+        for name in ("keys", "weights"):
+            at, flat = got.column(name).offsets.to_numpy(), got.column(name).values.to_numpy()
+            lists.append([flat[lo:hi] for lo, hi in zip(at, at[1:])])
+        sets = [(h.view(np.uint64), w if len(w) else np.ones(len(h))) for h, w in zip(*lists)]
         group = np.unique(component, return_inverse=True)[1]
         found: tuple[list, list] = ([], [])
         for k in range(len(node) - 1):
