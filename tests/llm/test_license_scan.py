@@ -113,8 +113,6 @@ def test_templates_accept_their_own_text():
 def test_places_of_a_template_do_not_overlap(spark):
     docs = spark.createDataFrame([(1, "x y z y x y")], "doc_id long, text string")
     r = ls.scan(docs, [("p", "y")], [("t", "<<beginOptional>>x<<endOptional>> y <<var;words=0..1>>")]).first()
-    assert [tuple(p) for p in r["places"]] == [(0, 3, "t", False), (1, 2, "p", True), (3, 5, "t", False), (3, 4, "p", True),
-                                              (5, 6, "p", True), (5, 6, "t", False)][:0] or [tuple(p) for p in r["places"]]
     assert [tuple(p)[:3] for p in r["places"] if not p["phrase"]] == [(0, 3, "t"), (3, 5, "t"), (5, 6, "t")]
     assert [tuple(p)[:2] for p in r["places"] if p["phrase"]] == [(1, 2), (3, 4), (5, 6)]
 
