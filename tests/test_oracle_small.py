@@ -14,7 +14,7 @@ FAST = ["edges_hourly", "graph_summary", "fan_degree", "out_volume", "novelty_sc
         "label_distribution", "drop_blank_rows", "coerce_inf", "parse_ambiguous_ts", "bucket_5min",
         "split_stratified", "split_group", "stratified_sample", "loco_folds", "classification_report",
         "flow_novelty", "chain_timeline", "pivot_summary", "mttd", "hosts_reached", "enrich_guard",
-        "unseen_classes", "label_index", "lineitem_host_features"]
+        "unseen_classes", "label_index", "lineitem_host_features", "pagerank", "stream_flow_novelty"]
 
 
 @pytest.fixture(scope="module")

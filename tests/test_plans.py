@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 MODELS = {"gbt_binary", "score_flows", "multi_class", "feature_gain", "model_roundtrip", "zero_day", "isolation_forest",
           "pivot_check", "pivot_scores", "model_chain_timeline", "model_pivot_summary", "model_novel_summary",
           "model_chain_headline", "model_mttd", "detection_regimes", "attribution_rank", "attribution_share",
-          "attribution_check", "f1_by_feature_set"}
+          "attribution_check", "f1_by_feature_set", "multi_class_margins", "score_rule", "feature_mean_gain"}
 
 
 def _names():
