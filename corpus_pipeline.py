@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hostgraph.llm import packing, pii, prob_minhash, toxicity
-from hostgraph.llm.store import write_table
+from hostgraph.llm.store import drop_table, write_table
 from hostgraph.sources.tables import read_table
 
 
@@ -36,8 +36,11 @@ ORACLE_SQL = None     # model scores and token ids have no SQL form; tests compa
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` through all stages; each result is written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """``documents`` through all stages; each result is written and read again, and the one before it deleted."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            drop_table(spark, before)
+        before = path
     return docs
