@@ -1,8 +1,8 @@
 """Multi-file CSV capture scan.
 
 A capture is a flat folder of CSV files; each file's name says which part of the week it
-holds.  Files are read with an explicit schema (no inference pass), latin1 decoding and
-normalised header names.  Columns go by header, not by position: the header line of every
+holds; further parts of a capture file are named ``<name>~part<n>.csv``.  Files are read with an
+explicit schema (no inference pass), latin1 decoding and normalised header names.  Columns go by header, not by position: the header line of every
 file is read first, files with the same header are one scan, and the scans are united by
 name.  The file a row came from is taken from the hidden ``_metadata`` column.
 """
@@ -40,13 +40,14 @@ CANONICAL = {normalise_header(v): k for k, v in RAW_HEADER.items()}
 
 
 def write_capture(raw: DataFrame, path: str, file_col: str = "source_file") -> None:
-    """Write a raw flow table as a flat folder with one CSV file per capture file (latin1,
-    messy header).  Spark names files itself, so each is moved to its capture's name on the
-    store that holds it."""
+    """Write a raw flow table as a flat folder of CSV files named by capture file (latin1, messy header).
+    Every task writes its own part of each capture file it holds, so no row moves and a file that
+    holds most rows is written by many tasks.  Spark names files itself, so each is moved to its
+    capture's name, or that of a further part, on the store that holds it."""
     spark = raw.sparkSession
     out = raw.select(*[F.col(c).alias(RAW_HEADER.get(c, c)) for c in raw.columns])
     parts = f"{path}/_parts"
-    (out.repartition(file_col).write.mode("overwrite").partitionBy(file_col)
+    (out.write.mode("overwrite").partitionBy(file_col)
         .option("header", True).option("encoding", "ISO-8859-1")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", TIME_FORMAT).csv(parts))
@@ -56,12 +57,15 @@ def write_capture(raw: DataFrame, path: str, file_col: str = "source_file") -> N
     for folder in fs.globStatus(hadoop.Path(f"{parts}/{file_col}=*")):        # one per capture file
         name = spark._jvm.java.net.URLDecoder.decode(folder.getPath().getName().split("=", 1)[1], "UTF-8")
         for k, f in enumerate(fs.globStatus(hadoop.Path(f"{folder.getPath().toString()}/part-*"))):
-            if k:
-                raise ValueError(f"{name}: more than one part was written")
-            fs.rename(f.getPath(), hadoop.Path(root, name))
+            fs.rename(f.getPath(), hadoop.Path(root, part_name(name, k)))
     fs.delete(hadoop.Path(parts), True)
 
 
+def part_name(name: str, part: int) -> str:
+    """File name of a capture file's part; the first has the capture's own name."""
+    return name if not part else f"{name.removesuffix('.csv')}~part{part}.csv"
+
+
 def capture_schema(raw: DataFrame, file_col: str = "source_file") -> StructType:
     """The CSV schema as written: raw header names, the raw frame's types."""
     fields = []
@@ -73,17 +77,25 @@ def capture_schema(raw: DataFrame, file_col: str = "source_file") -> StructType:
 
 
 def _headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(file, first line) of every CSV file of the folder, or of the one file named."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    """(file, first line) of every CSV file of the folder, or of the parts of the one file named.  No Spark
+    job: the store is asked for the first line of each file; files without a line are left out."""
+    hadoop, java = spark._jvm.org.apache.hadoop.fs, spark._jvm.java.io
     folder = hadoop.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(folder if path.endswith(".csv") else hadoop.Path(folder, "*.csv"))
-    files = [f.getPath().toString() for f in found or []]
-    return [(f, row[0]) for f in files if (row := spark.read.text(f).first())]
+    globs = ([path, part_name(path, "*")] if path.endswith(".csv") else [f"{path.rstrip('/')}/*.csv"])
+    out = []
+    for found in (fs.globStatus(hadoop.Path(g)) for g in globs):
+        for f in found or []:
+            reader = java.BufferedReader(java.InputStreamReader(fs.open(f.getPath()), "ISO-8859-1"))
+            line = reader.readLine()
+            reader.close()
+            if line is not None:
+                out.append((f.getPath().toString(), line))
+    return out
 
 
 def scan_capture(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All CSV files of the flat folder ``path`` (or the one file it names): columns matched by header whatever their
+    """All CSV files of the flat folder ``path`` (or the parts of the one file it names): columns matched by header whatever their
     order and renamed to snake_case, NULL where a file lacks one; ``source_file`` is the file's
     name.  A header that ``schema`` doesn't know raises."""
     kinds = {normalise_header(f.name): f for f in schema.fields}
@@ -99,7 +111,8 @@ def scan_capture(spark: SparkSession, path: str, schema: StructType) -> DataFram
               .option("header", True).option("enforceSchema", True).option("encoding", "ISO-8859-1")
               .option("timestampNTZFormat", TIME_FORMAT).csv(files))
         df = df.select(*[F.col(f"`{kinds[n].name}`").alias(CANONICAL.get(n, n)) for n in names],
-                       F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))").alias("source_file"))
+                       F.regexp_replace(F.expr("url_decode(replace(_metadata.file_name, '+', '%2B'))"),
+                                        r"~part[0-9]+\.csv$", ".csv").alias("source_file"))
         frames.append(df)
     if not frames:
         raise FileNotFoundError(f"no CSV file in {path}")

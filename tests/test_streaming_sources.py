@@ -102,6 +102,18 @@ def test_csv_capture_roundtrip(spark):
     assert got == {FILES[0]: (1, " 10.0.0.1", float("inf"), "  Web Attack \x96 XSS "), FILES[1]: (None, None, None, "BENIGN")}
 
 
+def test_capture_file_of_several_parts(spark):
+    d = tempfile.mkdtemp(prefix="hg-csv-")
+    raw = spark.range(200).selectExpr("id AS row_id", "'h' AS src", f"if(id % 10 = 0, '{FILES[1]}', '{FILES[0]}') AS source_file").repartition(4)
+    CSV.write_capture(raw, d)
+    assert len([f for f in os.listdir(d) if f.endswith(".csv")]) > 4
+    back = CSV.scan_capture(spark, d, CSV.capture_schema(raw))
+    assert sorted(map(tuple, back.select("row_id", "source_file").collect())) == sorted(
+        map(tuple, raw.select("row_id", "source_file").collect()))
+    one = CSV.scan_capture(spark, f"{d}/{FILES[1]}", CSV.capture_schema(raw))
+    assert sorted(r.row_id for r in one.collect()) == list(range(0, 200, 10))
+
+
 def test_columns_go_by_header(spark, tmp_path):
     """Files whose columns stand in another order, or lack one, keep their values apart."""
     raw = spark.createDataFrame([], "row_id long, src string, bytes double, label string, source_file string")
