@@ -1,7 +1,10 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from hostgraph.llm import toxicity
 
@@ -39,6 +42,47 @@ def test_held_out_accuracy(spark, pairs):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_interactions_without_a_share_of_their_own(spark):
+    """Toxic: an insult or a mention of a group, not both; each alone is half toxic, half not."""
+    rng, rows = random.Random(9), []
+    for i in range(2000):
+        w = ["w%d" % rng.randrange(300) for _ in range(rng.randrange(5, 30))]
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w += ["moronix"] * insult + ["gnomes"] * group
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(insult != group)))
+    _, model, got = scored(spark, rows)
+    truth = {d: y for d, _, y in rows}
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) >= 0.95
+
+
+def test_interacting_pairs_against_brute_force(spark):
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        x = [k for k in range(6) if rng.random() < 0.5]
+        rows.append((i, x, int(((1 in x) != (4 in x)) ^ (rng.random() < 0.1))))
+    frame = spark.createDataFrame([(d, y, Vectors.sparse(8, x, [1.0] * len(x))) for d, x, y in rows], StructType([StructField("doc_id", LongType()), StructField("label", IntegerType()), StructField("_hashed", VectorUDT())]))
+    counts = {y: (sum(r[2] == y for r in rows), np.array([sum(r[2] == y and k in r[1] for r in rows) for k in range(8)], float)) for y in (0, 1)}
+    share, want = counts[1][0] / len(rows), []
+    for i in range(6):
+        for j in range(i + 1, 6):
+            cells = {(a, b): [r[2] for r in rows if (i in r[1]) == a and (j in r[1]) == b] for a in (0, 1) for b in (0, 1)}
+            rate = {c: sum(v) / len(v) for c, v in cells.items()}
+            d = rate[1, 1] - rate[1, 0] - rate[0, 1] + rate[0, 0]
+            if d * d / (share * (1 - share) * sum(1 / len(v) for v in cells.values())) >= toxicity.LEAST_PAIR:
+                want += [i, j]
+    assert want == [1, 4]
+    assert toxicity._interacting(frame, counts, 1024, 1024) == want
+
+
+def test_no_telling_term(spark):
+    """Labels by chance: scores still depend on the text."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("w%d" % rng.randrange(50) for _ in range(8)), rng.randrange(2)) for i in range(200)]
+    assert len({round(r.score, 9) for r in scored(spark, rows, iterations=20)[2]}) > 10
+
+
 def test_held_out_labels_are_never_read(spark):
     rows = corpus(300)
     flipped = [(d, t, 1 - y if zlib.crc32(str(d).encode()) % 5 == 0 else y) for d, t, y in rows]
