@@ -28,29 +28,87 @@ RUN = (r"(?:(?=\()|(?<![\p{L}\p{N}@]))(?:\(\+?+[0-9]++(?:[\x20.-][0-9]++)*+\)|\+
        r"(?:[\x20.-]?+(?:\([0-9]++(?:[\x20.-][0-9]++)*+\)|[0-9]++))*+")
 SPACED = r"[0-9]\)?\x20\(?[0-9]"       # what a text with a run of several tokens has somewhere
 WINDOW = 80          # code points on either side that a pattern looks at
+BLOCK = 64           # results that are copied together
+PAGE = 512           # code points of a text that are read together
 SPAN = "struct<start:bigint,end:bigint,kind:int,value:string>"
+SEEN = "struct<start:bigint,end:bigint,kind:int,value:string,far:string,near:string,next:string>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _none(fields: str = SPAN) -> Column:
+    return F.from_json(F.lit("[]"), f"array<{fields}>")
+
+
+def _running(values: Column, op) -> Column:
+    """For each of an array of numbers, ``op`` over those before it (0 for the first).  Results are kept
+    in blocks of ``BLOCK``, so that a step copies one block and not all before it."""
+    def step(acc: Column, v: Column) -> Column:
+        full = F.size(acc["block"]) >= BLOCK
+        at = F.array(acc["at"])
+        return F.struct(op(acc["at"], v).alias("at"),
+                        F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done"),
+                        F.when(full, at).otherwise(F.concat(acc["block"], at)).alias("block"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), _none("array<bigint>").alias("done"), _none("bigint").alias("block"))
+    return F.aggregate(values, zero, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["block"]))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _found(text: Column, pattern: str, hint: Column, kind: int | None) -> Column:
     """Matches, leftmost and not overlapping, with offsets in code points (end exclusive): the
     running length of the gaps that ``split`` leaves and of the matches between them."""
-    def fold(gaps: Column, values: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            value = F.get(values, i)
-            end = start + F.length(value)
-            one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"),
-                           F.lit(kind).cast("int").alias("kind"), value.alias("value"))
-            return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-        none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-        return F.when(F.size(values) > 0, F.aggregate(
-            F.sequence(F.lit(0), F.size(values) - 1),
-            F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step)["out"]).otherwise(none)
-
-    spans = F.get(F.transform(
-        F.array(F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"))),
-        lambda x: fold(x["g"], x["v"])), F.lit(0))
-    return F.when(hint, spans).otherwise(F.from_json(F.lit("[]"), f"array<{SPAN}>"))
+    def place(x: Column) -> Column:
+        gap = lambda i: F.length(F.get(x["g"], i))
+        before = _running(F.transform(x["v"], lambda v, i: (gap(i) + F.length(v)).cast("long")), _sum)
+
+        def span(at: Column, v: Column, i: Column) -> Column:
+            start = at + gap(i)
+            return F.struct(start.alias("start"), (start + F.length(v)).alias("end"),
+                            F.lit(kind).cast("int").alias("kind"), v.alias("value"))
+        return _let(before, lambda at: F.transform(x["v"], lambda v, i: span(F.get(at, i), v, i)))
+
+    spans = _let(F.struct(F.split(text, pattern, -1).alias("g"),
+                          F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v")), place)
+    return F.when(hint, spans).otherwise(_none())
+
+
+def _pages(text: Column) -> Column:
+    """The text in pieces of ``PAGE`` code points, so that a place in it is reached without reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}+"), F.lit(0))
+
+
+def _cut(pages: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` (exclusive, at most the text's length) of a text in pages."""
+    first, last = F.floor(start / PAGE).cast("int"), F.floor((end - 1) / PAGE).cast("int")
+
+    def part(i: Column) -> Column:
+        skip = F.greatest(start - i * PAGE, F.lit(0))
+        return F.substring(F.coalesce(F.get(pages, i), F.lit("")), (skip + 1).cast("int"),
+                           (F.least(end - i * PAGE, F.lit(PAGE)) - skip).cast("int"))
+    return F.when(end > start, F.when(first == last, part(first)).otherwise(
+        F.array_join(F.transform(F.sequence(first, last), part), ""))).otherwise(F.lit(""))
+
+
+def _among(spans: Column, tokens: Column, keep) -> Column:
+    """The tokens (disjoint) for which ``keep`` holds of: the token, the largest end of the spans that start
+    no later, and the start of what comes next (null: nothing)."""
+    mark = lambda which: lambda s: F.struct(
+        s["start"].alias("start"), F.lit(which).alias("token"), s["end"].alias("end"), s["kind"].alias("kind"),
+        s["value"].alias("value"))
+    events = F.sort_array(F.concat(F.transform(spans, mark(0)), F.transform(tokens, mark(1))))
+    bare = lambda e: F.struct(*(e[c].alias(c) for c in ("start", "end", "kind", "value")))
+    merged = _let(events, lambda es: _let(
+        _running(F.transform(es, lambda e: F.when(e["token"] == 0, e["end"]).otherwise(F.lit(0).cast("long"))), F.greatest),
+        lambda reach: F.transform(F.filter(es, lambda e, i: (e["token"] == 1) & keep(
+            e, F.get(reach, i), F.get(es, i + 1)["start"])), bare)))
+    return F.when((F.size(spans) > 0) & (F.size(tokens) > 0), merged).otherwise(tokens)
 
 
 def _luhn(digits: Column) -> Column:
@@ -84,28 +142,33 @@ def _word(w: Column) -> Column:
     return F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
 
 
-def _contexts(text: Column, spans: Column) -> Column:
+def _contexts(pages: Column, n_chars: Column, spans: Column) -> Column:
     """Spans with the last two words before and the first word behind them."""
     def around(s: Column) -> Column:
-        lo = F.greatest(s["start"] - WINDOW, F.lit(0))
-        before = F.split(F.rtrim(F.substring(text, (lo + 1).cast("int"), (s["start"] - lo).cast("int"))), r"\s+")
-        behind = F.split(F.ltrim(F.substring(text, (s["end"] + 1).cast("int"), F.lit(WINDOW))), r"\s+")
-        n = F.size(before)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
-                        F.lower(s["value"]).alias("value"),
-                        _word(F.coalesce(F.get(before, n - 2), F.lit(""))).alias("far"),
-                        _word(F.coalesce(F.get(before, n - 1), F.lit(""))).alias("near"),
-                        _word(F.coalesce(F.get(F.filter(behind, lambda w: _word(w) != ""), F.lit(0)),
-                                         F.lit(""))).alias("next"))
+        before = F.split(F.rtrim(_cut(pages, F.greatest(s["start"] - WINDOW, F.lit(0)), s["start"])), r"\s+")
+        behind = F.regexp_extract(_cut(pages, s["end"], F.least(s["end"] + WINDOW, n_chars)), r"\S*[\p{L}\p{N}]\S*", 0)
+        return _let(before, lambda b: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value"),
+            _word(F.coalesce(F.get(b, F.size(b) - 2), F.lit(""))).alias("far"),
+            _word(F.coalesce(F.get(b, F.size(b) - 1), F.lit(""))).alias("near"), _word(behind).alias("next")))
     return F.transform(spans, around)
 
 
-def _runs(text: Column, base: Column) -> Column:
+def _masked(text: Column, pages: Column, n_chars: Column, base: Column) -> Column:
+    """The text with every code point of a base span as ``#``: the gaps between spans and their masks, joined once."""
+    def piece(s: Column, at: Column) -> Column:
+        return F.concat(_cut(pages, at, s["start"]),
+                        F.repeat(F.lit("#"), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)).cast("int")))
+
+    joined = _let(_running(F.transform(base, lambda s: s["end"]), F.greatest), lambda reach: F.concat(
+        F.array_join(F.transform(base, lambda s, i: piece(s, F.get(reach, i))), ""),
+        _cut(pages, F.array_max(F.transform(base, lambda s: s["end"])), n_chars)))
+    return F.when(F.size(base) > 0, joined).otherwise(text)
+
+
+def _runs(text: Column, masked: Column) -> Column:
     """Runs of digit groups over several tokens, from the text between the base spans."""
-    blank = F.aggregate(base, text, lambda t, s: F.overlay(
-        t, F.repeat(F.lit("#"), (s["end"] - s["start"]).cast("int")), (s["start"] + 1).cast("int"),
-        (s["end"] - s["start"]).cast("int")))
-    found = _found(blank, RUN, text.rlike(SPACED), None)
+    found = _found(masked, RUN, text.rlike(SPACED), None)
 
     def bare(s: Column) -> Column:          # parentheses around the whole run are outer punctuation
         cut = F.when(s["value"].rlike(r"^\([^()]*+\)$"), F.lit(1)).otherwise(F.lit(0))
@@ -115,7 +178,7 @@ def _runs(text: Column, base: Column) -> Column:
     return F.filter(F.transform(found, bare), lambda s: F.contains(s["value"], F.lit(" ")) & (F.length(s["value"]) >= 4))
 
 
-def _others(text: Column, base: Column) -> Column:
+def _others(text: Column, pages: Column, n_chars: Column, base: Column) -> Column:
     """Tokens with a digit or an at-sign that touch no base span, without outer punctuation; tokens
     within a run of digit groups are that run."""
     raw = _found(text, TOKEN, text.rlike("[0-9@]"), None)
@@ -126,10 +189,11 @@ def _others(text: Column, base: Column) -> Column:
         start = s["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), s["kind"].alias("kind"), core.alias("value"))
 
-    tokens = F.filter(F.transform(raw, trim), lambda s: (F.length(s["value"]) >= 4) & ~F.exists(
-        base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.get(F.transform(F.array(_runs(text, base)), lambda runs: F.concat(runs, F.filter(
-        tokens, lambda s: ~F.exists(runs, lambda r: (r["start"] <= s["start"]) & (s["end"] <= r["end"]))))), F.lit(0))
+    tokens = _let(F.filter(F.transform(raw, trim), lambda s: F.length(s["value"]) >= 4), lambda some: _among(
+        base, some, lambda s, reach, then: (reach <= s["start"]) & F.coalesce(then >= s["end"], F.lit(True))))
+    runs = _runs(text, _masked(text, pages, n_chars, base))
+    return _let(F.struct(runs.alias("r"), tokens.alias("t")), lambda x: F.concat(
+        x["r"], _among(x["r"], x["t"], lambda s, reach, then: reach < s["end"])))
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,8 +201,10 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.select("doc_id", F.md5("text").alias("text_key"), "text", base_spans(F.col("text")).alias("base"))
     # a second scan step, so that the base spans are worked out once
-    return d.select("doc_id", "text_key", "base",
-                    _contexts(F.col("text"), F.concat("base", _others(F.col("text"), F.col("base")))).alias("seen"))
+    seen = _let(F.struct(_pages(F.col("text")).alias("p"), F.length("text").cast("long").alias("n")), lambda x: _contexts(
+        x["p"], x["n"], F.concat("base", _others(F.col("text"), x["p"], x["n"], F.col("base")))))
+    return d.select("doc_id", "text_key", "base", F.when(F.col("text").rlike("[0-9@]"), seen).otherwise(
+        _none(SEEN)).alias("seen"))
 
 
 def _patterns() -> Column:
@@ -199,9 +265,8 @@ def find(docs: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0.8,
            .groupBy("text_key", "start", "end", "value").agg(F.min("kind").alias("kind")))
     added = new.groupBy("text_key").agg(F.sort_array(F.collect_set(
         F.struct("start", "end", F.col("kind").cast("int").alias("kind"), "value"))).alias("added"))
-    none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
     out, _ = write_table(t.join(added, "text_key", "left").select(
-        "doc_id", "text_key", "base", F.coalesce("added", none).alias("added")), "found")
+        "doc_id", "text_key", "base", F.coalesce("added", _none()).alias("added")), "found")
     for p in (t_path, i_path, *made):
         drop_table(spark, p)
     return out
@@ -229,25 +294,34 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.col("row")[text_col]
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
+    def widen(last: Column, s: Column) -> Column:
         longer = s["end"] - s["start"] > last["end"] - last["start"]
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
-                         F.when(longer, s["kind"]).otherwise(last["kind"]).alias("kind"))
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]),
-                      F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(own)))
+        return F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
+                        F.when(longer, s["kind"]).otherwise(last["kind"]).alias("kind"))
+
+    def groups(x: Column, reach: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i)["start"] >= F.get(reach, i))
+
+        def group(at: Column, b: Column, j: Column) -> Column:
+            first = F.get(x, b)
+            return F.aggregate(F.sequence(b, F.coalesce(F.get(at, j + 1), F.size(x)) - 1),
+                               F.struct(first["start"].alias("start"), first["end"].alias("end"), first["kind"].alias("kind")),
+                               lambda last, i: widen(last, F.get(x, i)))
+        return _let(begins, lambda at: F.transform(at, lambda b, j: group(at, b, j)))
 
-    merged = F.aggregate("spans", F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,kind:int>>"), merge)
+    merged = _let(F.col("spans"), lambda x: _let(
+        _running(F.transform(x, lambda s: s["end"]), F.greatest), lambda reach: groups(x, reach)))
     name = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    pages = F.col("pages")
 
     def piece(s: Column, i: Column) -> Column:
-        at = F.coalesce(F.get(F.col("merged"), i - 1)["end"], F.lit(0))
-        return F.concat(F.substring(text, (at + 1).cast("int"), (s["start"] - at).cast("int")), F.get(name, s["kind"]))
+        at = F.coalesce(F.get(F.col("merged"), i - 1)["end"], F.lit(0).cast("long"))
+        return F.concat(_cut(pages, at, s["start"]), F.get(name, s["kind"]))
 
-    tail = F.substring(text, (F.element_at("merged", -1)["end"] + 1).cast("int"), F.length(text))
+    tail = _cut(pages, F.element_at("merged", -1)["end"], F.length(text).cast("long"))
     out = (d.withColumn("text_key", F.md5(F.coalesce(text, F.lit("")))).join(spans, "text_key", "left")
            .withColumn("merged", F.when(F.col("spans").isNotNull(), merged))
+           .withColumn("pages", F.when(F.col("spans").isNotNull(), _pages(text)))
            .select("row", F.when(F.col("merged").isNotNull(), F.concat(
                F.array_join(F.transform("merged", piece), ""), tail)).alias("new")))
     row = F.col("row").withField(text_col, F.coalesce("new", text))

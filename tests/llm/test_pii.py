@@ -98,6 +98,26 @@ def test_redaction_of_overlaps_and_repeated_rows(spark):
     assert out == ["[EMAIL]", "a [EMAIL] c", "a [EMAIL] c", "nothing"]
 
 
+def test_long_text(spark):
+    """Every place of a text of 10,000 instances (far over a block and a page) with overlapping spans."""
+    words, at, want, plain = [], 0, [], []
+    for i in range(10000):
+        w = ["x%06d@y.zz" % i, "10.0.0.%d" % (i % 256), "n%06dz" % i, "4111111111111111@a.b", "é😀"][i % 5]
+        words.append(w)
+        want += [(at + s, k, at + e) for s, k, e in base(w)]
+        if w[0] == "n":
+            plain.append((at, at + 8, w, "1000%d" % ((i - 1) % 256), "4111111111111111ab"))
+        at += len(w) + 1
+    text = " ".join(words)
+    assert sorted(want) == base(text)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.extract(docs, "doc_id", "text").collect()[0]
+    assert sorted((s.start, s.kind, s.end) for s in row.base) == base(text)
+    assert sorted((s.start, s.end, s.value, s.near, s.next) for s in row.seen if s.kind is None) == plain
+    out = pii.redact(docs, pii.find(docs)).collect()[0].text.split(" ")
+    assert out == [{"x": "[EMAIL]", "1": "[IP]", "4": "[EMAIL]"}.get(w[0], w) for w in words]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digest(pii.find(docs)).count() == 0
