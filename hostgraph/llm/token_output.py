@@ -22,6 +22,12 @@ SEQUENCES = ("matrix_id long, row int, n_tokens int, ids binary, cu_seqlens arra
              "position_resets array<int>, doc_id array<{id}>, start array<long>")
 
 
+def _nested(each: np.ndarray, values: pa.Array) -> pa.Array:
+    """One list of lists: of ``values``, as many to a list as ``each`` says."""
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), values)
+    return pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), inner)
+
+
 def packed_matrices(docs: DataFrame, tokenizer: str, size: int = 1024, matrix_rows: int = 64,
                     bundle: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Matrices of packed ids, row-major and little-endian (2 bytes an id when the vocabulary
@@ -57,23 +63,25 @@ def packed_matrices(docs: DataFrame, tokenizer: str, size: int = 1024, matrix_ro
             nonlocal made
             while len(ready) >= matrix_rows or (last and ready):
                 rows, ready[:] = ready[:matrix_rows], ready[matrix_rows:]
+                pieces = [x for row in rows for x in row]
+                each = np.array([len(row) for row in rows])
+                lengths = np.array([len(x[2]) // 4 for x in pieces])
+                first = np.concatenate([[0], np.cumsum(each)])      # each row's first segment
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                base_of = np.repeat(ends[first[:-1]], each)         # ids in the rows before
+                used = np.diff(ends[first])
                 matrix = np.full((len(rows), size), END_ID, item)
-                cu, resets = [], []
-                for r, row in enumerate(rows):
-                    lengths = [len(p) // 4 for _, _, p in row]
-                    total = np.cumsum([0, *lengths])
-                    matrix[r, :total[-1]] = np.frombuffer(b"".join(p for _, _, p in row), "<u4")
-                    cu.append(total.tolist())
-                    resets.append(total[:-1].tolist() + ([int(total[-1])] if total[-1] < size else []))
-                ids = pa.array([[[d for d, _, _ in row] for row in rows]], pa.list_(pa.list_(id_type)))
-                starts = pa.array([[[s for _, s, _ in row] for row in rows]],
-                                  pa.list_(pa.list_(pa.int64())))
-                ints = pa.list_(pa.list_(pa.int32()))
+                matrix[np.arange(size) < used[:, None]] = np.frombuffer(b"".join(x[2] for x in pieces), "<u4")
+                short = np.flatnonzero(used < size)
+                cu = np.insert(ends[1:] - base_of, first[:-1], 0)
+                resets = np.insert(ends[:-1] - base_of, first[short + 1], used[short])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([base + made], pa.int64()), pa.array([len(rows)], pa.int32()),
                      pa.array([size], pa.int32()), pa.array([np.dtype(item).itemsize], pa.int32()),
-                     pa.array([matrix.tobytes()], pa.binary()), pa.array([cu], ints),
-                     pa.array([resets], ints), ids, starts],
+                     pa.array([matrix.tobytes()], pa.binary()), _nested(each + 1, pa.array(cu, pa.int32())),
+                     _nested(each + (used < size), pa.array(resets, pa.int32())),
+                     _nested(each, pa.array([x[0] for x in pieces], id_type)),
+                     _nested(each, pa.array([x[1] for x in pieces], pa.int64()))],
                     names=["matrix_id", "n_rows", "width", "item_bytes", "ids", "cu_seqlens",
                            "position_resets", "doc_id", "start"])
                 made += 1
@@ -111,19 +119,24 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for m in batch.to_pylist():
-                ids = np.frombuffer(m["ids"], f"<u{m['item_bytes']}").reshape(m["n_rows"], m["width"])
-                n = [cu[-1] for cu in m["cu_seqlens"]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m["matrix_id"]] * len(n), pa.int64()),
-                     pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int32()),
-                     pa.array([row[:k].astype("<u4").tobytes() for row, k in zip(ids, n)], pa.binary()),
-                     pa.array(m["cu_seqlens"], pa.list_(pa.int32())),
-                     pa.array(m["position_resets"], pa.list_(pa.int32())),
-                     pa.array(m["doc_id"], batch.schema.field("doc_id").type.value_type),
-                     pa.array(m["start"], pa.list_(pa.int64()))],
-                    names=["matrix_id", "row", "n_tokens", "ids", "cu_seqlens", "position_resets",
-                           "doc_id", "start"])
+            col = batch.column
+            cu = col("cu_seqlens").flatten()
+            rows = np.asarray(col("n_rows"))
+            n = np.asarray(cu.values)[np.asarray(cu.offsets)[1:] - 1]
+            used, at = n.tolist(), 0
+            ids = []
+            for raw, width, item in zip(col("ids"), np.asarray(col("width")).tolist(), np.asarray(col("item_bytes")).tolist()):
+                coded = np.frombuffer(raw.as_buffer(), f"<u{item}").astype("<u4").tobytes()
+                here = range(0, len(coded), 4 * width)
+                ids += [coded[i:i + 4 * k] for i, k in zip(here, used[at:at + len(here)])]
+                at += len(here)
+            within = np.arange(len(n)) - np.repeat(np.cumsum(rows) - rows, rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.asarray(col("matrix_id")), rows)), pa.array(within, pa.int32()),
+                 pa.array(n, pa.int32()), pa.array(ids, pa.binary()), cu, col("position_resets").flatten(),
+                 col("doc_id").flatten(), col("start").flatten()],
+                names=["matrix_id", "row", "n_tokens", "ids", "cu_seqlens", "position_resets",
+                       "doc_id", "start"])
 
     return table.mapInArrow(run, SEQUENCES.format(id=kind))
 
