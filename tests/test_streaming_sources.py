@@ -131,3 +131,16 @@ def test_columns_go_by_header(spark, tmp_path):
 def test_normalise_header():
     assert CSV.normalise_header(" Source IP") == "source_ip"
     assert CSV.normalise_header("Flow Bytes/s ") == "flow_bytes_s"
+
+
+def test_stream_novelty_keeps_ids_beside_missing_ones(spark):
+    """Rows of a pair reach its state as rows, with their ids whole; equal times go by id, a missing id last."""
+    t = dt.datetime(2024, 1, 1, 10, 0, 0, 123457)
+    rows = [(None, "a", "x", t, 1.0), (2 ** 60 + 1, "a", "x", t, 1.0), (2 ** 60 + 3, "a", "x", t, 1.0), (None, "b", "x", t, 1.0),
+            (4, None, None, t, 1.0), (5, "c", "x", None, 1.0)]
+    d, schema = _flow_files(spark, rows)
+    feed = spark.readStream.schema(schema).parquet(os.path.join(d, "in"))
+    out = os.path.join(d, "out")
+    NS.drain_novel_flows(feed, out, os.path.join(d, "ck"))
+    got = {(r.row_id, r.src, r.dst, r.ts) for r in spark.read.parquet(out).collect()}
+    assert got == {(2 ** 60 + 1, "a", "x", t), (None, "b", "x", t), (4, None, None, t)}
