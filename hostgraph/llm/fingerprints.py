@@ -32,19 +32,28 @@ def _draws(bins: int, tries: int) -> np.ndarray:
     return (mix(t * np.uint64(0x9E3779B97F4A7C15) + i) % np.uint64(bins)).astype(np.int32)
 
 
+@lru_cache(4)
+def _bit_rows(bits: int) -> np.ndarray:
+    """The ``bits`` bits of each value, lowest first."""
+    return (np.arange(1 << bits)[:, None] >> np.arange(bits) & 1).astype(np.uint8)
+
+
 def densify(values: np.ndarray, full: np.ndarray) -> np.ndarray:
     """Values with every empty bin filled from the first full bin among its draws (after 4096
     draws, from the next full bin)."""
     bins = len(values)
     empty = np.flatnonzero(~full)
     out = values.copy()
-    for tries in (64, 4096):
+    draws, tried = _draws(bins, 4096), 0
+    # one draw at a time while most bins still hit, then ever more of them: few are left by then
+    for tries in (*range(1, 17), 32, 64, 128, 256, 512, 1024, 2048, 4096):
         if not len(empty):
             return out
-        seen = full[_draws(bins, tries)[:, empty]]
+        look = draws[tried:tries].take(empty, 1)
+        seen = full[look]
         hit = seen.any(0)
-        out[empty[hit]] = values[_draws(bins, tries)[seen.argmax(0)[hit], empty[hit]]]
-        empty = empty[~hit]
+        out[empty[hit]] = values[look[seen.argmax(0)[hit], hit]]
+        empty, tried = empty[~hit], tries
     if len(empty):
         at = np.flatnonzero(full)
         out[empty] = values[at[np.searchsorted(at, empty) % len(at)]]
@@ -62,7 +71,7 @@ def fingerprint(shingles: np.ndarray, bins: int = BINS, bits: int = BITS) -> byt
     full = np.zeros(bins, bool)
     full[at] = True
     low = (densify(values, full) & np.uint64((1 << bits) - 1)).astype(np.uint8)
-    return np.packbits(((low[:, None] >> np.arange(bits, dtype=np.uint8)) & 1).astype(bool), axis=None).tobytes()
+    return np.packbits(_bit_rows(bits)[low]).tobytes()
 
 
 def likeness(a: bytes, b: bytes, bits: int = BITS) -> float:

@@ -88,3 +88,31 @@ def test_range_ends_meet_behind_a_shuffle(spark):
     docs = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id long, text string")
     plan = fp.compare_neighbours(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Coalesce" not in plan and "Exchange SinglePartition" in plan
+
+
+def test_densification_follows_the_draws_and_looks_at_no_more_than_it_needs():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    draws = fp._draws(512, 4096)
+    for n in (1, 3, 5, 40, 300, 512):
+        full = np.zeros(512, bool)
+        full[rng.choice(512, n, replace=False)] = True
+        values = rng.integers(0, 1 << 50, 512).astype(np.uint64)
+        tracemalloc.start()
+        out = fp.densify(values, full)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 1 or peak < 1_500_000       # 4096 draws of every bin that missed 64 times are several MB
+        at = np.flatnonzero(full)
+        for i in range(512):
+            hits = np.flatnonzero(full[draws[:, i]])
+            source = i if full[i] else draws[hits[0], i] if len(hits) else at[np.searchsorted(at, i) % n]
+            assert out[i] == values[source]
+
+
+def test_bits_are_packed_lowest_first():
+    h = shingle_hashes(word_hashes(text(random.Random(3), 900)))
+    for bits in (1, 2, 4, 8):
+        low = np.unpackbits(np.frombuffer(fp.fingerprint(h, 64, bits), np.uint8)).reshape(64, bits)
+        minima = [min(int(x) & (1 << 58) - 1 for x in h if int(x) >> 58 == b) for b in range(64)]
+        assert [sum(int(v) << k for k, v in enumerate(row)) for row in low] == [m & (1 << bits) - 1 for m in minima]
