@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +27,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_NONE = 1 << 62      # above every rank
+
+
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """ids of one match of the pattern: the leftmost pair of least rank merges first."""
-    if word in ranks:
-        return [ranks[word]]
-    if len(word) > 64:
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    n = len(word)
+    if n > 64:
         return _merge_long(word, ranks)
-    parts = [word[i:i + 1] for i in range(len(word))]
-    pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-    while True:
-        best, at = None, -1
-        for i, r in enumerate(pairs):
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            return [ranks[p] for p in parts]
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
-        if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
-        if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1])
+    get = ranks.get
+    at = list(range(n + 1))                # part i is word[at[i]:at[i + 1]]
+    pairs = [get(word[i:i + 2], _NONE) for i in range(n - 1)]
+    while pairs and (best := min(pairs)) < _NONE:
+        i = pairs.index(best)
+        del pairs[i], at[i + 1]
+        if i:
+            pairs[i - 1] = get(word[at[i - 1]:at[i + 1]], _NONE)
+        if i < len(pairs):
+            pairs[i] = get(word[at[i]:at[i + 2]], _NONE)
+    return [ranks[word[a:b]] for a, b in zip(at, at[1:])]
 
 
 def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -83,31 +84,33 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Coder:
-    MEMO = 300_000      # parts held by a worker (or those of one text, if more)
+    MEMO = 300_000      # parts in the newer of two tables (or those of one text, if more); when it is
+    #                     full it replaces the older one, and parts that come again move back
 
     def __init__(self, pattern: str, ranks: dict[bytes, int]):
         import regex
         self.find = regex.compile(pattern).findall
         self.ranks = ranks
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
         ids: list[int] = []
         for word in self.find(text):
             ids += merge(word.encode(), self.ranks)
-        return np.array(ids, "<i4").tobytes()
+        return pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> bytes:
         first, rest = split_parts(text)
-        memo = self.memo
         distinct = dict.fromkeys(rest)
-        if missing := [p for p in distinct if p not in memo]:
-            if len(memo) + len(missing) > self.MEMO:
-                memo.clear()
+        if missing := [p for p in distinct if p not in self.memo]:
+            if len(self.memo) + len(missing) > self.MEMO:
+                self.memo, self.older = {}, self.memo
                 missing = list(distinct)
             for p in missing:
-                memo[p] = self.part(" " + p)
-        return self.part(first) + b"".join(map(memo.__getitem__, rest))
+                known = self.older.get(p)
+                self.memo[p] = self.part(" " + p) if known is None else known
+        return self.part(first) + b"".join(map(self.memo.__getitem__, rest))
 
 
 _CODERS: dict[str, _Coder] = {}      # the worker's coder for the last vocabulary

@@ -56,3 +56,22 @@ def test_full_table_and_digest(spark, library, monkeypatch):
 def test_empty_table(spark):
     none = frame(spark, TEXTS).where("false")
     assert bpe.decode(bpe.encode(none, RANKS, P.PATTERN), RANKS).count() == 0
+
+
+def test_parts_of_the_older_table_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(bpe._Coder, "MEMO", 4)
+    coder = bpe._Coder(P.PATTERN, bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")))
+    made, part = [], coder.part
+    coder.part = lambda text: made.append(text) or part(text)
+    first = coder.encode("x b c")
+    coder.encode("x d e f")           # the table is full
+    assert coder.encode("x b") == first[:len(coder.encode("x b"))]
+    assert [made.count(p) for p in (" b", " c", " d")] == [1, 1, 1]
+
+
+def test_merge_takes_the_leftmost_pair_of_least_rank():
+    ranks = {bytes([c]): c for c in range(256)}
+    ranks |= {w: 256 + i for i, w in enumerate([b"aa", b"ab", b"aab", b"ba", b"aaaa", b"baab"])}
+    for word, ids in ((b"", []), (b"a", [97]), (b"aaa", [256, 97]), (b"aaab", [256, 257]), (b"abaab", [257, 258]),
+                      (b"caabaab", [99, 258, 258]), (b"xyz", [120, 121, 122])):
+        assert bpe.merge(word, ranks) == bpe._merge_long(word, ranks) == ids
