@@ -18,7 +18,8 @@ from ..session import materialize
 def running_count(df: DataFrame, flag: str, order_cols: list[str], out: str,
                   chunks: int | None = None) -> DataFrame:
     """``out`` = number of rows with ``flag`` true at or before this row in
-    ``order_cols`` order (the order must be total, e.g. end with a unique id)."""
+    ``order_cols`` order (the order must be total, e.g. end with a unique id).  A ``flag`` that
+    is a number counts as often as it says."""
     # without an explicit count the range exchange is sized by the session and coalesced by
     # AQE (adjacent ranges merge, so chunk ids stay in order).  Written once: the chunk
     # totals and the in-chunk window read the same rows, and each row's chunk id is fixed
@@ -26,7 +27,7 @@ def running_count(df: DataFrame, flag: str, order_cols: list[str], out: str,
     ranged = df.repartitionByRange(chunks, *order_cols) if chunks else df.repartitionByRange(*order_cols)
     d = materialize(ranged
                     .withColumn("_chunk", F.spark_partition_id())
-                    .withColumn("_f", F.col(flag).cast("int")))
+                    .withColumn("_f", F.col(flag).cast("long")))
     totals = d.groupBy("_chunk").agg(F.sum("_f").alias("_c"))
     offsets = totals.select(
         "_chunk",
@@ -46,25 +47,29 @@ def exact_quantiles(long: DataFrame, group: str, value: str, order_tail: list[st
     """Exact quantiles with linear interpolation between order statistics (the rule of
     ``quantile_cont`` / pandas), per group, without gathering a group in one task.
 
-    Every non-null value gets its 1-based rank inside its group from the distributed
-    running count over ``(group, value, *order_tail)`` minus the rows of earlier groups
-    (a per-group count table); only the two order statistics around each quantile position
-    are kept and interpolated.  Output: ``group, q, quantile``."""
-    d = long.where(F.col(value).isNotNull()).withColumn("_one", F.lit(True))
-    counts = d.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    Every distinct non-null value is one row with the number of its rows (a partial aggregation, so
+    a column of few values shuffles few rows), and gets the ranks it covers in its group from the
+    distributed running count over ``(group, value)`` minus the rows of earlier groups (a per-group
+    count table); only the two order statistics around each quantile position are kept and
+    interpolated.  ``order_tail`` told equal values apart and changes nothing.  Output: ``group, q,
+    quantile``."""
+    d = (long.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v"))
+         .agg(F.count(F.lit(1)).alias("_rows")))
+    counted = running_count(d, "_rows", [group, "_v"], "_c", chunks)
+    counts = counted.groupBy(group).agg(F.sum("_rows").alias("_n"))
     offs = counts.select(group, "_n", F.coalesce(F.sum("_n").over(
         Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    ranked = (running_count(d, "_one", [group, value, *order_tail], "_c", chunks)
-              .join(offs, group)                       # one row per group: AQE plans by its size
-              .withColumn("_r", F.col("_c") - F.col("_off") - 1))   # 0-based rank
+    ranked = (counted.join(offs.select(group, "_off"), group)      # one row per group: AQE plans by its size
+              .withColumn("_last", F.col("_c") - F.col("_off") - 1)         # 0-based ranks
+              .withColumn("_first", F.col("_last") - F.col("_rows") + 1))
     want = offs.select(group, "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     want = want.select(group, "q", (F.col("q") * (F.col("_n") - 1)).alias("_pos"))
     want = want.select(group, "q", "_pos", F.floor("_pos").cast("long").alias("_lo"),
                        F.ceil("_pos").cast("long").alias("_hi"))
-    picked = ranked.select(group, "_r", F.col(value).alias("_v")).join(
-        want, [group]).where((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
+    holds = lambda rank: F.col(rank).between(F.col("_first"), F.col("_last"))
+    picked = ranked.select(group, "_first", "_last", "_v").join(want, [group]).where(holds("_lo") | holds("_hi"))
     g = picked.groupBy(group, "q", "_pos", "_lo").agg(
-        F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v"))).alias("_vhi"))
+        F.max(F.when(holds("_lo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(holds("_hi"), F.col("_v"))).alias("_vhi"))
     return g.select(group, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo"))
                                  * (F.col("_pos") - F.col("_lo"))).alias("quantile"))

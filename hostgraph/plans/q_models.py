@@ -177,7 +177,10 @@ def _medians(spark, sf, cols):
     long = benign.select("row_id", F.explode(F.array(*[F.struct(
         F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("v")).select(
         "row_id", "v.*")
-    missing = long.groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("n_missing"))
+    # counted beside one another, not as rows: the exploded rows are made once, for the ranks
+    missing = benign.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).where(
+        "_n > 0").select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_missing"))
+                                             for c in cols])).alias("m")).select("m.*")
     q = scan.exact_quantiles(long, "feature", "value", ["row_id"], (0.5,))
     return rounded(missing.join(q, "feature", "left").select("feature", F.col("quantile").alias("median"), "n_missing"))
 

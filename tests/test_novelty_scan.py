@@ -66,3 +66,23 @@ def test_exact_quantiles_match_linear_interpolation(spark):
         vals = np.array([v for gg, v, _ in rows if gg == g])
         for q in (0.25, 0.5, 0.75):
             assert abs(got[(g, q)] - np.quantile(vals, q)) < 1e-12
+
+
+def test_running_count_of_numbers_adds_them(spark):
+    df = spark.createDataFrame([(1, 3), (2, 0), (3, 5_000_000_000), (4, 2)], "id long, n long")
+    got = {r.id: r.c for r in running_count(df, "n", ["id"], "c", chunks=2).collect()}
+    assert got == {1: 3, 2: 3, 3: 5_000_000_003, 4: 5_000_000_005}
+
+
+def test_exact_quantiles_rank_each_distinct_value_once(spark, monkeypatch):
+    import numpy as np
+    from hostgraph.operators import scan
+    sizes, count = [], scan.running_count
+    monkeypatch.setattr(scan, "running_count", lambda df, *a: sizes.append(df.count()) or count(df, *a))
+    rows = [("a", float(i % 4), i) for i in range(401)] + [("a", None, 500), ("b", 7.0, 501), ("b", 9.0, 501), ("c", None, 502),
+                                                            (None, 3.0, 503)]
+    df = spark.createDataFrame(rows, "g string, v double, k long").repartition(3)
+    got = {(r.g, r.q): r.quantile for r in scan.exact_quantiles(df, "g", "v", ["k"], (0.0, 0.1, 0.5, 1.0)).collect()}
+    assert sizes == [4 + 2 + 1]         # not one row per row
+    assert got == {(g, q): float(np.quantile([v for h, v, _ in rows if h == g and v is not None], q))
+                   for g in "ab" for q in (0.0, 0.1, 0.5, 1.0)}
