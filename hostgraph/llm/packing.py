@@ -107,7 +107,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, bundle: in
     encoder = shared_encoder(docs.sparkSession, tokenizer)
 
     def run(batches):
-        encode = encoder().encode
+        each = encoder().each
         packer = Packer(size)
         base = TaskContext.get().partitionId() << SEQUENCE_BITS
         end = np.array([END_ID], "<u4").tobytes()
@@ -128,11 +128,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, bundle: in
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            ids = batch.column(0).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), each(batch.column(1))
             for i in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(1).slice(i, 64).to_pylist()]
                 full = []
-                for doc, coded in zip(ids[i:i + 64], encode(texts)):
+                for doc, coded in zip(ids[i:i + 64], texts):
                     coded += end
                     n = len(coded) // 4
                     for start, part in cut(coded, size):

@@ -18,6 +18,7 @@ from .tokens import shared_encoder
 MATRIX = ("matrix_id long, n_rows int, width int, item_bytes int, ids binary, "
           "cu_seqlens array<array<int>>, position_resets array<array<int>>, "
           "doc_id array<array<{id}>>, start array<array<long>>")
+AT_ONCE = 16           # matrices whose sequences are handed on together
 SEQUENCES = ("matrix_id long, row int, n_tokens int, ids binary, cu_seqlens array<int>, "
              "position_resets array<int>, doc_id array<{id}>, start array<long>")
 
@@ -88,10 +89,9 @@ def packed_matrices(docs: DataFrame, tokenizer: str, size: int = 1024, matrix_ro
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            ids = batch.column(0).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), enc.each(batch.column(1))
             for i in range(0, batch.num_rows, 64):
-                texts = [t or "" for t in batch.column(1).slice(i, 64).to_pylist()]
-                for doc, coded in zip(ids[i:i + 64], enc.encode(texts)):
+                for doc, coded in zip(ids[i:i + 64], texts):
                     for start, part in cut(coded + end, size):
                         if len(part) == 4 * size:
                             ready.append([(doc, start, part)])
@@ -117,26 +117,30 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.parquet(path)
     kind = table.schema["doc_id"].dataType.elementType.elementType.simpleString()
 
+    def sequences(batch: pa.RecordBatch) -> pa.RecordBatch:
+        col = batch.column
+        cu = col("cu_seqlens").flatten()
+        rows = np.asarray(col("n_rows"))
+        n = np.asarray(cu.values)[np.asarray(cu.offsets)[1:] - 1]
+        used, at = n.tolist(), 0
+        ids = []
+        for raw, width, item in zip(col("ids"), np.asarray(col("width")).tolist(), np.asarray(col("item_bytes")).tolist()):
+            coded = np.frombuffer(raw.as_buffer(), f"<u{item}").astype("<u4").tobytes()
+            here = range(0, len(coded), 4 * width)
+            ids += [coded[i:i + 4 * k] for i, k in zip(here, used[at:at + len(here)])]
+            at += len(here)
+        within = np.arange(len(n)) - np.repeat(np.cumsum(rows) - rows, rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.asarray(col("matrix_id")), rows)), pa.array(within, pa.int32()),
+             pa.array(n, pa.int32()), pa.array(ids, pa.binary()), cu, col("position_resets").flatten(),
+             col("doc_id").flatten(), col("start").flatten()],
+            names=["matrix_id", "row", "n_tokens", "ids", "cu_seqlens", "position_resets",
+                   "doc_id", "start"])
+
     def run(batches):
         for batch in batches:
-            col = batch.column
-            cu = col("cu_seqlens").flatten()
-            rows = np.asarray(col("n_rows"))
-            n = np.asarray(cu.values)[np.asarray(cu.offsets)[1:] - 1]
-            used, at = n.tolist(), 0
-            ids = []
-            for raw, width, item in zip(col("ids"), np.asarray(col("width")).tolist(), np.asarray(col("item_bytes")).tolist()):
-                coded = np.frombuffer(raw.as_buffer(), f"<u{item}").astype("<u4").tobytes()
-                here = range(0, len(coded), 4 * width)
-                ids += [coded[i:i + 4 * k] for i, k in zip(here, used[at:at + len(here)])]
-                at += len(here)
-            within = np.arange(len(n)) - np.repeat(np.cumsum(rows) - rows, rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.asarray(col("matrix_id")), rows)), pa.array(within, pa.int32()),
-                 pa.array(n, pa.int32()), pa.array(ids, pa.binary()), cu, col("position_resets").flatten(),
-                 col("doc_id").flatten(), col("start").flatten()],
-                names=["matrix_id", "row", "n_tokens", "ids", "cu_seqlens", "position_resets",
-                       "doc_id", "start"])
+            for i in range(0, batch.num_rows, AT_ONCE):
+                yield sequences(batch.slice(i, AT_ONCE))
 
     return table.mapInArrow(run, SEQUENCES.format(id=kind))
 

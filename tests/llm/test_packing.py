@@ -3,11 +3,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hostgraph.llm import packing, token_output
+from hostgraph.llm import packing, token_output, tokens
 from hostgraph.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +48,38 @@ def test_encoder_with_a_full_table(plain, monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in Encoder(FILE).encode(texts)] == [plain(x) for x in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\n.,'#aZéßž×ŉ1\t漢"), max_size=40), max_size=5))
+def test_encoder_on_marks_and_lines(texts):
+    enc = _shared()
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode(texts)] == want
+
+
+def test_encoder_in_runs(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 20)
+    got = list(Encoder(FILE).each(pa.array([None, *ODD, None])))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(x) for x in ["", *ODD, ""]]
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow():
+    """F op4, op8: each pair of word and marks went through the tokenizer (CPU seconds a GB)."""
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.sent = inner, 0
+
+        def encode_batch_fast(self, texts, **kw):
+            self.sent += sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    enc = Encoder(FILE)
+    enc.tokenizer = Counting(enc.tokenizer)
+    words = [f"stra{chr(97 + i // 26)}ß{chr(97 + i % 26)}e" for i in range(200)]
+    texts = [f"{w} {w} {w}. {w}, {w}!! {w}.\n{w} {w}\n{w}; {w}..." for w in words]
+    enc.encode(texts)
+    assert enc.tokenizer.sent < 4 * sum(len(w) + 1 for w in words)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 16), max_size=60))
 def test_best_fit_against_a_plain_search(lengths):
