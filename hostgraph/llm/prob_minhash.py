@@ -285,10 +285,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, words: int =
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of alike texts (the one marked ``kept``; if rows repeat its id and text, one of
     them), and every row that links with nothing; all columns as they were."""
-    stays = classes.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "linkable").distinct()
+    # one key of id and text, never null: the rows meet by it and repeated ones too, so they move once
+    pair = lambda i, key: F.concat(key, F.coalesce(F.col(i).cast("string").cast("binary"), F.lit(b"")))
+    stays = classes.where("kept").select(pair("doc_id", F.col("text_key")).alias("pair"), "linkable").distinct()
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    d = (d.withColumn("id", F.col("row")[id_col].cast("long"))
-         .withColumn("key", F.unhex(F.md5(F.coalesce(F.col("row")[text_col], F.lit(""))))))
-    named = d.join(stays, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "inner")
-    return (named.where("linkable").dropDuplicates(["id", "key"]).unionByName(named.where("NOT linkable"))
+    d = d.withColumn("id", F.col("row")[id_col].cast("long")).select(
+        "row", pair("id", F.unhex(F.md5(F.coalesce(F.col("row")[text_col], F.lit(""))))).alias("pair"))
+    named = d.join(stays, "pair")
+    return (named.where("linkable").dropDuplicates(["pair"]).unionByName(named.where("NOT linkable"))
             .select("row.*"))

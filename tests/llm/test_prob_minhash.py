@@ -204,3 +204,20 @@ def test_components(spark):
             root[max(p, q)] = min(p, q)
     assert {r.node: r.component for r in got.collect()} == {x: find(x) for x in list(root)}
     assert components(spark.createDataFrame([], "u long, v long"))[0].count() == 0
+
+
+def test_kept_rows_move_once(spark):
+    """pipeline, near_copies: repeated rows were dealt out a second time, whole texts with them (disk)."""
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None)], "doc_id long, text string")
+    classes = spark.createDataFrame([(1, bytes(16), True, True)], "doc_id long, text_key binary, kept boolean, linkable boolean")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = pm.keep_one(docs, classes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "Reused" not in x]
+    # the texts once; the kept ones in two steps, for linkable rows and for the others; not the result again
+    assert 0 < len(moved) <= 5, plan
