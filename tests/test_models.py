@@ -97,3 +97,47 @@ def test_scale_conf_sizes_partitions_from_input():
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = scale_conf(10 * 1024 ** 2, executors_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 24
+
+
+def _wide(spark, n=600, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(0, 10, (n, 3))
+    rows = [(i, ["BENIGN", "scan", "error"][i % 3], float(a) if i % 7 else None, float(b), float(c), int(a > 5))
+            for i, (a, b, c) in enumerate(x)]
+    return spark.createDataFrame(rows, "row_id long, label string, bytes double, src_fan_out double, dst_fan_in double, y int")
+
+
+COLS = ["bytes", "src_fan_out", "dst_fan_in"]
+
+
+def test_fit_reads_its_rows_twice_and_grows_the_pipelines_trees(spark):
+    """Once for the medians, once for the vectors that the learner then reads again and again."""
+    df = _wide(spark).coalesce(2)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    model = ML.fit_gbt(df.mapInArrow(counted, df.schema), COLS, max_iter=4, max_depth=3)
+    assert read.value <= 2 * df.count()
+    whole = ML.gbt_pipeline(COLS, max_iter=4, max_depth=3).fit(df)
+    a, b = (m.stages[-1].toDebugString.split("\n", 1)[1] for m in (model, whole))
+    assert a == b and len(a) > 100
+    assert model.stages[0].surrogateDF.collect() == whole.stages[0].surrogateDF.collect()
+
+
+def test_methods_too_long_for_the_jvm_are_not_generated(spark):
+    """Inside, stages whose method the JVM would interpret are run operator by operator; the setting comes back."""
+    import pytest
+    from hostgraph.session import HUGE_METHOD, compilable_methods
+    before = spark.conf.get(HUGE_METHOD)
+    assert int(before) > 8000
+    with pytest.raises(ValueError), compilable_methods(spark):
+        assert int(spark.conf.get(HUGE_METHOD)) == 8000
+        with compilable_methods(spark):
+            pass
+        assert int(spark.conf.get(HUGE_METHOD)) == 8000
+        raise ValueError
+    assert spark.conf.get(HUGE_METHOD) == before
