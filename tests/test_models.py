@@ -141,3 +141,43 @@ def test_methods_too_long_for_the_jvm_are_not_generated(spark):
         assert int(spark.conf.get(HUGE_METHOD)) == 8000
         raise ValueError
     assert spark.conf.get(HUGE_METHOD) == before
+
+
+def _model_stages(spark, monkeypatch):
+    """A small model and its flows in place of the stages'."""
+    from hostgraph.plans import stages as ST
+    from hostgraph.session import scratch_path
+    flows = _wide(spark).selectExpr("*", "if(row_id % 2 = 0, 'train', 'test') AS side",
+                                    "if(row_id % 2 = 0, 'Monday', 'Friday') AS day").cache()
+    model = ML.fit_gbt(flows.where("side = 'train'"), COLS, max_iter=3, max_depth=3)
+    ML.save_model(model, path := scratch_path(spark, "small-model"))
+    monkeypatch.setattr(ST, "labelled", lambda *a: flows)
+    monkeypatch.setattr(ST, "day_labelled", lambda *a: flows)
+    monkeypatch.setattr(ST, "day_split_model", lambda *a: ML.load_model(path))
+    monkeypatch.setattr(ST, "model_path", lambda *a: path)
+    written = {}
+
+    def cached(spark, sf, name, build):
+        if name not in written:
+            written[name] = scratch_path(spark, name)
+            build().write.parquet(written[name])
+        return spark.read.parquet(written[name])
+
+    monkeypatch.setattr(ST, "cached", cached)
+    return flows, model
+
+
+def test_flows_are_scored_once_for_all_queries(spark, monkeypatch):
+    from hostgraph.plans import q_models as Q
+    flows, model = _model_stages(spark, monkeypatch)
+    calls, score = [], ML.score
+    monkeypatch.setattr(ML, "score", lambda *a, **k: calls.append(a) or score(*a, **k))
+    got = {r.row_id: (r.y, r.pred, r.attack_probability) for r in Q.q_score_flows(spark, "").collect()}
+    rule = Q.q_score_rule(spark, "").collect()
+    assert len(calls) == 1 and len(rule) == flows.count() and all(r.class_is_likelier for r in rule)
+    want = score(model, ML.as_float(flows, COLS)).collect()
+    assert got == {r.row_id: (r.y, r.pred, round(r.attack_probability, 6)) for r in want}
+    equal = Q.q_model_roundtrip(spark, "").collect()
+    assert len(calls) == 2 and len(equal) == flows.count() and all(r.equal for r in equal)
+    f1 = Q.q_gbt_binary(spark, "").first()
+    assert f1.tp + f1.fp + f1.fn + f1.tn == flows.where("side = 'test'").count()
