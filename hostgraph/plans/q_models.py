@@ -350,14 +350,17 @@ def q_detection_regimes(spark, sf):
 
 
 def _explained_sample(spark, sf):
-    """Stratified test-day sample (<= 500 rows per label), scored and explained."""
+    """Stratified test-day sample (<= 500 rows per label), scored and explained.  The sample and its explanations
+    are made once; every leaf costs a task the same however few rows it has, so there are no more tasks than cores."""
     from ..operators import attribution as AT
     data = ST.day_labelled(spark, sf)
     cols = ML.feature_columns(data, True)
     model = ST.day_split_model(spark, sf)
-    sample = SP.stratified_sample(data.where(F.col("side") == "test"), "label", 500, "row_id", 42)
-    scored = ML.score(model, ML.as_float(sample, cols)).select("row_id", "pred")
-    ex = AT.explain(spark, model, ST.model_path(spark, sf), ML.as_float(sample, cols), cols)
+    sample = materialize(ML.as_float(
+        SP.stratified_sample(data.where(F.col("side") == "test"), "label", 500, "row_id", 42), cols)).coalesce(
+        spark.sparkContext.defaultParallelism)
+    scored = ML.score(model, sample).select("row_id", "pred")
+    ex = materialize(AT.explain(spark, model, ST.model_path(spark, sf), sample, cols))
     return ex.join(scored, "row_id"), cols
 
 

@@ -181,3 +181,24 @@ def test_flows_are_scored_once_for_all_queries(spark, monkeypatch):
     assert len(calls) == 2 and len(equal) == flows.count() and all(r.equal for r in equal)
     f1 = Q.q_gbt_binary(spark, "").first()
     assert f1.tp + f1.fp + f1.fn + f1.tn == flows.where("side = 'test'").count()
+
+
+def test_every_row_of_the_sample_is_explained_once(spark, monkeypatch):
+    from hostgraph.operators import attribution as AT
+    from hostgraph.plans import q_models as Q
+    flows, _ = _model_stages(spark, monkeypatch)
+    explained, explain = spark.sparkContext.accumulator(0), AT.explain
+
+    def counted(batches):
+        for b in batches:
+            explained.add(b.num_rows)
+            yield b
+
+    def explain_counted(*a, **k):
+        e = explain(*a, **k)
+        return e.mapInArrow(counted, e.schema)
+
+    monkeypatch.setattr(AT, "explain", explain_counted)
+    r = Q.q_attribution_check(spark, "").first()
+    assert r.n_rows == flows.where("side = 'test'").count() and r.locally_accurate
+    assert explained.value == r.n_rows
