@@ -11,9 +11,14 @@ to every i in U — the closed form the EXTEND / UNWIND recursion of the paper e
 All rows of an Arrow batch are processed together: per leaf, the o_j are boolean vectors and
 the polynomial products are small numpy arrays (d <= tree depth).
 
+The o_j depend on nothing but which of the path's conditions a row meets, so each leaf's additions are worked out
+once for every bit pattern of its conditions: neighbouring leaves of at most ``TABLE_BITS`` conditions together share
+one table, and a row costs one lookup per table and feature.  Leaves with more conditions of their own are worked out
+row by row.
+
 The trees come from the saved Spark model (one row per node, ``rawCount`` = cover); they
-are at most ``trees * 2^(depth+1)`` nodes and are broadcast.  Rows are spread over tasks by
-``mapInPandas``; explanations are computed for a bounded stratified sample.
+are at most ``trees * 2^(depth+1)`` nodes and are broadcast with their tables.  Rows are spread over tasks by
+``mapInArrow``, so any number of rows can be explained.
 Log-odds convention: Spark's probability is sigmoid(2 * sum_t w_t tree_t(x)), so every leaf
 value is scaled by 2 * w_t and ``base + sum(phi) == log-odds`` of the row.
 """
@@ -21,12 +26,17 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TABLE_BITS = 8         # conditions of a table (a pattern is one byte): it has 2 to that power entries per feature
+CHUNK_ROWS = 8_192     # rows looked up at a time, so that they stay in the processor's cache
 
 
 def stage_path(model_path: str, model: PipelineModel, index: int = -1) -> str:
@@ -85,33 +95,76 @@ def _coef(d: int) -> np.ndarray:
     return np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)])
 
 
+def _leaf_additions(v: float, z: list[float], o: np.ndarray) -> np.ndarray:
+    """What a leaf adds to each of its features (features x rows); ``o``: whether a row follows its edges on them."""
+    d, n = o.shape
+    own = np.eye(d)[:, :, None]                      # a feature's own factor is left out of its product
+    poly = np.ones((d, n, 1))
+    for j in range(d):
+        nxt = np.zeros((d, n, poly.shape[2] + 1))
+        nxt[:, :, :-1] += poly * np.where(own[j] == 1, 1.0, z[j])[:, :, None]
+        nxt[:, :, 1:] += poly * np.where(own[j] == 1, 0.0, o[j])[:, :, None]
+        poly = nxt
+    return v * (o - np.array(z)[:, None]) * (poly[:, :, :d] @ _coef(d))
+
+
+def leaf_tables(leaves: list) -> tuple[list, list]:
+    """``(tables, others)``: each table ``(conditions, features, additions)`` holds what its leaves add to their
+    features for every bit pattern of its conditions (bit j: ``x[f] <= threshold`` of the j-th); ``others`` are the
+    leaves of more than ``TABLE_BITS`` conditions."""
+    groups: list[tuple[dict, list]] = []
+    others = []
+    for leaf in leaves:
+        feats = leaf[1]
+        if not feats:
+            continue
+        own = [(f, thr) for f, _z, conds in feats for thr, _left in conds]
+        if len(set(own)) > TABLE_BITS:
+            others.append(leaf)
+            continue
+        if not groups or len(set(own) | groups[-1][0].keys()) > TABLE_BITS:
+            groups.append(({}, []))
+        at, members = groups[-1]
+        for c in own:
+            at.setdefault(c, len(at))
+        members.append(leaf)
+    tables = []
+    for at, members in groups:
+        patterns = np.arange(2 ** len(at))
+        met = {c: (patterns >> j & 1).astype(bool) for c, j in at.items()}
+        added: dict[int, np.ndarray] = {}
+        for v, feats in members:
+            o = np.array([np.logical_and.reduce([met[f, thr] == left for thr, left in conds]) for f, _z, conds in feats])
+            for (f, _z, _c), x in zip(feats, _leaf_additions(v, [z for _f, z, _c in feats], o.astype(float))):
+                added[f] = added.get(f, 0.0) + x
+        tables.append((list(at), list(added), np.stack(list(added.values()))))
+    return tables, others
+
+
+def table_values(X: np.ndarray, tables: list, others: list, n_features: int) -> np.ndarray:
+    """phi (rows x features) for a batch, from ``leaf_tables``."""
+    phi = np.zeros((n_features, X.shape[0]))
+    for start in range(0, X.shape[0], CHUNK_ROWS):
+        x = np.ascontiguousarray(X[start:start + CHUNK_ROWS].T)
+        out = np.zeros((n_features, x.shape[1]))
+        for conditions, features, additions in tables:
+            pattern = np.zeros(x.shape[1], np.uint8)
+            for j, (f, thr) in enumerate(conditions):
+                pattern |= (x[f] <= thr).view(np.uint8) << np.uint8(j)
+            at = pattern.astype(np.intp)
+            for f, added in zip(features, additions):
+                out[f] += added.take(at)
+        for v, feats in others:
+            o = np.array([np.logical_and.reduce([(x[f] <= thr) == left for thr, left in conds]) for f, _z, conds in feats])
+            for (f, _z, _c), added in zip(feats, _leaf_additions(v, [z for _f, z, _c in feats], o.astype(float))):
+                out[f] += added
+        phi[:, start:start + CHUNK_ROWS] = out
+    return phi.T
+
+
 def shap_values(X: np.ndarray, leaves: list, n_features: int) -> np.ndarray:
     """phi (rows x features) for a batch."""
-    n = X.shape[0]
-    phi = np.zeros((n, n_features))
-    for v, feats in leaves:
-        d = len(feats)
-        if d == 0:
-            continue
-        c = _coef(d)
-        o = []
-        for f, _z, conds in feats:
-            ok = np.ones(n, dtype=bool)
-            for thr, went_left in conds:
-                ok &= (X[:, f] <= thr) if went_left else (X[:, f] > thr)
-            o.append(ok.astype(float))
-        z = [fz for _f, fz, _c in feats]
-        for i in range(d):
-            poly = np.ones((n, 1))
-            for j in range(d):
-                if j == i:
-                    continue
-                nxt = np.zeros((n, poly.shape[1] + 1))
-                nxt[:, :-1] += poly * z[j]
-                nxt[:, 1:] += poly * o[j][:, None]
-                poly = nxt
-            phi[:, feats[i][0]] += v * (o[i] - z[i]) * (poly @ c)
-    return phi
+    return table_values(X, *leaf_tables(leaves), n_features)
 
 
 def explain(spark: SparkSession, model: PipelineModel, model_path: str, rows: DataFrame,
@@ -120,25 +173,25 @@ def explain(spark: SparkSession, model: PipelineModel, model_path: str, rows: Da
     order) to the rows; rows are imputed by the model's own first stage."""
     gbt = model.stages[-1]
     leaves, base = leaf_paths(load_tree_nodes(spark, model_path, model), list(gbt.treeWeights))
-    bc = spark.sparkContext.broadcast((leaves, base))
+    bc = spark.sparkContext.broadcast((*leaf_tables(leaves), base))
     imputed = model.stages[0].transform(rows)
     imp_cols = model.stages[0].getOutputCols()
     data = imputed.select(*keep, *[F.col(c).cast("double").alias(c) for c in imp_cols])
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields if f.name in keep]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema.fields if f.name in keep]
                        + ["base double", "logit double", "phi array<double>"])
-
-    def run(batches):
-        lv, b = bc.value
-        for pdf in batches:
-            X = pdf[imp_cols].to_numpy(dtype=float)
-            phi = shap_values(X, lv, len(imp_cols))
-            out = pdf[list(keep)].copy()
-            out["base"] = b
-            out["logit"] = b + phi.sum(axis=1)
-            out["phi"] = list(phi)
-            yield out
-
-    return data.mapInPandas(run, schema)
+    n = len(imp_cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, others, b = bc.value
+        for batch in batches:
+            kept = batch.columns[:len(keep)]
+            X = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(keep):]], 1)
+            phi = table_values(X, tables, others, n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(X) + 1) * n, pa.int32()), pa.array(phi.ravel()))
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(X), b)), pa.array(b + phi.sum(axis=1)), lists],
+                                             names=[*keep, "base", "logit", "phi"])
+
+    return data.mapInArrow(run, schema)
 
 
 def long_form(explained: DataFrame, cols: list[str]) -> DataFrame:

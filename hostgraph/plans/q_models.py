@@ -376,9 +376,15 @@ def q_attribution_rank(spark, sf):
 
 @register("attribution_share", "M16")
 def q_attribution_share(spark, sf):
+    """Per label over all test rows: recall, mean total |phi| and the share of graph features in it."""
     from ..operators import attribution as AT
-    ex, cols = _explained_sample(spark, sf)
-    return rounded(AT.share_by_label(ex, cols, [ML.is_graph_feature(c) for c in cols]))
+    data = ST.day_labelled(spark, sf)
+    cols = ML.feature_columns(data, True)
+    model = ST.day_split_model(spark, sf)
+    with compilable_methods(spark):
+        scored = ML.score(model, ML.as_float(data.where(F.col("side") == "test"), cols))
+        ex = AT.explain(spark, model, ST.model_path(spark, sf), scored, cols, ("row_id", "label", "pred"))
+        return materialize(rounded(AT.share_by_label(ex, cols, [ML.is_graph_feature(c) for c in cols])))
 
 
 @register("attribution_check", "M15", S.with_(S.FLOWS) + """

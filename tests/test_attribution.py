@@ -82,3 +82,23 @@ def test_spark_gbt_attributions_sum_to_model_logit(spark, tmp_path):
     used = set(AT.load_tree_nodes(spark, path, model)["feature"].tolist())
     if 2 not in used:
         assert phi_c == 0.0
+
+
+@pytest.mark.parametrize("bits", [8, 2, 0])
+def test_tables_give_what_the_leaves_give_row_by_row(monkeypatch, bits):
+    """Leaves that share tables, whose tables are full, or that are worked out row by row: the same attributions."""
+    from hostgraph.operators import attribution as AT
+    t = _tree()
+    two = pd.concat([t, t.assign(treeID=1, feature=t["feature"].where(t["feature"] < 0, 2 - t["feature"]))])
+    leaves, base = leaf_paths(two, [1.0, 0.5])
+    X = np.random.default_rng(5).uniform(0, 1, (200, 3))
+    monkeypatch.setattr(AT, "TABLE_BITS", bits)
+    monkeypatch.setattr(AT, "CHUNK_ROWS", 64)
+    tables, others = AT.leaf_tables(leaves)
+    assert (not tables) == (bits == 0) and bool(others) == (bits < 3)
+    phi = AT.table_values(X, tables, others, 3)
+    for x, got in zip(X, phi):
+        want = [sum(shap_values(np.array([x]), [leaf], 3)[0][f] for leaf in leaves) for f in range(3)]
+        assert got == pytest.approx(want, abs=1e-12)
+        one = _cond_expectation(t, x, {0, 1, 2}) + 0.5 * _cond_expectation(two[two["treeID"] == 1], x, {0, 1, 2})
+        assert base + got.sum() == pytest.approx(one)

@@ -202,3 +202,25 @@ def test_every_row_of_the_sample_is_explained_once(spark, monkeypatch):
     r = Q.q_attribution_check(spark, "").first()
     assert r.n_rows == flows.where("side = 'test'").count() and r.locally_accurate
     assert explained.value == r.n_rows
+
+
+def test_attribution_share_takes_every_test_row(spark, monkeypatch):
+    """More than 500 rows of a label, ids that repeat or are NULL: all of them count, each once."""
+    from hostgraph.operators import attribution as AT
+    from hostgraph.plans import q_models as Q
+    from hostgraph.plans import stages as ST
+    flows, model = _model_stages(spark, monkeypatch)
+    path = ST.model_path(spark, "")
+    many = 520 // flows.where("side = 'test'").count() + 1
+    flows = flows.withColumn("row_id", F.expr("nullif(row_id, 3)")).withColumn(
+        "label", F.expr("if(row_id % 4 = 1, 'x', 'BENIGN')")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(4 * many)))).drop("copy")
+    monkeypatch.setattr(ST, "day_labelled", lambda *a: flows)
+    test = ML.as_float(flows.where("side = 'test'"), COLS)
+    got = {r.label: r for r in Q.q_attribution_share(spark, "").collect()}
+    imputed = model.stages[0].transform(test).select("label", *[F.col(c).cast("double") for c in model.stages[0].getOutputCols()]).toPandas()
+    leaves, _ = AT.leaf_paths(AT.load_tree_nodes(spark, path, model), list(model.stages[-1].treeWeights))
+    total = np.abs(AT.shap_values(imputed.iloc[:, 1:].to_numpy(), leaves, len(COLS))).sum(1)
+    assert max(r.n for r in got.values()) > 500
+    for label, rows in imputed.groupby("label").groups.items():
+        assert got[label].n == len(rows)
+        assert abs(got[label].mean_total_abs_phi - total[rows].mean()) < 1e-6
