@@ -166,10 +166,10 @@ def boosted_scores(df: DataFrame, model: BO.Booster, keep: tuple[str, ...] = ("r
 
 
 def zero_day_rates(train_base: DataFrame, holdout: DataFrame, cols: list[str], classes: list[str | None],
-                   label_col: str = "label", max_iter: int = ZERO_DAY_ROUNDS, at_once: int = 4) -> list[dict]:
+                   label_col: str = "label", max_iter: int = ZERO_DAY_ROUNDS, at_once: int | None = None) -> list[dict]:
     """Leave-one-class-out: for each attack class train without it, then its catch rate and
-    the false-positive rate on a fixed benign holdout.  One distributed fit per class,
-    ``at_once`` of them side by side; the data stays in the cluster.  A NULL label is a class
+    the false-positive rate on a fixed benign holdout.  One fit per class,
+    ``at_once`` of them side by side (None: as many as there are cores); the data stays in the cluster.  A NULL label is a class
     like any other (None among ``classes``)."""
     base = train_base.persist()
 
@@ -182,7 +182,7 @@ def zero_day_rates(train_base: DataFrame, holdout: DataFrame, cols: list[str], c
         return {"class": cls, "support": int(r["n"]), "zero_day_catch_rate": float(r["rate"] or 0.0),
                 "benign_fpr": float(fpr or 0.0)}
 
-    with ThreadPoolExecutor(at_once) as pool:
+    with ThreadPoolExecutor(at_once or max(1, min(len(classes), base.sparkSession.sparkContext.defaultParallelism))) as pool:
         out = list(pool.map(fold, classes))
     base.unpersist()
     return out
